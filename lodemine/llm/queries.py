@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from lodemine.llm import bpe, chat, html, langid, toxicity
+from lodemine.llm import bpe, chat, html, langid, mixing, secrets, toxicity
 
 QUERIES = {
     "op1_html": html.op1_html,
+    "op3_secrets": secrets.op3_secrets,
+    "op4_mixing": mixing.op4_mixing,
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_langid": langid.op7_langid,
     "op9_bpe": bpe.op9_bpe,
     "op10_chat": chat.op10_chat,
 }
 ORACLES = {
+    "op3_secrets": secrets.OP3_SQL,
     "op10_chat": chat.OP10_SQL,
 }
