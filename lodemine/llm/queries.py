@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from lodemine.llm import bpe, chat, html, langid, mixing, secrets, toxicity
+from lodemine.llm import ann, bpe, chat, html, langid, mixing, secrets, topk, toxicity
 
 QUERIES = {
     "op1_html": html.op1_html,
+    "op2_topk": topk.op2_topk,
     "op3_secrets": secrets.op3_secrets,
     "op4_mixing": mixing.op4_mixing,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_ann": ann.op6_ann,
     "op7_langid": langid.op7_langid,
     "op9_bpe": bpe.op9_bpe,
     "op10_chat": chat.op10_chat,
 }
 ORACLES = {
+    "op2_topk": topk.OP2_SQL,
     "op3_secrets": secrets.OP3_SQL,
     "op10_chat": chat.OP10_SQL,
 }
