@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodemine.llm import ann, bpe, chat, html, langid, mixing, secrets, topk, toxicity
+from lodemine.llm import ann, bpe, chat, html, langid, mixing, neardup, secrets, topk, toxicity
 
 QUERIES = {
     "op1_html": html.op1_html,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_ann": ann.op6_ann,
     "op7_langid": langid.op7_langid,
+    "op8_neardup": neardup.op8_neardup,
     "op9_bpe": bpe.op9_bpe,
     "op10_chat": chat.op10_chat,
 }
