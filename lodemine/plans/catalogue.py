@@ -669,3 +669,39 @@ def dotted_path(spark, sf):
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def struct_unpack(spark, sf):
     return spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.from_json("props", "k long").alias("s")).select("event_id", "s.*")
+
+
+# -- image kernels, on rasters drawn from the image table
+
+
+def _small():
+    from lodemine.config import PyramidParams
+
+    return PyramidParams(canonical_size=96, patch_size=40)
+
+
+@query()
+def feature_pyramid(spark, sf):
+    from lodemine.operators.rasters import pyramid_stats, synthetic_images
+
+    return pyramid_stats(synthetic_images(spark, images(spark, sf)), _small()).withColumn("gradient", F.round("gradient", 4))
+
+
+@query()
+def weighted_patches(spark, sf):
+    from lodemine.operators.rasters import sample_patches, synthetic_images
+
+    got = sample_patches(synthetic_images(spark, images(spark, sf)), _small())
+    return got.select("imidx", "level", "cy", "cx", "x1", "y1", "x2", "y2", F.round("probability", 9).alias("probability"), F.size("feat").alias("width"))
+
+
+@query()
+def detect_in_images(spark, sf):
+    from lodemine.config import DetectionParams
+    from lodemine.operators.rasters import detect, sample_patches, synthetic_images
+
+    im = synthetic_images(spark, images(spark, sf))
+    seeds = sample_patches(im, _small(), most=3).filter("imidx % 20 < 2")
+    models = M.fit_clusters(seeds.select(F.col("imidx").cast("long").alias("cluster_id"), "feat"), sample_patches(im.filter("NOT is_pos"), _small(), most=2).select("feat"))
+    found = detect(im, models, _small(), DetectionParams(threshold=-0.9))
+    return found.select("detector", "imidx", "level", "x1", "y1", "x2", "y2", F.round("decision", 6).alias("decision"))
