@@ -114,3 +114,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0,
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def repeat(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """docs with each row as often as copies (doc_id, size, copies) says. Rows without doc_id or
+    without words have no place in the mix and stay once; rows that share a doc_id follow the one
+    of them that is taken most."""
+    per = copies.filter("doc_id IS NOT NULL AND size > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies"))
+    rows = docs.join(per.hint("shuffle_hash"), "doc_id", "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
+    return rows.withColumn("_copy", F.explode(F.when(F.col("_copies") > 0, F.sequence(F.lit(1), "_copies")))).drop("_copy", "_copies")
