@@ -9,9 +9,10 @@
    leave the similarity at or above the threshold with probability Binomial(n + 1, t)(<= m); a pair
    is dropped once that is below the miss probability. Survivors are verified on the full sets.
 4. Verified pairs are linked; components by large and small stars. Pairs of one component need no
-   test. The rest is complete: in buckets that still hold several components, first each member
-   with the most similar one of another component, then every pair across components, are compared
-   in blocks, pruned and verified in the same way.
+   test. The rest is complete: in buckets that still hold several components, every pair across
+   components is compared in blocks and pruned in the same way; the members of surviving pairs meet
+   again with their full sets, and only links leave that task, so that what is passed on grows with
+   the members of the buckets and not with their pairs.
 
 Null and empty texts have empty sets and link with nothing. Rows without doc_id take no part: their
 component_id is null and they are kept. Rows that share a doc_id are linked (and are kept or go
@@ -93,6 +94,8 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
+    """Of the 16-bit signature, so that two documents share a key if and only if that band of
+    their stored signatures agrees."""
     s = np.arange(BANDS, dtype=np.uint64)
     for column in sig.reshape(BANDS, ROWS).T:
         s = s * _P + column.astype(np.uint64) + np.uint64(1)
@@ -109,9 +112,9 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                 s = shingle_set(t.as_py())
                 n.append(len(s))
                 if len(s):
-                    v = signature(s)
+                    v = signature(s).astype(np.uint16)
                     fp.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    sig.append(v.astype(np.uint16).tobytes())
+                    sig.append(v.tobytes())
                     bands.append(band_keys(v))
                 else:
                     fp.append(None)
@@ -170,91 +173,107 @@ def _bounded_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def verify(pairs: DataFrame, docs: DataFrame, threshold: float, name: str) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold. Sets are built for the documents of
-    the pairs only."""
-    pairs = materialize(pairs, f"{name}-survivors")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    ids = materialize(ids, f"{name}-ids")
+def _sets(ids: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """id, set of the documents named, built from their texts."""
     held = docs.select(F.col("doc_id").alias("id"), "text").join(_bounded_broadcast(ids), "id")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["id", "set"])
 
-    sets = materialize(held.mapInArrow(build, "id long, set binary").groupBy("id").agg(F.min("set").alias("set")), f"{name}-sets")
+    return materialize(held.mapInArrow(build, "id long, set binary").groupBy("id").agg(F.min("set").alias("set")), f"{name}-sets")
+
+
+def linked(s: np.ndarray, t: np.ndarray, share: int) -> bool:
+    """Whether 100 * common >= share * union, for sorted sets."""
+    if len(s) > len(t):
+        s, t = t, s
+    if not len(s) or 100 * len(s) < share * len(t):
+        return False
+    at = np.searchsorted(t, s)
+    common = int((t[np.minimum(at, len(t) - 1)] == s).sum())
+    return 100 * common >= share * (len(s) + len(t) - common)
+
+
+def verify(pairs: DataFrame, docs: DataFrame, threshold: float, name: str) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold. Sets are built for the documents of
+    the pairs only."""
+    pairs = materialize(pairs, f"{name}-survivors")
+    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{name}-ids")
+    sets = _sets(ids, docs, name)
     side = lambda c: sets.select(F.col("id").alias(c), F.col("set").alias(f"set_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
     share = round(threshold * 100)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = []
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(s) > len(t):
-                    s, t = t, s
-                at = np.searchsorted(t, s)
-                common = int((t[np.minimum(at, len(t) - 1)] == s).sum()) if len(t) else 0
-                if common and 100 * common >= share * (len(s) + len(t) - common):
-                    kept.append(i)
+            kept = [i for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))) if linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), share)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), batch.column(1).take(pa.array(kept, pa.int64()))], ["a", "b"])
 
     return materialize(both.mapInArrow(rows, "a long, b long"), f"{name}-links")
 
 
-def _across(rows: DataFrame, threshold: float, miss: float, best_only: bool, chunk: int = 1024) -> DataFrame:
-    """rows: key, id, n, label, cnt, sig of buckets with several labels. Pairs of different labels
-    that survive pruning. Buckets of over ``chunk`` rows are cut, and each two parts meet in a
-    task of their own. best_only: for each row, only the most similar one of another label."""
+def _across(rows: DataFrame, threshold: float, miss: float, chunk: int = 1024) -> DataFrame:
+    """rows: key, band, id, n, label, cnt, sig of buckets with several labels, and set or not.
+    A pair of different labels counts in the first band that both share. Without sets: key, id of
+    the members of pairs that survive pruning. With sets: links a, b between labels, as many as
+    join them. Buckets of over ``chunk`` rows are cut, and each two parts meet in a task."""
+    exact = "set" in rows.columns
     parts = F.ceil(F.col("cnt") / chunk).cast("int")
     rows = rows.withColumn("_parts", parts).withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    rows = rows.select("key", F.least("_part", "_other").alias("p"), F.greatest("_part", "_other").alias("q"), (F.col("_part") <= F.col("_other")).alias("left"), "id", "n", "label", "sig")
+    rows = rows.select("key", F.least("_part", "_other").alias("p"), F.greatest("_part", "_other").alias("q"), (F.col("_part") <= F.col("_other")).alias("left"), "band", "id", "n", "label", "sig", *(["set"] if exact else []))
     rows = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "id")
-    share = threshold
+    share = round(threshold * 100)
 
-    def pairs_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def group(t: pa.Table) -> list[tuple[int, int]]:
+        key, p, q, band = (t.column(c)[0].as_py() for c in ("key", "p", "q", "band"))
         ids, n, label, left = (t.column(c).to_numpy() for c in ("id", "n", "label", "left"))
-        one = t.column("p")[0].as_py() == t.column("q")[0].as_py()
-        sig = _matrix(t.column("sig"))
-        m = len(ids)
-        got: list[tuple[np.ndarray, np.ndarray]] = []
-        for i in range(m - 1 if one else m):
-            if one:
+        sig, band, m = _matrix(t.column("sig")), band * ROWS, len(t)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("set")] if exact else []
+        root = {x: x for x in label.tolist()}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        involved, links = np.zeros(m, bool), []
+        for i in range(m):
+            if p == q:
                 j = np.arange(i + 1, m)
             elif left[i]:
                 j = np.flatnonzero(~left)
             else:
                 continue
-            lo, hi = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            j = j[(label[j] != label[i]) & (lo >= share * hi - 1e-9)]
+            j = j[(label[j] != label[i]) & (100 * np.minimum(n[i], n[j]) >= share * np.maximum(n[i], n[j]))]
             if len(j):
                 j = j[surviving(np.broadcast_to(sig[i], (len(j), HASHES)), sig[j], threshold, miss)]
-            if best_only and len(j):
-                match = (sig[j] == sig[i]).sum(1)
-                j = j[[int(match.argmax())]]
-            if len(j):
-                got.append((np.full(len(j), ids[i]), ids[j]))
-        if not got:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+            if len(j) and band:
+                j = j[~(sig[j, :band] == sig[i, :band]).reshape(len(j), -1, ROWS).all(2).any(1)]
+            if not exact:
+                involved[j] = True
+                involved[i] |= len(j) > 0
+                continue
+            for k in j.tolist():
+                a, b = find(int(label[i])), find(int(label[k]))
+                if a != b and linked(sets[i], sets[k], share):
+                    root[max(a, b)] = min(a, b)
+                    links.append((int(min(ids[i], ids[k])), int(max(ids[i], ids[k]))))
+        return links if exact else [(key, int(x)) for x in ids[involved]]
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        names, held = ("a", "b") if exact else ("key", "id"), None
 
         def out(t: pa.Table) -> pa.RecordBatch:
-            found: list[tuple[np.ndarray, np.ndarray]] = []
             k, p, q = (t.column(c).to_numpy() for c in ("key", "p", "q"))
             cut = np.flatnonzero((k[1:] != k[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
-            for a, b in zip([0, *cut], [*cut, len(k)]):
-                if b - a > 1:
-                    found.append(pairs_of(t.slice(a, b - a).combine_chunks()))
-            x = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
-            y = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())], ["a", "b"])
+            found = [x for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(k)]) if b - a > 1 for x in group(t.slice(a, b - a).combine_chunks())]
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], list(names))
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             t = pa.Table.from_batches([batch])
             held = t if held is None else pa.concat_tables([held, t])
             last = [held.column(c)[-1].as_py() for c in ("key", "p", "q")]
@@ -266,7 +285,7 @@ def _across(rows: DataFrame, threshold: float, miss: float, best_only: bool, chu
         if held is not None and held.num_rows:
             yield out(held)
 
-    return rows.mapInArrow(stream, "a long, b long").distinct()
+    return rows.mapInArrow(stream, "a long, b long" if exact else "key long, id long").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.75, miss: float = 1e-4, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -281,7 +300,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, miss: float = 1e-4
     reps = materialize(reps.withColumn("_k", one).filter("_k = 1").select(F.col("doc_id").alias("id"), "n", "sig", "bands"), "reps")
     sigs = reps.select("id", "sig")
 
-    exploded = reps.select("id", "n", F.explode("bands").alias("key"))
+    exploded = reps.select("id", "n", F.posexplode("bands").alias("band", "key"))
     shared = materialize(exploded.groupBy("key").agg(F.count("*").alias("cnt")).filter("cnt > 1"), "shared-keys")
     members = materialize(exploded.join(_bounded_broadcast(shared), "key"), "members")
 
@@ -294,13 +313,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, miss: float = 1e-4
     stars = members.join(pivots, "key").filter("id <> pivot").filter(fits(F.col("n"), F.col("pivot_n")))
     stars = stars.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     links = verify(prune(stars, sigs, threshold, miss), docs, threshold, "star")
-    for name, best_only in (("best", True), ("across", False)):
-        labels = materialize(components(links), f"{name}-labels")
-        rows = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-        rows = rows.join(mixed, "key").join(sigs, "id")
-        found = _across(rows, threshold, miss, best_only)
-        links = materialize(links.unionByName(verify(found, docs, threshold, name)), f"{name}-all-links")
+    labels = materialize(components(links), "star-labels")
+    rows = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
+    rows = rows.join(mixed, "key").join(sigs, "id")
+    involved = materialize(_across(rows, threshold, miss), "involved")
+    sets = _sets(materialize(involved.select("id").distinct(), "across-ids"), docs, "across")
+    found = _across(rows.join(involved, ["key", "id"]).join(sets, "id"), threshold, miss)
+    links = materialize(links.unionByName(found), "links")
     labels = components(links)
     named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("label", "rep").alias("component"))
     out = base.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp")).join(named, "fp", "left")
