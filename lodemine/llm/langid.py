@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -57,7 +58,10 @@ class Centroids:
         y = np.asarray([names.index(x) for x in langs])
         df = (vectors > 0).sum(0)
         idf = (np.log((1 + len(vectors)) / (1 + df)) + 0.05).astype(np.float32)
-        x = _normalise(np.log1p(vectors.astype(np.float32)) * idf)
+        x = vectors.astype(np.float32)
+        np.log1p(x, out=x)
+        x *= idf
+        x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
         rng = np.random.default_rng(seed)
         of, rows, least = [], [], []
         for k in range(len(names)):
@@ -87,7 +91,7 @@ def _normalise(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
 
 
-def fit(docs: DataFrame, sample: int = 6000, **options) -> Centroids:
+def fit(docs: DataFrame, sample: int = 3000, **options) -> Centroids:
     """docs: doc_id, text, lang of the rows to learn from. The window's rows are trimmed to the
     sample's size before they are shuffled (WindowGroupLimit), so that a language that most texts
     have costs no more than another."""
@@ -120,11 +124,12 @@ def identify(docs: DataFrame, model: Centroids, text: str = "text") -> DataFrame
     """Adds lang_pred, score and rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # dims x centroids x languages
 
-    @F.pandas_udf("lang_pred string, score double, rejected boolean")
-    def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double, rejected boolean")
+    def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         for col in batches:
-            yield pd.DataFrame([m.predict(t) for t in col], columns=["lang_pred", "score", "rejected"])
+            rows = [m.predict(t.as_py()) for t in col]
+            yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))], ["lang_pred", "score", "rejected"])
 
     return docs.withColumn("_p", predicted(F.col(text))).select("*", "_p.*").drop("_p")
 
