@@ -15,16 +15,18 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemine.llm.common import read
+from lodemine.llm.common import Recent, read
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -48,7 +50,7 @@ def byte_alphabet() -> list[str]:
 class BpeModel:
     """block: symbols taken in beyond the lookahead before the buffer is tokenised."""
 
-    def __init__(self, path: str, block: int = 256, cache_words: int = 400_000):
+    def __init__(self, path: str, block: int = 256, cache_words: int = 120_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -60,12 +62,15 @@ class BpeModel:
         self.piece = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.alphabet = byte_alphabet()
         self.lookahead = sufficient_lookahead(self.merges, self.suffix)
-        self.block, self.cache_words = block, cache_words
+        self.block = block
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(pattern.replace("\\s", _SPACE))
+        pattern = pattern.replace("\\s", _SPACE)
+        self.words = regex.compile(pattern)
+        self.ascii_words = re.compile(pattern.replace("\\p{L}", "a-z").replace("\\p{N}", "0-9"))  # of lower-cased ASCII
         self.spaces = regex.compile(f"[{_SPACE}]+")
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.cache: dict[str, tuple[str, int, str]] = {}
+        self.by_word = Recent(self.word, cache_words)
+        self.by_chunk = Recent(self.chunk, cache_words)
 
     # -- encoding
 
@@ -87,21 +92,17 @@ class BpeModel:
         return self.spaces.sub(" ", text).lower()
 
     def merge(self, symbols: list[str]) -> list[str]:
-        """Applies the merges, lowest rank first and leftmost first within a rank."""
-        rank = self.rank
-        while len(symbols) > 1:
-            best, pair = min((rank.get(p, 1 << 60), p) for p in zip(symbols, symbols[1:]))
-            if best == 1 << 60:
-                break
-            out, i, last = [], 0, len(symbols) - 1
-            while i <= last:
-                if i < last and symbols[i] == pair[0] and symbols[i + 1] == pair[1]:
-                    out.append(pair[0] + pair[1])
-                    i += 2
-                else:
-                    out.append(symbols[i])
-                    i += 1
-            symbols = out
+        """Applies the merges in place, lowest rank first and leftmost first within a rank."""
+        get, none = self.rank.get, len(self.rank)
+        ranks = [get(p, none) for p in zip(symbols, symbols[1:])]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            symbols[i] += symbols.pop(i + 1)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((symbols[i - 1], symbols[i]), none)
+            if i < len(ranks):
+                ranks[i] = get((symbols[i], symbols[i + 1]), none)
         return symbols
 
     def encode_symbols(self, symbols: Iterable[str]) -> Iterator[str]:
@@ -116,7 +117,7 @@ class BpeModel:
             buffer.append(s)
             if len(buffer) >= size:
                 end, kept = 0, 0
-                for t in self.merge(buffer[:]):
+                for t in self.merge(buffer.copy()):
                     end += self.width(t)
                     if end > len(buffer) - ahead:
                         break
@@ -137,27 +138,52 @@ class BpeModel:
             yield self.alphabet[b] + (self.suffix if i == last else "")
 
     def word(self, word: str) -> tuple[str, int, str]:
-        """Decimal ids joined by spaces, their number, pieces joined by spaces."""
-        tokens = list(self.encode_symbols(self.word_symbols(word)))
-        out = " ".join(str(self.vocab[t]) for t in tokens), len(tokens), " ".join(tokens)
-        if len(word) <= 64:
-            if len(self.cache) >= self.cache_words:
-                self.cache.clear()
-            self.cache[word] = out
-        return out
-
-    def encode(self, text: str) -> Iterator[tuple[str, int, str]]:
-        """For each word or special token of the text: what word() gives."""
-        cache = self.cache
-        for part, special in self.segments(text):
-            if special:
-                yield str(self.special[part]), 1, part
+        """Of a word as the pattern cuts it: decimal ids joined by spaces, their number, pieces
+        joined by spaces."""
+        raw = word.encode()
+        if len(raw) < self.lookahead + self.block:  # what encode_symbols() does with a short word
+            alphabet = self.alphabet
+            symbols = [alphabet[b] for b in raw]
+            symbols[-1] += self.suffix
+            tokens = self.merge(symbols)
+        else:
+            tokens = list(self.encode_symbols(self.word_symbols(word)))
+        vocab = self.vocab
+        return " ".join([str(vocab[t]) for t in tokens]), len(tokens), " ".join(tokens)
+
+    def chunk(self, chunk: str) -> tuple[str, int, str]:
+        """Of a run of text without white space, which no word or special token reaches beyond:
+        what word() gives ("", 0, "" if it has no tokens)."""
+        if self.cut and self.cut.search(chunk):
+            got = []
+            for part, special in self.segments(chunk):
+                got += [(str(self.special[part]), 1, part)] if special else [self.by_word[m] for m in self.words.findall(self.normalize(part))]
+        elif chunk.isascii():
+            got = [self.by_word[m] for m in self.ascii_words.findall(chunk.lower())]
+        else:
+            got = [self.by_word[m] for m in self.words.findall(self.normalize(chunk))]
+        if len(got) == 1:
+            return got[0]
+        return " ".join([g[0] for g in got]), sum([g[1] for g in got]), " ".join([g[2] for g in got])
+
+    def encode(self, text: str, lump: int = 1 << 16) -> Iterator[list[tuple[str, int, str]]]:
+        """Lists of what chunk() gives, for about a lump of the text each."""
+        at = 0
+        while at < len(text):
+            end = at + lump
+            if end < len(text):
+                m = self.spaces.search(text, end)
+                end = m.end() if m else len(text)
+            part = text[at:end]
+            if any(c in part for c in "\x1c\x1d\x1e\x1f"):  # white space to Python, not to the file
+                chunks = [c for c in self.spaces.split(part) if c]
             else:
-                for m in self.words.findall(self.normalize(part)):
-                    yield cache.get(m) or self.word(m)
+                chunks = part.split()
+            yield [g for g in map(self.by_chunk.__getitem__, chunks) if g[1]]
+            at = end
 
     def encode_ids(self, text: str) -> list[int]:
-        return [int(i) for ids, _, _ in self.encode(text) for i in ids.split(" ")]
+        return [int(i) for got in self.encode(text) for ids, _, _ in got for i in ids.split(" ")]
 
 
 def sufficient_lookahead(merges: list[tuple[str, str]], suffix: str = "") -> int:
@@ -213,28 +239,14 @@ def _model(path: str) -> BpeModel:
     return BpeModel(path)
 
 
-def _digests(model: BpeModel, text: str, lump: int = 4096) -> tuple[int, str, str]:
-    ids, decoded, n, join = hashlib.sha256(), hashlib.sha256(), 0, False
-    a: list[str] = []
-    b: list[str] = []
-
-    def flush() -> None:
-        nonlocal join
-        if a:
-            sep = " " if join else ""
-            ids.update((sep + " ".join(a)).encode())
-            decoded.update((sep + " ".join(b)).encode())
-            join = True
-            a.clear()
-            b.clear()
-
-    for x, k, y in model.encode(text):
-        a.append(x)
-        b.append(y)
-        n += k
-        if len(a) >= lump:
-            flush()
-    flush()
+def _digests(model: BpeModel, text: str) -> tuple[int, str, str]:
+    ids, decoded, n = hashlib.sha256(), hashlib.sha256(), 0
+    for got in model.encode(text):
+        if got:
+            sep = " " if n else ""
+            ids.update((sep + " ".join([g[0] for g in got])).encode())
+            decoded.update((sep + " ".join([g[2] for g in got])).encode())
+            n += sum([g[1] for g in got])
     return n, ids.hexdigest(), decoded.hexdigest()
 
 
@@ -272,11 +284,14 @@ def encode_digests(docs: DataFrame, text: str = "text", path: str | None = None)
     of a text are never held as a whole."""
     path = path or tokenizer_path()
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    kinds = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = _model(path)
         for texts in batches:
-            yield pd.DataFrame([_digests(model, t or "") for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            rows = [_digests(model, t.as_py() or "") for t in texts]
+            yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(kinds)], [name for name, _ in kinds])
 
     return docs.withColumn("_bpe", digest(F.col(text))).select("*", "_bpe.*").drop("_bpe")
 

@@ -59,3 +59,22 @@ def text_or_empty(col: str | Column = "text") -> Column:
 def fold_remainder(doc_id: str | Column, n: int) -> Column:
     """crc32(doc_id as text) mod n; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(None)).cast("string").cast("binary")), F.lit(n))
+
+
+class Recent(dict):
+    """Results of a function, by text; at most about two times ``most``, what was used of late."""
+
+    def __init__(self, of, most: int, longest: int = 64):
+        self.of, self.most, self.longest, self.before = of, most, longest, {}
+
+    def __missing__(self, text: str):
+        found = self.before.get(text)
+        if found is None:
+            found = self.of(text)
+            if len(text) > self.longest:
+                return found
+        if len(self) >= self.most:
+            self.before = dict(self)
+            self.clear()
+        self[text] = found
+        return found
