@@ -109,6 +109,10 @@ def trigram_query(pattern: str) -> Query:
                     strings = all_of
                 elif strings is not None and (least, most) == (0, 1):
                     strings |= {""}
+                elif strings is not None and least and len(run) * len(strings) <= MOST_STRINGS:
+                    run = frozenset(a + b for a in run for b in strings)  # the first repetition
+                    flush()
+                    continue
                 else:
                     strings, inner = None, one if least else ANY
             elif op is sre.AT:
