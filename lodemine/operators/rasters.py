@@ -106,3 +106,103 @@ def synthetic_images(spark: SparkSession, images: DataFrame, nrows: int = 96, nc
         return pd.Series(out)
 
     return images.select("imidx", "is_pos", F.lit(nrows).alias("nrows"), F.lit(ncols).alias("ncols"), raster("imidx").alias("raster"))
+
+
+def nearest_in_images(images: DataFrame, centers: DataFrame, params: PyramidParams = PyramidParams(), min_gradient: float = 9.0, chunk: int = 4096, block: int = 2048) -> DataFrame:
+    """patch_id, imidx, dist, level, cy, cx: of each image the window nearest to each centre.
+
+    The windows of an image are scored where they are made. Centres (patch_id, feat) go out in
+    chunks of bounded size, one pass over the images for each; their number bounds the passes, not
+    the memory. Ties go to the first window in order of level, column, row."""
+    count = centers.count()
+    chunks = max(1, -(-count // chunk))
+    n, out = params.patch_cells, None
+    for part in range(chunks):
+        got = centers.filter(F.pmod(F.xxhash64("patch_id"), F.lit(chunks)) == part).orderBy("patch_id").toPandas()
+        if not len(got):
+            continue
+        from lodemine.operators.neighbours import standardise_rows
+
+        model = images.sparkSession.sparkContext.broadcast((got["patch_id"].to_numpy(), standardise_rows(np.stack([np.asarray(f, float) for f in got["feat"]]))))
+
+        def rows(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
+            ids, c = model.value
+            norm = (c * c).sum(1)
+            for pdf in batches:
+                for i, r, h, w in zip(pdf["imidx"], pdf["raster"], pdf["nrows"], pdf["ncols"]):
+                    best, where = np.full(len(ids), np.inf), np.zeros((len(ids), 3), int)
+                    for k, level in enumerate(P.build(_image(r, h, w), params).levels):
+                        f, _, cy, cx = P.windows(level, n, min_gradient)
+                        for a in range(0, len(f), block):
+                            t = standardise_rows(f[a : a + block])
+                            d = np.maximum((t * t).sum(1)[:, None] - 2 * (t @ c.T) + norm, 0)
+                            j = d.argmin(0)
+                            near = d[j, np.arange(len(ids))]
+                            better = near < best
+                            best[better] = near[better]
+                            where[better] = np.stack([np.full(len(j), k), cy[a + j], cx[a + j]], 1)[better]
+                    ok = np.isfinite(best)
+                    yield pd.DataFrame({"patch_id": ids[ok], "imidx": np.full(ok.sum(), i), "dist": best[ok], "level": where[ok, 0], "cy": where[ok, 1], "cx": where[ok, 2]})
+
+        near = images.select("imidx", "raster", "nrows", "ncols").mapInPandas(rows, "patch_id long, imidx int, dist double, level int, cy int, cx int")
+        out = near if out is None else out.unionByName(near)
+    return out if out is not None else images.sparkSession.createDataFrame([], "patch_id long, imidx int, dist double, level int, cy int, cx int")
+
+
+def features_at(cells: DataFrame, images: DataFrame, params: PyramidParams = PyramidParams()) -> DataFrame:
+    """cells (imidx, level, cy, cx and more) with ``feat`` and the window's box: each image's pyramid
+    is built once, for the cells that name it."""
+    n = params.patch_cells
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema) + f", feat array<double>, {BOX}"
+
+    def fetch(wanted: pd.DataFrame, image: pd.DataFrame) -> pd.DataFrame:
+        if not len(image) or not len(wanted):
+            return pd.DataFrame(columns=[*wanted.columns, "feat", "x1", "y1", "x2", "y2"])
+        r = image.iloc[0]
+        p = P.build(_image(r["raster"], r["nrows"], r["ncols"]), params)
+        feats, boxes = [], []
+        for level, cy, cx in zip(wanted["level"], wanted["cy"], wanted["cx"]):
+            lv = p.levels[level]
+            feats.append(lv.cells[cy : cy + n, cx : cx + n].ravel(order="F"))
+            boxes.append(_box(np.asarray(cy), np.asarray(cx), params.cell * lv.scale / p.canonical_scale, n, r["nrows"], r["ncols"]))
+        out = wanted.assign(feat=feats)
+        out[["x1", "y1", "x2", "y2"]] = np.array(boxes, int)
+        return out
+
+    return cells.groupBy("imidx").cogroup(images.select("imidx", "raster", "nrows", "ncols").groupBy("imidx")).applyInPandas(fetch, schema)
+
+
+def crop_patches(boxes: DataFrame, images: DataFrame, longer_side: int | None = 80) -> DataFrame:
+    """boxes (imidx, x1, y1, x2, y2 and more) with ``png``: the pixels of each box. Rows of an image
+    meet in one task and are cut from it one after another."""
+    from lodemine.kernels.png import encode
+    from lodemine.kernels.resize import to_bytes
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in boxes.schema) + ", png binary"
+
+    def cut(wanted: pd.DataFrame, image: pd.DataFrame) -> pd.DataFrame:
+        if not len(image) or not len(wanted):
+            return pd.DataFrame(columns=[*wanted.columns, "png"])
+        r = image.iloc[0]
+        x = _image(r["raster"], r["nrows"], r["ncols"])
+        return wanted.assign(png=[encode(to_bytes(P.crop(x, *b, longer_side))) for b in wanted[["x1", "y1", "x2", "y2"]].itertuples(index=False)])
+
+    return boxes.groupBy("imidx").cogroup(images.select("imidx", "raster", "nrows", "ncols").groupBy("imidx")).applyInPandas(cut, schema)
+
+
+def featurise_crops(crops: DataFrame, params: PyramidParams = PyramidParams()) -> DataFrame:
+    """crops (id, raster, nrows, ncols) as one window each: the crop is scaled to a patch."""
+    from dataclasses import replace
+
+    small = replace(params, canonical_size=params.patch_size)
+
+    @F.pandas_udf("array<double>")
+    def feat(raster: pd.Series, nrows: pd.Series, ncols: pd.Series) -> pd.Series:
+        out = []
+        for r, h, w in zip(raster, nrows, ncols):
+            level = P.build(_image(r, h, w), small, [0]).levels
+            f = P.windows(level[0], small.patch_cells)[0] if level else np.zeros((0, 0))
+            out.append(f[0] if len(f) else None)
+        return pd.Series(out)
+
+    return crops.withColumn("feat", feat("raster", "nrows", "ncols"))

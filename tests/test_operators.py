@@ -144,3 +144,44 @@ def test_stage_tables(spark, tmp_path):
     assert stages.stage(spark, str(tmp_path), "a.b", make).count() == 3
     assert stages.stage(spark, str(tmp_path), "a.b", make).count() == 3
     assert len(made) == 1 and stages.stage_path(str(tmp_path), "a.b").endswith("/a/b")
+
+
+def small_images(spark, n=4):
+    from lodemine.operators.rasters import synthetic_images
+
+    return synthetic_images(spark, spark.createDataFrame([(i, i < n // 2) for i in range(n)], "imidx int, is_pos boolean"))
+
+
+def small_params():
+    from lodemine.config import PyramidParams
+
+    return PyramidParams(canonical_size=96, patch_size=40)
+
+
+def test_nearest_window_of_an_image_is_the_patch_itself(spark):
+    from lodemine.operators import rasters
+
+    im = small_images(spark)
+    seeds = rasters.sample_patches(im, small_params(), most=2).cache()
+    near = rasters.nearest_in_images(im, seeds.select("patch_id", "feat"), small_params(), 0.0, chunk=3)
+    own = near.join(seeds.select("patch_id", "imidx", "level", "cy", "cx"), ["patch_id", "imidx", "level", "cy", "cx"])
+    assert own.count() == seeds.count() and own.agg(F.max("dist")).first()[0] < 1e-12
+    assert near.count() == seeds.count() * 4
+    again = rasters.features_at(seeds.select("patch_id", "imidx", "level", "cy", "cx", F.col("feat").alias("was")), im, small_params()).collect()
+    assert all(np.allclose(r.was, r.feat) for r in again) and len(again) == seeds.count()
+
+
+def test_crops_are_pictures_that_spark_reads(spark, tmp_path):
+    from lodemine.operators import rasters
+    from lodemine.sources.images import decode
+
+    im = small_images(spark)
+    boxes = spark.createDataFrame([(0, 1, 10, 10, 49, 29), (1, 3, 0, 0, 95, 95)], "id int, imidx int, x1 int, y1 int, x2 int, y2 int")
+    for r in rasters.crop_patches(boxes, im, None).collect():
+        (tmp_path / f"{r.id}.png").write_bytes(bytes(r.png))
+    got = {r.name: r for r in decode(spark.read.format("image").load(str(tmp_path)).withColumn("name", F.element_at(F.split("image.origin", "/"), -1))).collect()}
+    raster = np.frombuffer(im.filter("imidx = 1").first().raster, np.float32).reshape(96, 128, 3)
+    crop = np.frombuffer(got["0.png"].raster, np.float32).reshape(got["0.png"].nrows, got["0.png"].ncols, 3)
+    assert crop.shape == (20, 40, 3) and np.abs(crop - raster[10:30, 10:50]).max() < 0.01
+    feat = rasters.featurise_crops(im.select("imidx", "raster", "nrows", "ncols"), small_params()).first().feat
+    assert len(feat) == small_params().feature_width
