@@ -20,7 +20,7 @@ import math
 import re
 from collections import defaultdict
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -232,9 +232,9 @@ def main_text(page: str | None, share: float = 0.5, cover: float = 0.5) -> str:
 def extract(pages: DataFrame, html: str = "html", share: float = 0.5, cover: float = 0.5) -> DataFrame:
     """Adds ``text`` and ``n_chars`` and drops the markup."""
 
-    @F.pandas_udf("string")
-    def text(col: pd.Series) -> pd.Series:
-        return pd.Series([main_text(x, share, cover) for x in col], dtype=object)
+    @F.arrow_udf("string")
+    def text(col: pa.Array) -> pa.Array:
+        return pa.array([main_text(x.as_py(), share, cover) for x in col], pa.string())
 
     return pages.withColumn("text", text(F.col(html))).drop(html).withColumn("n_chars", F.length("text").cast("long"))
 
