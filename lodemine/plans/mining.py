@@ -178,18 +178,45 @@ class MiningJob:
         return self._stage("final.report", make)
 
 
+def tables_from_folders(spark: SparkSession, base: str, positives: list[str], negatives: list[str], params: MiningParams, pattern: str = "*.jpg") -> tuple[DataFrame, DataFrame]:
+    """patches and images of a job from folders of pictures: scan, decode, and draw patches by
+    gradient weight from every image."""
+    from lodemine.operators.rasters import sample_patches
+
+    files = I.scan_folders(spark, base, positives, negatives, pattern)
+    folders = [f"{base.rstrip('/')}/{b}" for b in [*positives, *negatives]]
+    pictures = spark.read.format("image").option("pathGlobFilter", pattern).load(folders)
+    name = F.concat_ws("/", F.slice(F.split("image.origin", "/"), -2, 2))
+    rows = I.decode(pictures.withColumn("fullname", name), params.pyramid.pixel_scale).join(files.drop("path"), "fullname")
+    images = settle(rows.select(F.col("imidx").cast("int").alias("imidx"), (F.col("label") == "positive").alias("is_pos"), "nrows", "ncols", "fullname", "raster"))
+    patches = sample_patches(images, params.pyramid, params.seed).join(images.select("imidx", "is_pos"), "imidx")
+    return patches.select("patch_id", "imidx", "is_pos", "feat", "x1", "y1", "x2", "y2"), images.drop("raster")
+
+
 def main(argv: list[str] | None = None) -> None:
-    """Job script: patches and images as Parquet in, stage tables and the report out."""
+    """Job script: patches and images as Parquet, or folders of pictures, in; stage tables and the
+    report out."""
     import argparse
 
     a = argparse.ArgumentParser(description=main.__doc__)
-    a.add_argument("--patches", required=True)
-    a.add_argument("--images", required=True)
+    a.add_argument("--patches")
+    a.add_argument("--images")
+    a.add_argument("--basepath", help="a folder with one folder per bin")
+    a.add_argument("--positives", nargs="*", default=[])
+    a.add_argument("--negatives", nargs="*", default=[])
+    a.add_argument("--pattern", default="*.jpg")
     a.add_argument("--outdir", required=True)
     a.add_argument("--fresh", action="store_true", help="make every stage anew")
     got = a.parse_args(argv)
     spark = SparkSession.builder.appName("lodemine").getOrCreate()
-    job = MiningJob(spark, spark.read.parquet(got.patches), spark.read.parquet(got.images), got.outdir, resume=not got.fresh)
+    if got.basepath:
+        params = MiningParams()
+        made = lambda: tables_from_folders(spark, got.basepath, got.positives, got.negatives, params, got.pattern)
+        patches = stage(spark, got.outdir, "input.patches", lambda: made()[0], not got.fresh)
+        images = stage(spark, got.outdir, "input.images", lambda: made()[1], not got.fresh)
+    else:
+        patches, images = spark.read.parquet(got.patches), spark.read.parquet(got.images)
+    job = MiningJob(spark, patches, images, got.outdir, resume=not got.fresh)
     report.write_page(job.report(), f"{got.outdir}/report")
 
 

@@ -185,3 +185,18 @@ def test_crops_are_pictures_that_spark_reads(spark, tmp_path):
     assert crop.shape == (20, 40, 3) and np.abs(crop - raster[10:30, 10:50]).max() < 0.01
     feat = rasters.featurise_crops(im.select("imidx", "raster", "nrows", "ncols"), small_params()).first().feat
     assert len(feat) == small_params().feature_width
+
+
+def test_tables_from_folders(spark, tmp_path):
+    from lodemine.config import MiningParams
+    from lodemine.kernels.png import encode
+    from lodemine.plans.mining import tables_from_folders
+
+    rng = np.random.default_rng(0)
+    for b in ("p", "n"):
+        (tmp_path / b).mkdir()
+        for i in range(2):
+            (tmp_path / b / f"{i}.png").write_bytes(encode(rng.integers(0, 256, (96, 100, 3), dtype=np.uint8)))
+    patches, images = tables_from_folders(spark, str(tmp_path), ["p"], ["n"], MiningParams(pyramid=small_params()), "*.png")
+    assert {(r.fullname, r.is_pos, r.nrows, r.ncols) for r in images.collect()} == {(f"{b}/{i}.png", b == "p", 96, 100) for b in "pn" for i in range(2)}
+    assert patches.groupBy("imidx").count().count() == 4
