@@ -31,6 +31,16 @@ def lookup(wanted: DataFrame, rows: DataFrame, on: list[str], fields: list[str],
     return wanted.join(got, on, "left").withColumn("found", F.coalesce("found", F.array().cast(got.schema["found"].dataType)))
 
 
+def has_field(df: DataFrame, path: str) -> bool:
+    """Whether the schema has a column or a nested field of that dotted name."""
+    kind = df.schema
+    for name in path.split("."):
+        if name not in getattr(kind, "names", []):
+            return False
+        kind = kind[name].dataType
+    return True
+
+
 def laplace(pos: Column, neg: Column) -> Column:
     return (pos + 1) / (pos + neg + 2)
 

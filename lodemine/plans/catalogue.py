@@ -705,3 +705,101 @@ def detect_in_images(spark, sf):
     models = M.fit_clusters(seeds.select(F.col("imidx").cast("long").alias("cluster_id"), "feat"), sample_patches(im.filter("NOT is_pos"), _small(), most=2).select("feat"))
     found = detect(im, models, _small(), DetectionParams(threshold=-0.9))
     return found.select("detector", "imidx", "level", "x1", "y1", "x2", "y2", F.round("decision", 6).alias("decision"))
+
+
+# -- further operators on the views
+
+
+@query(
+    """WITH p AS (SELECT event_id, (event_id * 7) % 256 / 255.0 AS r, (event_id * 31) % 256 / 255.0 AS g, (event_id * 101) % 256 / 255.0 AS b FROM events),
+t AS (SELECT event_id, (0.412453 * r + 0.357580 * g + 0.180423 * b) / 0.950456 AS x, 0.212671 * r + 0.715160 * g + 0.072169 * b AS y, (0.019334 * r + 0.119193 * g + 0.950227 * b) / 1.088754 AS z FROM p),
+f AS (SELECT event_id, y, CASE WHEN x > 0.008856 THEN cbrt(x) ELSE 7.787 * x + 16 / 116.0 END AS fx, CASE WHEN y > 0.008856 THEN cbrt(y) ELSE 7.787 * y + 16 / 116.0 END AS fy, CASE WHEN z > 0.008856 THEN cbrt(z) ELSE 7.787 * z + 16 / 116.0 END AS fz FROM t)
+SELECT event_id, round(CASE WHEN y > 0.008856 THEN 116 * fy - 16 ELSE 903.3 * y END, 5) + 0.0 AS l, round(500 * (fx - fy), 5) + 0.0 AS a, round(200 * (fy - fz), 5) + 0.0 AS b FROM f"""
+)
+def lab_pixels(spark, sf):
+    from lodemine.functions.color import lab
+
+    part = lambda k: (F.col("event_id") * k) % 256 / 255.0
+    got = spark.read.parquet(f"{sf}/events.parquet").select("event_id", lab(part(7), part(31), part(101)).alias("c"))
+    return got.select("event_id", _R(F.col("c.L"), 5).alias("l"), _R(F.col("c.a"), 5).alias("a"), _R(F.col("c.b"), 5).alias("b"))
+
+
+@query("SELECT DISTINCT d.detector, CAST(r.k - 1 AS INT) AS position FROM detections d JOIN (SELECT detector, row_number() OVER (ORDER BY detector) AS k FROM (SELECT DISTINCT detector FROM detections)) r USING (detector)", "detections")
+def detector_id_map(spark, sf):
+    ids = detections(spark, sf).select("detector").distinct()  # a row per detector
+    return ids.withColumn("position", (F.row_number().over(Window.orderBy("detector")) - 1).cast("int"))
+
+
+@query("SELECT imidx, CAST(count(*) AS INT) AS n, max(decision) AS best, min(det_id) AS first FROM detections GROUP BY imidx", "detections")
+def regroup_by_image(spark, sf):
+    d = detections(spark, sf)
+    got = L.lookup(d.select("imidx").distinct(), d, ["imidx"], ["detector", "decision"], ["det_id"])
+    return got.select("imidx", F.size("found").alias("n"), F.array_max("found.decision").alias("best"), F.get("found", F.lit(0)).getField("det_id").alias("first"))
+
+
+@query(
+    """WITH a AS (SELECT detector, CAST(detector % 4 AS INT) AS age, count(*) FILTER (decision > 90) AS votes FROM detections GROUP BY detector)
+SELECT detector, CASE WHEN votes <= 2 THEN 'dropped' WHEN age >= 2 THEN 'finished' ELSE 'active' END AS state, CASE WHEN votes > 2 AND age < 2 THEN age + 1 END IS NOT NULL AS goes_on FROM a""",
+    "detections",
+)
+def retire_clusters(spark, sf):
+    d = detections(spark, sf)
+    ages = d.select("detector", (F.col("detector") % 4).alias("age")).distinct()
+    voted = R.at_least(d.filter("decision > 90"), ["detector"], 2)
+    kept, gone = L.semi(ages, voted, "detector"), L.anti(ages, voted, "detector")
+    state = F.when(F.col("age") >= 2, "finished").otherwise("active")
+    return kept.select("detector", state.alias("state"), (F.col("age") < 2).alias("goes_on")).unionByName(gone.select("detector", F.lit("dropped").alias("state"), F.lit(False).alias("goes_on")))
+
+
+@query("SELECT imidx FROM images WHERE NOT is_pos AND imidx IN (SELECT imidx FROM detections WHERE decision > 50)", "patches images detections")
+def train_negative_mask(spark, sf):
+    return L.semi(images(spark, sf).filter("NOT is_pos"), detections(spark, sf).filter("decision > 50"), "imidx").select("imidx")
+
+
+@query(TOP + " SELECT detector, det_id FROM r WHERE rank <= 5 AND imidx >= 0", "detections")
+def first_valid(spark, sf):
+    return R.top_n(detections(spark, sf).filter("imidx IS NOT NULL"), 5).select("detector", "det_id")
+
+
+@query(_greedy_sql(OVER + ", bad AS (SELECT a, b FROM o WHERE iou > 0.3 GROUP BY a, b HAVING count(DISTINCT d) > 5)").replace("SELECT unnest(ok) AS detector FROM g WHERE k = 20", "SELECT unnest(ok[1:5]) AS detector FROM g WHERE k = 20"), "detections")
+def report_cap(spark, sf):
+    ranks = detections(spark, sf).select("detector").distinct().withColumn("rank", F.col("detector"))
+    return C.accept_in_order(ranks, C.overlap_counts(_top50(spark, sf)).filter("n > 5"), most=5).select("detector")
+
+
+ORACLES["report_cap"] = ORACLES["report_cap"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("SELECT is_pos, count(*) AS n, round(avg(CASE WHEN list_sum([CAST(x AS DOUBLE) for x in feat]) > 0 THEN 1.0 ELSE 0.0 END) * 100, 6) AS accuracy FROM patches GROUP BY is_pos", "patches")
+def accuracy_by_label(spark, sf):
+    hit = F.when(V.total(V.doubles(F.col("feat"))) > 0, 1.0).otherwise(0.0)
+    return patches(spark, sf).groupBy("is_pos").agg(F.count("*").alias("n"), F.round(F.avg(hit) * 100, 6).alias("accuracy"))
+
+
+@query(
+    """SELECT imidx, CAST(ceil(nrows * (400.0 / least(nrows, ncols))) AS BIGINT) AS rows_exact, CAST(ceil(ncols * (400.0 / least(nrows, ncols))) AS BIGINT) AS cols_exact,
+  round(400.0 / nrows, 6) AS scale_fast FROM images""",
+    "patches images",
+)
+def canonical_sizes(spark, sf):
+    rows, cols = F.col("nrows"), F.col("ncols")
+    exact = G.canonical_scale(rows, cols, 400)
+    return images(spark, sf).select("imidx", G.derived_size(rows, exact).alias("rows_exact"), G.derived_size(cols, exact).alias("cols_exact"), F.round(G.canonical_scale(rows, cols, 400, False), 6).alias("scale_fast"))
+
+
+@query()
+def nearest_windows(spark, sf):
+    from lodemine.operators.rasters import nearest_in_images, sample_patches, synthetic_images
+
+    im = synthetic_images(spark, images(spark, sf))
+    centers = sample_patches(im.filter("is_pos"), _small(), most=2).select("patch_id", "feat")
+    return nearest_in_images(im, centers, _small()).withColumn("dist", F.round("dist", 9))
+
+
+@query()
+def patch_crops(spark, sf):
+    from lodemine.operators.rasters import crop_patches, sample_patches, synthetic_images
+
+    im = synthetic_images(spark, images(spark, sf))
+    boxes = sample_patches(im, _small(), most=2).select("patch_id", "imidx", "x1", "y1", "x2", "y2")
+    return crop_patches(boxes, im).select("patch_id", "imidx", F.length("png").alias("bytes"), F.sha2("png", 256).alias("sha256"))

@@ -7,6 +7,8 @@ detections stay in tables.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ from lodemine.sources import images as I
 from lodemine.sources.rounds import settle
 from lodemine.sources.stages import stage
 
+log = logging.getLogger("lodemine")
 DETECTOR = f"{M.MODEL}, round int"
 
 
@@ -31,6 +34,7 @@ class MiningJob:
         self.spark, self.patches, self.images, self.base, self.params, self.resume = spark, patches, images, base, params, resume
 
     def _stage(self, name: str, make) -> DataFrame:
+        log.info("stage %s", name)
         return stage(self.spark, self.base, name, make, self.resume)
 
     # -- candidates
@@ -145,6 +149,7 @@ class MiningJob:
                 feats = self.patches.select(F.col("patch_id").alias("det_id"), "feat")
                 fresh = best.join(feats, "det_id").select("cluster_id", "feat")
                 own = settle(semi(fresh, ids, "cluster_id").unionByName(anti(own, ids, "cluster_id")))
+                log.info("round %d: %d active, %d voted in, %d finished, %d waiting", j, len(active), len(kept), len(finished), len(waiting))
                 active = [c for c in active if c in kept and c not in finished]
                 ages = {c: ages[c] + 1 for c in active}
                 j += 1

@@ -200,3 +200,10 @@ def test_tables_from_folders(spark, tmp_path):
     patches, images = tables_from_folders(spark, str(tmp_path), ["p"], ["n"], MiningParams(pyramid=small_params()), "*.png")
     assert {(r.fullname, r.is_pos, r.nrows, r.ncols) for r in images.collect()} == {(f"{b}/{i}.png", b == "p", 96, 100) for b in "pn" for i in range(2)}
     assert patches.groupBy("imidx").count().count() == 4
+
+
+def test_has_field(spark):
+    from lodemine.operators.relational import has_field
+
+    df = spark.range(1).select(F.struct(F.lit(1).alias("x")).alias("s"))
+    assert has_field(df, "s.x") and not has_field(df, "s.y") and not has_field(df, "t") and not has_field(df, "s.x.z")
