@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodemine.operators.ranking import top
+from lodemine.operators.ranking import global_rank, top
 
 
 def _features(table: pa.Table, column: str) -> np.ndarray:
@@ -70,11 +70,6 @@ def with_labels(topn: DataFrame, images: DataFrame) -> DataFrame:
 
 def purity_rank(topn: DataFrame, depth: int = 20) -> DataFrame:
     """patch_id, purity (positives among the depth nearest), rank over all patches."""
-    from pyspark.sql import Window
-
     counted = topn.filter(F.col("nn_rank") <= depth).groupBy("patch_id").agg(F.sum(F.col("is_pos").cast("long")).alias("purity"))
-    # purity has depth + 1 values: patches are ranked within each, after those of higher purity
-    within = F.row_number().over(Window.partitionBy("purity").orderBy("patch_id"))
-    sizes = counted.groupBy("purity").agg(F.count("*").alias("_n"))
-    above = sizes.select("purity", (F.sum("_n").over(Window.orderBy(F.col("purity").desc())) - F.col("_n")).alias("_above"))
-    return counted.withColumn("_within", within).join(F.broadcast(above), "purity").select("patch_id", "purity", (F.col("_within") + F.col("_above")).cast("int").alias("rank"))
+    ranked = global_rank(counted, [F.col("purity").desc(), F.col("patch_id").asc()])
+    return ranked.select("patch_id", "purity", (F.col("rank") + 1).cast("int").alias("rank"))

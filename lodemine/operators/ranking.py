@@ -10,6 +10,19 @@ def ranked(df: DataFrame, keys: list[str], order: list, name: str = "rank") -> D
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
+def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
+    """Adds the row's position, from 0, in a total order over all rows, without bringing them to one
+    task: rows are dealt by range, numbered in each part, and moved on by the sizes of the parts
+    before (one row per part)."""
+    from lodemine.sources.rounds import settle
+
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = settle(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n") - F.col("_first")).alias("_shift"))
+    return parts.join(F.broadcast(before), "_part").withColumn(name, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
+
+
 def top(df: DataFrame, keys: list[str], order: list, k: int, name: str = "rank") -> DataFrame:
     """The filter on row_number reaches below the shuffle as a WindowGroupLimit."""
     return ranked(df, keys, order, name).filter(F.col(name) <= k)

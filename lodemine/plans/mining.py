@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodemine.config import MiningParams
@@ -96,8 +96,7 @@ class MiningJob:
         scored too high, cull, and fit again."""
         n = self.params
         models = settle(M.fit_clusters(seeds, negatives, c=n.svm_c))
-        order = Window.orderBy("ord")
-        ranked = pool.withColumn("_at", F.row_number().over(order) - 1)
+        ranked = R.global_rank(pool, [F.col("ord").asc()], "_at")
         total, at, step, held = pool.count(), 0, 0, None
         feats = self.patches.select(F.col("patch_id").alias("det_id"), "feat")
         while at < total:

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodemine.operators.ranking import global_rank
+
 
 def scan_folders(spark: SparkSession, base: str, positives: list[str], negatives: list[str], pattern: str = "*.jpg") -> DataFrame:
     """imidx, id, bytes, bin, label, fullname: a row per file of the bins named. Sizes come from the
@@ -16,8 +18,8 @@ def scan_folders(spark: SparkSession, base: str, positives: list[str], negatives
     rows = files.withColumn("bin", bin_).filter(F.col("bin").isin([*positives, *negatives]))
     label = F.when(F.col("bin").isin(positives), "positive").otherwise("negative")
     name = F.element_at(F.split("path", "/"), -1)
-    order = Window.orderBy("bin", "path")
-    return rows.select((F.row_number().over(order) - 1).cast("long").alias("imidx"), name.alias("id"), F.col("length").alias("bytes"), "bin", label.alias("label"), F.concat_ws("/", "bin", name).alias("fullname"), "path")
+    rows = global_rank(rows, [F.col("bin").asc(), F.col("path").asc()], "imidx")
+    return rows.select("imidx", name.alias("id"), F.col("length").alias("bytes"), "bin", label.alias("label"), F.concat_ws("/", "bin", name).alias("fullname"), "path")
 
 
 def sample_per_folder(rows: DataFrame, n: int, folder: str, label: str, order: list, negative: str = "negative") -> DataFrame:
@@ -49,12 +51,8 @@ def decode(images: DataFrame, scale: float = 255.0) -> DataFrame:
 
 
 def image_order(images: DataFrame, key, label: str = "is_pos", idx: str = "imidx") -> DataFrame:
-    """ord, imidx: positives first, within a label by key and then id. Each label is ranked apart;
-    the other label's offset is one number."""
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(key, idx)) - 1
-    positives = images.agg(F.count(F.when(F.col(label), 1)).alias("_offset"))
-    ranked = images.withColumn("_rank", rank).crossJoin(F.broadcast(positives))
-    return ranked.withColumn("ord", F.when(F.col(label), F.col("_rank")).otherwise(F.col("_rank") + F.col("_offset")).cast("long")).drop("_rank", "_offset")
+    """ord, imidx: positives first, within a label by key and then id."""
+    return global_rank(images.withColumn("_key", key), [F.col(label).desc(), F.col("_key").asc(), F.col(idx).asc()], "ord").drop("_key")
 
 
 def seeds(ordered: DataFrame, step: int) -> DataFrame:
@@ -63,13 +61,15 @@ def seeds(ordered: DataFrame, step: int) -> DataFrame:
 
 def rotation(ordered: DataFrame, j: int, label: str = "is_pos") -> DataFrame:
     """Adds part: train or validate for the images of round j, null for the rest. Positives by
-    position mod 3 from j, negatives every 7th position from j (train) or j + 1 (validate)."""
-    pos, neg = F.row_number().over(Window.partitionBy(label).orderBy("ord")) - 1, F.lit(7)
-    at = F.col("_at")
+    position mod 3 from j, negatives every 7th position from j (train) or j + 1 (validate). ord has
+    the positives first, so that a negative's position is what lies beyond them."""
+    positives = ordered.agg(F.count(F.when(F.col(label), 1)).alias("_positives"))  # one row
+    at = F.when(F.col(label), F.col("ord")).otherwise(F.col("ord") - F.col("_positives"))
+    seventh = F.lit(7)
     part = (
         F.when(F.col(label) & (at % 3 == j % 3), "train")
         .when(F.col(label) & (at % 3 == (j + 1) % 3), "validate")
-        .when(~F.col(label) & (at >= j) & (F.pmod(at - j, neg) == 0), "train")
-        .when(~F.col(label) & (at >= j + 1) & (F.pmod(at - j - 1, neg) == 0), "validate")
+        .when(~F.col(label) & (at >= j) & (F.pmod(at - j, seventh) == 0), "train")
+        .when(~F.col(label) & (at >= j + 1) & (F.pmod(at - j - 1, seventh) == 0), "validate")
     )
-    return ordered.withColumn("_at", pos).withColumn("part", part).drop("_at")
+    return ordered.crossJoin(F.broadcast(positives)).withColumn("part", part).drop("_positives")
