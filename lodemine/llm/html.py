@@ -38,21 +38,29 @@ MARKS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar aside complementary footer contentinfo masthead share sharing social related recommended recommendations comment comments reply replies discussion disqus respond toolbar search widget skip hidden".split()
 )
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
-ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+ATTR = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _split = re.compile(r"[^a-z0-9]+")
 _punct = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
+#: Those that mark an article element itself: it is then a comment, a teaser or an advert.
+NOT_THE_ARTICLE = frozenset("ad ads advert adverts advertisement sponsor sponsored promo promotion comment comments reply replies related recommended recommendations".split())
+_about_others = re.compile(r"(?:has|with|without|no|is-not|enable|disable)-")
+
+
 def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
     if tag in SKIP or tag == "header" and not in_article:
         return True
-    if attrs and tag not in ("html", "body", "article", "main"):
-        for name, value in ATTR.findall(attrs):
-            name, value = name.lower(), value.strip("\"'").lower()
-            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-                return True
-            if name in ("class", "id", "role") and not MARKS.isdisjoint(_split.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value))):
-                return True
+    if not attrs or tag in ("html", "body", "main"):
+        return False
+    marks = NOT_THE_ARTICLE if tag == "article" else MARKS
+    for name, value in ATTR.findall(attrs):
+        name, value = name.lower(), re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value.strip("\"'")).lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
+            return True
+        # "has-sidebar" tells of a part, not of the element itself
+        if name in ("class", "id", "role") and any(not marks.isdisjoint(_split.split(v)) for v in value.split() if not _about_others.match(v)):
+            return True
     return False
 
 
@@ -145,7 +153,8 @@ def _blocks(page: str) -> tuple[list[tuple[str, int]], list[tuple[int, str]]]:
         if tag not in INLINE:
             flush()
         parent = stack[-1]
-        skip = parent[2] or _boilerplate(tag, m[3], articles > 0)
+        # a main element is the content, whatever its wrappers are called
+        skip = parent[2] and not (tag == "main" and not any(t in SKIP for t, _, _ in stack)) or _boilerplate(tag, m[3], articles > 0)
         if tag in RAW:
             lower = lower if lower is not None else page.lower()
             stop = lower.find("</" + tag, at) if len(lower) == size else re.search("</" + tag, page[at:], re.I)

@@ -30,6 +30,11 @@ WANT = "Head & shoulders\n\nFirst para, with a break.\n\nSecond para <ok>.\n\non
         (PAGE.replace("<article>", '<div class="post">').replace("</article>", "</div>"), WANT),
         ("<body><article><p>cut &amp; gone</p><p>half <b>a tag</b></p><p cla", "cut & gone\n\nhalf a tag"),
         ("<article><p>1 < 2 &am</p></article>", "1 < 2 &am"),
+        ('<div class="layout has-sidebar"><div class="page"><p>Wrapped, but the text.</p></div></div>', "Wrapped, but the text."),
+        ('<div class="menu-wrap"><main><p>In main, all the same.</p></main></div>', "In main, all the same."),
+        ('<main><article><p>The story, told here.</p></article><article class="comment"><p>I say, what a story, told here!</p></article></main>', "The story, told here."),
+        ('<body><p title="a hidden gem" data-hidden="no">Seen, by all.</p><p hidden>Not seen.</p><p class=ad>Buy.</p></body>', "Seen, by all."),
+        ('<body><p class="cookieNotice">We use cookies, as all do.</p><p>Text, and so on.</p></body>', "Text, and so on."),
         ("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</article>", "deep"),
     ],
 )
