@@ -74,7 +74,8 @@ class KdTree:
         return order, d[order]
 
 
-def nearest(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, dims: int = 8, confidence: float = 0.97, leaf: int = 64, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nearest(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, dims: int = 8, confidence: float = 0.97, leaf: int = 64, seed: int = 5, visited: list[float] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """visited: gets the share of the leaves that each query verified."""
     kept, asked = (x != 0).any(1), (q != 0).any(1)
     ids, x, query_ids, q = ids[kept], x[kept], query_ids[asked], q[asked]
     none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
@@ -98,7 +99,7 @@ def nearest(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray
         at, step = 0, 8
         while at < len(order):
             rows = np.concatenate([np.arange(*tree.leaves[j]) for j in order[at : at + step]])
-            at, step = at + step, 2 * step
+            at, step = at + step, min(2 * step, 32)
             rows = rows[packed_ids[rows] != qid]
             s = packed[rows] @ w
             if len(found) >= k:
@@ -113,6 +114,8 @@ def nearest(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray
                 kth = float(np.partition(score, len(score) - k)[len(score) - k])
                 if edge[at] >= stop * max(2 * most - 2 * kth, 0.0):
                     break
+        if visited is not None:
+            visited.append(min(at, len(order)) / len(order))
         exact = (packed_x[found] * v).sum(1)
         best = np.lexsort((packed_ids[found], -exact))[:k]
         out_q.append(np.full(len(best), qid))

@@ -304,17 +304,16 @@ def test_stop_test_is_a_chi_square_quantile():
     assert ann.chi2_quantile(0.5, 2) == pytest.approx(2 * np.log(2), abs=1e-6)
 
 
-def test_stopping_early_skips_far_leaves(monkeypatch):
+def test_stopping_early_skips_far_leaves():
     rng = np.random.default_rng(7)
-    centres = rng.normal(size=(60, 32)) * 4
-    x = np.concatenate([c + 0.1 * rng.normal(size=(100, 32)) for c in centres])
-    ids = np.arange(len(x))
-    seen = []
-    real = ann.KdTree.by_distance
-    monkeypatch.setattr(ann.KdTree, "by_distance", lambda self, p: seen.append(len(self.leaves)) or real(self, p))
-    q, i, s = ann.nearest(ids, x, ids[:20], x[:20], 10)
-    hit = np.mean([len(set(i[q == k]) & set(np.argsort(-np.where(ids == k, -np.inf, x @ x[k]))[:10])) / 10 for k in range(20)])
-    assert hit >= 0.9 and len(seen) == 20
+    centres = rng.normal(size=(200, 32))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    x = np.repeat(centres, 60, 0) + 0.02 * rng.normal(size=(12000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids, visited = np.arange(len(x)), []
+    q, i, s = ann.nearest(ids, x, ids[::600], x[::600], 10, visited=visited)
+    hit = np.mean([len(set(i[q == k]) & set(np.argsort(-np.where(ids == k, -np.inf, x @ x[k]))[:10])) / 10 for k in ids[::600]])
+    assert hit >= 0.9 and np.mean(visited) < 0.5
 
 
 # -- SQL
