@@ -40,11 +40,15 @@ def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return ids, x
 
 
-def search(queries: DataFrame, candidates: DataFrame, kernel: Kernel, k: int, score: str, block_rows: int, group_rows: int) -> DataFrame:
-    """queries, candidates: vec_id, v. kernel: (ids, vectors, query ids, query vectors, k) to
+def search(queries: DataFrame, candidates: DataFrame, kernel: Kernel, k: int, score: str, block_rows: int, group_rows: int, most_group_rows: int = 8192) -> DataFrame:
+    """queries, candidates: vec_id, v. Candidates are copied once per group of queries and queries
+    once per block, so groups are as large as the bound allows, but for small inputs, where groups
+    down to group_rows give all cores work. kernel: (ids, vectors, query ids, query vectors, k) to
     (query ids, ids, scores) of the k best of each. score: the type of the score."""
     n_c, n_q = candidates.count(), queries.count()
-    blocks, groups = max(1, math.ceil(n_c / block_rows)), max(1, math.ceil(n_q / group_rows))
+    blocks = max(1, math.ceil(n_c / block_rows))
+    spread = min(math.ceil(n_q / group_rows), math.ceil(3 * queries.sparkSession.sparkContext.defaultParallelism / blocks))
+    groups = max(1, math.ceil(n_q / most_group_rows), spread)
     left = candidates.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
     left = left.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     right = queries.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).cast("int").alias("grp"))
