@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: a run of code points outside space and \t..\r.
@@ -61,6 +61,20 @@ def fold_remainder(doc_id: str | Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(None)).cast("string").cast("binary")), F.lit(n))
 
 
+def sample_by_hash(rows: DataFrame, group: str, key: str, k: int) -> DataFrame:
+    """The k rows of each group whose key has the smallest hash, repeated rows once.
+
+    Groups are counted first, and only rows under a hash bound that about 4 k of the group pass are
+    ranked: what is shuffled doesn't grow with the input or with its partitions. Should fewer than
+    k pass (which the counts make all but impossible), the sample is smaller. group has few values."""
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))
+    h = F.xxhash64(key)
+    near = F.pmod(h, F.lit(1 << 20)) / F.lit(float(1 << 20)) < F.lit(4.0 * k + 64) / F.col("_n")
+    passed = rows.select(group, key).join(F.broadcast(sizes), group).filter(near).drop("_n").distinct()
+    order = Window.partitionBy(group).orderBy(F.xxhash64(key, F.lit(1)), key)
+    return passed.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= k).drop("_k")
+
+
 class Recent(dict):
     """Results of a function, by text; at most about two times ``most``, what was used of late."""
 
@@ -78,3 +92,7 @@ class Recent(dict):
             self.clear()
         self[text] = found
         return found
+
+    def forget(self) -> None:
+        self.clear()
+        self.before = {}

@@ -1,10 +1,12 @@
 """Toxicity by subword-bag embeddings: character n-gram vectors averaged into a linear softmax.
 
 A word's vector is the mean of the vectors of its character 3- to 5-grams and of itself, all
-hashed into ``buckets`` rows; a bag's vector is the mean over its words; a linear softmax on top
-gives the probability. Vectors and softmax are trained jointly with Adagrad in numpy. Abuse is a
+hashed into ``buckets`` rows; a bag's vector is the mean over its words (a word that repeats its
+predecessor counts once, and a bag of fewer words is filled up with zero vectors); a linear softmax on top
+gives the probability, calibrated on a part of the sample that is set aside. Vectors and softmax are trained jointly with Adagrad in numpy. Abuse is a
 few words in a long text, so bags are windows of ``window`` words: a text is as toxic as its worst
-window, and training turns to the worst windows of toxic and of clean texts round by round.
+window. Training starts on random windows of all texts and turns, round by round, to the ``top``
+worst windows of toxic and of clean texts.
 
 The model is fitted on a bounded sample of labelled rows (``per_class`` rows of each class, first
 by a hash of doc_id, and at most ``max_chars`` characters in all); every text is scored whole. As
@@ -20,25 +22,26 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemine.llm.common import fold_remainder, read
+from lodemine.llm.common import Recent, fold_remainder, read, sample_by_hash
 
-_words = re.compile(r"[^\W\d_]+")
+_words = re.compile(r"[^\W_]+")
 
 
 class SubwordBags:
     def __init__(self, buckets: int = 1 << 17, dim: int = 8, window: int = 8, smallest: int = 3, largest: int = 5):
         self.buckets, self.dim, self.window, self.smallest, self.largest = buckets, dim, window, smallest, largest
         self.folded = np.zeros(buckets, np.float32)
-        self.bias = 0.0
+        self.bias, self.scale = 0.0, 1.0
         self.prior: float | None = 0.0  # if not None, the score of every text
-        self.cache: dict[str, float] = {}
+        self.cache = Recent(self.value, 200_000)
 
     # -- features
 
@@ -52,20 +55,29 @@ class SubwordBags:
 
     # -- fitting
 
-    def fit(self, texts: list[str], labels: list[int], seed: int = 7, rounds: int = 4, epochs: int = 2, top: int = 2, random_windows: int = 12, rate: float = 0.5) -> SubwordBags:
+    def fit(self, texts: list[str], labels: list[int], seed: int = 7, rounds: int = 6, epochs: int = 3, top: int = 2, first_windows: int = 60_000, rate: float = 0.5, calibrate: float = 0.15, share: float = 0.25) -> SubwordBags:
+        """calibrate: the part set aside; share: of toxic texts, for which scores are calibrated."""
         y = np.asarray(labels, np.int64)
         if len(set(labels)) < 2:
             self.prior = float(y.mean()) if len(y) else 0.0
             return self
         self.prior = None
+        aside = int(len(texts) * calibrate)
+        if min(np.bincount(y[:aside], minlength=2)) >= 20:
+            self.fit(texts[aside:], labels[aside:], seed, rounds, epochs, top, first_windows, rate, 0.0)
+            self.scale, shift = _platt(np.array([self.logit(t) for t in texts[:aside]]), y[:aside], share)
+            self.bias = self.bias * self.scale + shift
+            return self
         rng = np.random.default_rng(seed)
         index: dict[str, int] = {}
-        docs = [np.fromiter((index.setdefault(w, len(index)) for w in _words.findall(t.lower())), np.int32) for t in texts]
-        lists = [self.grams(w) for w in index]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((g for x in lists for g in x), np.int32, int(sizes.sum()))
+        docs = [_once(np.fromiter((index.setdefault(w, len(index)) for w in _words.findall(t.lower())), np.int32)) for t in texts]
+        grams_of, sizes_of = array("i"), array("i")
+        for word in index:
+            grams_of.extend(found := self.grams(word))
+            sizes_of.append(len(found))
+        flat, sizes = np.frombuffer(grams_of, np.int32), np.frombuffer(sizes_of, np.int32).astype(np.int64)
+        del index
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-        del lists
         e = rng.uniform(-1 / self.dim, 1 / self.dim, (self.buckets, self.dim)).astype(np.float32)
         w = rng.normal(0, 0.1, (self.dim, 2)).astype(np.float32)
         b = np.zeros(2, np.float32)
@@ -81,7 +93,7 @@ class SubwordBags:
             nonlocal e, w, b
             lens = np.fromiter(map(len, bags), np.int64, len(bags))
             grams, k = spans(np.concatenate(bags))
-            weight = (1 / (np.repeat(lens, lens) * k)).astype(np.float32)  # of a gram in its bag
+            weight = (1 / (np.repeat(np.maximum(lens, n), lens) * k)).astype(np.float32)  # of a gram in its bag
             weight = np.repeat(weight, k)
             bag = np.repeat(np.repeat(np.arange(len(bags)), lens), k)
             x = np.stack([np.bincount(bag, e[grams, d] * weight, len(bags)) for d in range(self.dim)], 1).astype(np.float32)
@@ -102,6 +114,7 @@ class SubwordBags:
             b -= 0.2 * rate * db / np.sqrt(gb)
 
         n = self.window
+        random_windows = min(max(first_windows // len(docs), 12), 48)
         for r in range(rounds):
             bags: list[np.ndarray] = []
             target: list[int] = []
@@ -120,8 +133,6 @@ class SubwordBags:
                             break
                         picks.append(at)
                         score[max(0, at - n + 1) : at + n] = -np.inf
-                        if label:
-                            break
                 for at in picks:
                     bags.append(doc[at : at + n])
                     target.append(int(label))
@@ -138,39 +149,59 @@ class SubwordBags:
     # -- scoring
 
     def value(self, word: str) -> float:
-        v = float(self.folded[self.grams(word)].mean())
-        if len(self.cache) >= 500_000:
-            self.cache.clear()
-        self.cache[word] = v
-        return v
+        return float(self.folded[self.grams(word)].mean())
+
+    def logit(self, text: str) -> float:
+        values = _once(np.array(list(map(self.cache.__getitem__, _words.findall(text.lower())))))
+        return self.bias + self.scale * (float(_window_means(values, self.window).max()) if len(values) else 0.0)
 
     def score(self, text: str) -> float:
         if self.prior is not None:
             return self.prior
-        cache = self.cache
-        words = _words.findall(text.lower())
-        values = np.array([cache[w] if w in cache else self.value(w) for w in words])
-        z = self.bias + (float(_window_means(values, self.window).max()) if len(values) else 0.0)
-        return float(1 / (1 + np.exp(-min(max(z, -500.0), 500.0))))
+        return float(1 / (1 + np.exp(-min(max(self.logit(text), -500.0), 500.0))))
 
     def __getstate__(self):
-        return self.__dict__ | {"cache": {}}
+        return {k: v for k, v in self.__dict__.items() if k != "cache"}
+
+    def __setstate__(self, state):
+        self.__dict__ |= state
+        self.cache = Recent(self.value, 200_000)
+
+
+def _once(x: np.ndarray) -> np.ndarray:
+    """Without what repeats its predecessor."""
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
 def _window_means(values: np.ndarray, n: int) -> np.ndarray:
     if len(values) <= n:
-        return np.array([values.mean()])
+        return np.array([values.sum() / n])
     c = np.concatenate([[0.0], np.cumsum(values)])
     return (c[n:] - c[:-n]) / n
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, max_chars: int = 40_000_000, **options) -> SubwordBags:
+def _platt(z: np.ndarray, y: np.ndarray, share: float, steps: int = 50) -> tuple[float, float]:
+    """Scale and shift of a logistic fit of y on z with smoothed targets (Platt, 1999)."""
+    n = np.bincount(y, minlength=2)
+    t = np.where(y == 1, (n[1] + 1) / (n[1] + 2), 1 / (n[0] + 2))
+    w = np.where(y == 1, share / n[1], (1 - share) / n[0])
+    w = w / w.mean()
+    x = np.column_stack([z, np.ones(len(z))])
+    v = np.array([1.0, 0.0])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ v, -60, 60)))
+        h = x.T @ (x * (w * p * (1 - p))[:, None]) + 1e-6 * np.eye(2)
+        step = np.linalg.solve(h, x.T @ (w * (p - t)) + 1e-6 * (v - [1.0, 0.0]))
+        v = v - np.clip(step, -2, 2)
+    return (float(v[0]), float(v[1])) if v[0] > 0 else (1.0, 0.0)
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, max_chars: int = 40_000_000, **options) -> SubwordBags:
     """Learns from at most per_class rows of each class. The rows are picked from the labels alone;
     the pick is bounded, so that it is broadcast to the scan of the texts."""
     known = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = F.xxhash64("doc_id"), F.col("doc_id")
-    picked = [known.filter(F.col("toxic") == c).orderBy(*order).limit(per_class) for c in (0, 1)]
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    picked = sample_by_hash(known, "toxic", "doc_id", per_class)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
     texts, classes, chars = [], [], 0
     got = rows.select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "text"])
     shuffled = got.sample(frac=1, random_state=11)
@@ -187,11 +218,14 @@ def score(docs: DataFrame, model: SubwordBags, text: str = "text", threshold: fl
     """Adds score (0 to 1) and predicted (0 or 1)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size: 4 bytes a bucket
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
-        for col in batches:
-            yield pd.Series([m.score(t or "") for t in col], dtype=float)
+        try:
+            for col in batches:
+                yield pa.array([m.score(t.as_py() or "") for t in col], pa.float64())
+        finally:
+            m.cache.forget()  # the worker goes on to other tasks, which may need the memory
 
     return docs.withColumn("score", scored(F.col(text))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
