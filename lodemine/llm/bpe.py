@@ -72,6 +72,11 @@ class BpeModel:
         self.by_word = Recent(self.word, cache_words)
         self.by_chunk = Recent(self.chunk, cache_words)
 
+    def forget(self) -> None:
+        """Frees the caches: the worker goes on to other tasks, which may need the memory."""
+        self.by_word.forget()
+        self.by_chunk.forget()
+
     # -- encoding
 
     def segments(self, text: str) -> Iterator[tuple[str, bool]]:
@@ -289,9 +294,12 @@ def encode_digests(docs: DataFrame, text: str = "text", path: str | None = None)
     @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = _model(path)
-        for texts in batches:
-            rows = [_digests(model, t.as_py() or "") for t in texts]
-            yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(kinds)], [name for name, _ in kinds])
+        try:
+            for texts in batches:
+                rows = [_digests(model, t.as_py() or "") for t in texts]
+                yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(kinds)], [name for name, _ in kinds])
+        finally:
+            model.forget()
 
     return docs.withColumn("_bpe", digest(F.col(text))).select("*", "_bpe.*").drop("_bpe")
 
