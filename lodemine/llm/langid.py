@@ -22,10 +22,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemine.llm.common import fold_remainder, read
+from lodemine.llm.common import fold_remainder, read, sample_by_hash
 
 DIMS = 4096
 _letter = regex.compile(r"\p{L}")
@@ -92,16 +92,13 @@ def _normalise(x: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, sample: int = 3000, **options) -> Centroids:
-    """docs: doc_id, text, lang of the rows to learn from. The window's rows are trimmed to the
-    sample's size before they are shuffled (WindowGroupLimit), so that a language that most texts
-    have costs no more than another."""
+    """docs: doc_id, text, lang of the rows to learn from."""
     rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     n = rows.agg(F.countDistinct("lang")).first()[0]
     none = Centroids([], np.zeros(0, int), np.zeros((0, DIMS), np.float32), np.zeros(DIMS, np.float32), np.zeros(0))
     if not n:
         return none
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = rows.select("doc_id", "lang").withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= max(1, sample // n)).drop("_k").distinct()
+    picked = sample_by_hash(rows, "lang", "doc_id", max(1, sample // n))
 
     @F.pandas_udf("array<int>")
     def vector(col: pd.Series) -> pd.Series:
