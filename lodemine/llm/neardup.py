@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodemine.llm.common import materialize, read
+from lodemine.llm.common import Recent, materialize, read
 from lodemine.llm.components import components
 
 ROWS, BANDS = 5, 32
@@ -48,24 +48,18 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+def word_hashes() -> Recent:
+    """A cache for one task."""
+    return Recent(xxhash.xxh64_intdigest, 150_000)
 
 
-_hash_of = _WordHashes()
-
-
-def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
+def shingle_set(text: str | None, hash_of: Recent, k: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the text's k-word shingles (ASCII letters lower-cased; fewer than
     k words: the whole sequence)."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hash_of.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(hash_of.__getitem__, words), np.uint64, len(words))
     width = min(k, len(h))
     s = np.full(len(h) - width + 1, width, np.uint64)
     for i in range(width):
@@ -106,10 +100,11 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """doc_id, n (size of the set), fp (of the set; null if empty), sig (16 bits of each hash), bands."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hash_of = word_hashes()
         for batch in batches:
             n, fp, sig, bands = [], [], [], []
             for t in batch.column(1):
-                s = shingle_set(t.as_py())
+                s = shingle_set(t.as_py(), hash_of)
                 n.append(len(s))
                 if len(s):
                     v = signature(s).astype(np.uint16)
@@ -178,8 +173,9 @@ def _sets(ids: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     held = docs.select(F.col("doc_id").alias("id"), "text").join(_bounded_broadcast(ids), "id")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hash_of = word_hashes()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["id", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), hash_of).tobytes() for t in batch.column(1)], pa.binary())], ["id", "set"])
 
     return materialize(held.mapInArrow(build, "id long, set binary").groupBy("id").agg(F.min("set").alias("set")), f"{name}-sets")
 
@@ -214,14 +210,20 @@ def verify(pairs: DataFrame, docs: DataFrame, threshold: float, name: str) -> Da
 
 
 def _across(rows: DataFrame, threshold: float, miss: float, chunk: int = 1024) -> DataFrame:
-    """rows: key, band, id, n, label, cnt, sig of buckets with several labels, and set or not.
-    A pair of different labels counts in the first band that both share. Without sets: key, id of
-    the members of pairs that survive pruning. With sets: links a, b between labels, as many as
-    join them. Buckets of over ``chunk`` rows are cut, and each two parts meet in a task."""
+    """rows: key, band, id, n, label, sig of buckets with several labels, with the bucket's commonest
+    label (main), its rows (n_main) and all rows (n_all); and set or not. A pair of different labels
+    counts in the first band that both share. Without sets: key, id of the members of pairs that
+    survive pruning. With sets: links a, b between labels, as many as join them.
+
+    Buckets are cut into parts of about ``chunk`` rows, those of the commonest label apart from the
+    others, and each two parts meet in a task, but for two of the commonest label: a large component
+    with few others beside it is read once, not once for each of its parts."""
     exact = "set" in rows.columns
-    parts = F.ceil(F.col("cnt") / chunk).cast("int")
-    rows = rows.withColumn("_parts", parts).withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
-    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    of = lambda n: F.greatest(F.ceil(n / chunk), F.lit(1)).cast("int")
+    rows = rows.withColumn("_mains", of(F.col("n_main"))).withColumn("_rest", of(F.col("n_all") - F.col("n_main")))
+    inside, h = F.col("label") == F.col("main"), F.xxhash64("id")
+    rows = rows.withColumn("_part", F.when(inside, F.pmod(h, F.col("_mains"))).otherwise(F.col("_mains") + F.pmod(h, F.col("_rest"))).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.when(inside, F.col("_mains")).otherwise(F.lit(0)), F.col("_mains") + F.col("_rest") - 1)))
     rows = rows.select("key", F.least("_part", "_other").alias("p"), F.greatest("_part", "_other").alias("q"), (F.col("_part") <= F.col("_other")).alias("left"), "band", "id", "n", "label", "sig", *(["set"] if exact else []))
     rows = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "id")
     share = round(threshold * 100)
@@ -315,7 +317,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, miss: float = 1e-4
     links = verify(prune(stars, sigs, threshold, miss), docs, threshold, "star")
     labels = materialize(components(links), "star-labels")
     rows = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
+    counts = rows.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("n_all"))
+    mixed = counts.select("key", F.col("m.label").alias("main"), F.col("m.c").alias("n_main"), "n_all").filter("n_main < n_all")
     rows = rows.join(mixed, "key").join(sigs, "id")
     involved = materialize(_across(rows, threshold, miss), "involved")
     sets = _sets(materialize(involved.select("id").distinct(), "across-ids"), docs, "across")
