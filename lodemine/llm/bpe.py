@@ -7,7 +7,8 @@ block, emits the tokens that are stable and forgets them, so that a word of any
 constant memory. ``Decoder`` is an incremental state machine from token ids to text: it holds back
 the bytes of an incomplete UTF-8 sequence until their continuation arrives.
 
-Nulls count as empty texts; empty texts give no ids. Extra columns of the input are not read.
+Nulls count as empty texts; empty texts give no ids. Extra columns of the input are kept but for those
+that have the name of a result. Repeated rows are encoded each, an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -301,7 +302,8 @@ def encode_digests(docs: DataFrame, text: str = "text", path: str | None = None)
         finally:
             model.forget()
 
-    return docs.withColumn("_bpe", digest(F.col(text))).select("*", "_bpe.*").drop("_bpe")
+    kept = docs.withColumn("_bpe", digest(F.col(text))).drop(*[name for name, _ in kinds])
+    return kept.select("*", "_bpe.*").drop("_bpe")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

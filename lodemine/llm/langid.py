@@ -11,7 +11,8 @@ each language by a hash of doc_id. Every text is classified whole.
 
 Texts that are null or have no letter get ``und`` and score 0, not rejected; so does every text if
 no language could be learned. Ties go to the language that is first in order, repeated rows are
-classified each, an empty table gives no rows; extra columns are kept.
+classified each, an empty table gives no rows; extra columns are kept but for those that have the name
+of a result.
 """
 
 from __future__ import annotations
@@ -128,7 +129,8 @@ def identify(docs: DataFrame, model: Centroids, text: str = "text") -> DataFrame
             rows = [m.predict(t.as_py()) for t in col]
             yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))], ["lang_pred", "score", "rejected"])
 
-    return docs.withColumn("_p", predicted(F.col(text))).select("*", "_p.*").drop("_p")
+    kept = docs.withColumn("_p", predicted(F.col(text))).drop("lang_pred", "score", "rejected")
+    return kept.select("*", "_p.*").drop("_p")
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

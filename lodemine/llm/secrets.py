@@ -9,7 +9,8 @@ searched with its expression; a rule whose expression forces no trigram is run o
 Spans count code points, end exclusive. A null text counts as empty, an empty text has no spans.
 Postings are kept by doc_id: rows that share a doc_id (or have none) only widen each other's
 candidates, each row is verified on its own text. Repeated rows give repeated rows, an empty table
-gives none; columns of the input other than the key and the text aren't touched.
+gives none. Other columns stay as they are, but for one named secrets, which the result replaces, and
+the names _key, _text and _may_*, which are used inside.
 """
 
 from __future__ import annotations

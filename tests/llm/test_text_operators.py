@@ -105,10 +105,11 @@ def test_bpe_rows(spark, sf, library):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
-    odd = spark.createDataFrame([(1, None, 5), (1, "hi", 5), (1, "hi", 5)], "doc_id long, text string, n_tokens_ long")
+    odd = spark.createDataFrame([(1, None, 5), (1, "hi", 5), (1, "hi", 5)], "doc_id long, text string, n_tokens long")
     back = bpe.decode(bpe.encode(odd)).collect()
     assert [(r.token_ids, r.decoded) for r in back] == [([], ""), (library.encode("hi", add_special_tokens=False).ids, "hi</w>")] + [(back[1].token_ids, "hi</w>")]
     assert bpe.encode_digests(odd.limit(0)).count() == 0
+    assert bpe.encode_digests(odd).columns == ["doc_id", "text", "n_tokens", "ids_sha256", "decoded_sha256"]
 
 
 # -- chat
@@ -163,7 +164,7 @@ def test_langid_edges(spark):
     rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de"), ("the bird", "en"), ("die maus", "de")])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.fit(docs)
-    odd = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "123 !?", 1), (4, "the dog", 1), (4, "the dog", 1), (5, "die katze " * 20000, 1)], "doc_id long, text string, score_ int")
+    odd = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "123 !?", 1), (4, "the dog", 1), (4, "the dog", 1), (5, "die katze " * 20000, 1)], "doc_id long, text string, score int")
     got = langid.identify(odd, model).orderBy("doc_id").collect()
     assert [r.lang_pred for r in got] == ["und", "und", "und", "en", "en", "de"]
     assert [r.score for r in got[:3]] == [0, 0, 0]
@@ -194,7 +195,7 @@ def test_toxicity_held_out(spark):
 
 
 def test_toxicity_edges(spark):
-    docs = spark.createDataFrame([(i, "bad awful horrid" if i % 2 else "good nice fine", 1) for i in range(40)] + [(40, None, 1), (41, "", 1), (None, "good", 1)], "doc_id long, text string, predicted_ int")
+    docs = spark.createDataFrame([(i, "bad awful horrid" if i % 2 else "good nice fine", 1) for i in range(40)] + [(40, None, 1), (41, "", 1), (None, "good", 1)], "doc_id long, text string, predicted int")
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(0, 0), (1, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
     got = toxicity.score(docs, model).collect()
@@ -204,3 +205,13 @@ def test_toxicity_edges(spark):
     assert toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).agg(F.max("score")).first()[0] == 0
     assert toxicity.score(docs.limit(0), model).count() == 0
     assert model.score("good nice fine " * 30000 + "bad awful horrid bad awful horrid bad awful") > 0.5
+
+
+def test_sample_by_hash(spark):
+    from lodemine.llm.common import sample_by_hash
+
+    rows = spark.createDataFrame([(i % 2000, "a" if i % 3 else "b") for i in range(4000)] + [(5, "c")], "doc_id long, lang string")
+    got = sample_by_hash(rows, "lang", "doc_id", 50)
+    assert {r.lang: r["count"] for r in got.groupBy("lang").count().collect()} == {"a": 50, "b": 50, "c": 1}
+    assert got.distinct().count() == 101 and got.exceptAll(sample_by_hash(rows.repartition(9), "lang", "doc_id", 50)).count() == 0
+    assert sample_by_hash(rows.limit(0), "lang", "doc_id", 5).count() == 0
