@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodemine.sources.rounds import shared_folder
+
 #: A word: a run of code points outside space and \t..\r.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,25 +17,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session. Only where neither
-    the session nor the context names one (a local test) is a temporary folder made."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            named = held.get()
-        else:
-            named = tempfile.mkdtemp(prefix="lodemine-checkpoint-")
-            spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: the lineage ends
     here, and a lost executor costs a re-read, not a recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodemine/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/lodemine/{name}-{uuid.uuid4().hex}"
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -58,7 +45,8 @@ def text_or_empty(col: str | Column = "text") -> Column:
 
 def fold_remainder(doc_id: str | Column, n: int) -> Column:
     """crc32(doc_id as text) mod n; a null id counts as the empty text."""
-    return F.pmod(F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(None)).cast("string").cast("binary")), F.lit(n))
+    text = F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), F.lit(""))
+    return F.pmod(F.crc32(text.cast("binary")), F.lit(n))
 
 
 def sample_by_hash(rows: DataFrame, group: str, key: str, k: int) -> DataFrame:

@@ -215,3 +215,13 @@ def test_sample_by_hash(spark):
     assert {r.lang: r["count"] for r in got.groupBy("lang").count().collect()} == {"a": 50, "b": 50, "c": 1}
     assert got.distinct().count() == 101 and got.exceptAll(sample_by_hash(rows.repartition(9), "lang", "doc_id", 50)).count() == 0
     assert sample_by_hash(rows.limit(0), "lang", "doc_id", 5).count() == 0
+
+
+def test_folds(spark):
+    import zlib
+
+    from lodemine.llm.common import fold_remainder
+
+    df = spark.createDataFrame([(0,), (12,), (-7,), (None,)], "doc_id long")
+    got = [r[0] for r in df.select(fold_remainder("doc_id", 5)).collect()]
+    assert got == [zlib.crc32(t.encode()) % 5 for t in ("0", "12", "-7", "")]
