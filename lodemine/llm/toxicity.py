@@ -15,7 +15,8 @@ get. Misspellings that were never seen share most of their n-grams with the word
 
 Null and wordless texts score the bag of no words. Labels other than 0 and 1 are ignored; of
 several labels of a doc_id the highest counts. With labels of one class or none the score is that
-class's prior (0 without labels). Repeated rows are scored each; an empty table gives no rows.
+class's prior (0 without labels). Repeated rows are scored each; an empty table gives no rows; columns
+of the input named score or predicted are replaced.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ class SubwordBags:
         self.folded = np.zeros(buckets, np.float32)
         self.bias, self.scale = 0.0, 1.0
         self.prior: float | None = 0.0  # if not None, the score of every text
+        self.table: list[float] | None = None  # folded as Python's floats, for single words
         self.cache = Recent(self.value, 200_000)
 
     # -- features
@@ -48,9 +50,14 @@ class SubwordBags:
     def grams(self, word: str) -> list[int]:
         s = f"<{word[:60]}>"
         crc, m = zlib.crc32, self.buckets
-        out = [crc(s.encode()) % m]
-        for n in range(self.smallest, self.largest + 1):
-            out += [crc(s[i : i + n].encode()) % m for i in range(len(s) - n + 1)]
+        raw = s.encode()
+        out = [crc(raw) % m]
+        if len(raw) == len(s):
+            for n in range(self.smallest, self.largest + 1):
+                out += [crc(raw[i : i + n]) % m for i in range(len(s) - n + 1)]
+        else:
+            for n in range(self.smallest, self.largest + 1):
+                out += [crc(s[i : i + n].encode()) % m for i in range(len(s) - n + 1)]
         return out
 
     # -- fitting
@@ -142,14 +149,17 @@ class SubwordBags:
                 for a in range(0, len(order), 512):
                     take = order[a : a + 512]
                     step([bags[i] for i in take], goal[take])
-        self.folded = (e @ (w[:, 1] - w[:, 0])).astype(np.float32)
+        self.folded, self.table = (e @ (w[:, 1] - w[:, 0])).astype(np.float32), None
         self.bias = float(b[1] - b[0])
         return self
 
     # -- scoring
 
     def value(self, word: str) -> float:
-        return float(self.folded[self.grams(word)].mean())
+        if self.table is None:
+            self.table = self.folded.tolist()
+        table, grams = self.table, self.grams(word)
+        return sum([table[g] for g in grams]) / len(grams)
 
     def logit(self, text: str) -> float:
         values = _once(np.array(list(map(self.cache.__getitem__, _words.findall(text.lower())))))
@@ -161,7 +171,7 @@ class SubwordBags:
         return float(1 / (1 + np.exp(-min(max(self.logit(text), -500.0), 500.0))))
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "cache"}
+        return {k: v for k, v in self.__dict__.items() if k != "cache"} | {"table": None}
 
     def __setstate__(self, state):
         self.__dict__ |= state
