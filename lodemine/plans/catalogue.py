@@ -616,7 +616,7 @@ def hard_negative_round(spark, sf):
     models = settle(_models(spark, sf))
     hard = M.score(p.filter("NOT is_pos"), models, -1.02).join(p.select(F.col("patch_id").alias("det_id"), "feat"), "det_id")
     mined = M.cull_negatives(hard).select(F.col("detector").alias("cluster_id"), "feat")
-    again = M.fit_clusters(p.filter("is_pos").select(F.col("imidx").cast("long").alias("cluster_id"), "feat"), p.filter("NOT is_pos AND patch_id % 10 = 0").select("feat"), mined)
+    again = M.fit_clusters(p.filter("is_pos").select(F.col("imidx").cast("long").alias("cluster_id"), "feat"), p.filter("NOT is_pos").select("feat"), mined)
     return again.select("cluster_id", _R(F.col("rho")).alias("rho"), "n_pos", "n_neg")
 
 

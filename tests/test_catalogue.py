@@ -47,3 +47,9 @@ def test_runs(spark, sf, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_refit_keeps_all_negatives(spark, sf):
+    first = {r.cluster_id: r.n_neg for r in catalogue.QUERIES["svm_fit"](spark, sf).collect()}
+    again = {r.cluster_id: r.n_neg for r in catalogue.QUERIES["hard_negative_round"](spark, sf).collect()}
+    assert again.keys() == first.keys() and all(again[c] >= n for c, n in first.items())
