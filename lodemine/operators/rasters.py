@@ -105,7 +105,8 @@ def synthetic_images(spark: SparkSession, images: DataFrame, nrows: int = 96, nc
             out.append(np.stack([wave, x / ncols, y / nrows * wave], -1).astype(np.float32).tobytes())
         return pd.Series(out)
 
-    return images.select("imidx", "is_pos", F.lit(nrows).alias("nrows"), F.lit(ncols).alias("ncols"), raster("imidx").alias("raster"))
+    spread = images.repartition(2 * spark.sparkContext.defaultParallelism, "imidx")  # few rows, much work for each
+    return spread.select("imidx", "is_pos", F.lit(nrows).alias("nrows"), F.lit(ncols).alias("ncols"), raster("imidx").alias("raster"))
 
 
 def nearest_in_images(images: DataFrame, centers: DataFrame, params: PyramidParams = PyramidParams(), min_gradient: float = 9.0, chunk: int = 4096, block: int = 2048) -> DataFrame:

@@ -674,24 +674,18 @@ def struct_unpack(spark, sf):
 # -- image kernels, on rasters drawn from the image table
 
 
-def _small():
-    from lodemine.config import PyramidParams
-
-    return PyramidParams(canonical_size=96, patch_size=40)
-
-
 @query()
 def feature_pyramid(spark, sf):
     from lodemine.operators.rasters import pyramid_stats, synthetic_images
 
-    return pyramid_stats(synthetic_images(spark, images(spark, sf)), _small()).withColumn("gradient", F.round("gradient", 4))
+    return pyramid_stats(synthetic_images(spark, images(spark, sf))).withColumn("gradient", F.round("gradient", 4))
 
 
 @query()
 def weighted_patches(spark, sf):
     from lodemine.operators.rasters import sample_patches, synthetic_images
 
-    got = sample_patches(synthetic_images(spark, images(spark, sf)), _small())
+    got = sample_patches(synthetic_images(spark, images(spark, sf)))
     return got.select("imidx", "level", "cy", "cx", "x1", "y1", "x2", "y2", F.round("probability", 9).alias("probability"), F.size("feat").alias("width"))
 
 
@@ -701,9 +695,9 @@ def detect_in_images(spark, sf):
     from lodemine.operators.rasters import detect, sample_patches, synthetic_images
 
     im = synthetic_images(spark, images(spark, sf))
-    seeds = sample_patches(im, _small(), most=3).filter("imidx % 20 < 2")
-    models = M.fit_clusters(seeds.select(F.col("imidx").cast("long").alias("cluster_id"), "feat"), sample_patches(im.filter("NOT is_pos"), _small(), most=2).select("feat"))
-    found = detect(im, models, _small(), DetectionParams(threshold=-0.9))
+    seeds = sample_patches(im)
+    models = M.fit_clusters(seeds.select(F.col("imidx").cast("long").alias("cluster_id"), "feat"), sample_patches(im.filter("NOT is_pos")).select("feat"))
+    found = detect(im, models, detection=DetectionParams(threshold=-0.9))
     return found.select("detector", "imidx", "level", "x1", "y1", "x2", "y2", F.round("decision", 6).alias("decision"))
 
 
@@ -792,8 +786,8 @@ def nearest_windows(spark, sf):
     from lodemine.operators.rasters import nearest_in_images, sample_patches, synthetic_images
 
     im = synthetic_images(spark, images(spark, sf))
-    centers = sample_patches(im.filter("is_pos"), _small(), most=2).select("patch_id", "feat")
-    return nearest_in_images(im, centers, _small()).withColumn("dist", F.round("dist", 9))
+    centers = sample_patches(im.filter("is_pos")).select("patch_id", "feat")
+    return nearest_in_images(im, centers).withColumn("dist", F.round("dist", 9))
 
 
 @query()
@@ -801,5 +795,5 @@ def patch_crops(spark, sf):
     from lodemine.operators.rasters import crop_patches, sample_patches, synthetic_images
 
     im = synthetic_images(spark, images(spark, sf))
-    boxes = sample_patches(im, _small(), most=2).select("patch_id", "imidx", "x1", "y1", "x2", "y2")
+    boxes = sample_patches(im).select("patch_id", "imidx", "x1", "y1", "x2", "y2")
     return crop_patches(boxes, im).select("patch_id", "imidx", F.length("png").alias("bytes"), F.sha2("png", 256).alias("sha256"))

@@ -53,3 +53,14 @@ def test_refit_keeps_all_negatives(spark, sf):
     first = {r.cluster_id: r.n_neg for r in catalogue.QUERIES["svm_fit"](spark, sf).collect()}
     again = {r.cluster_id: r.n_neg for r in catalogue.QUERIES["hard_negative_round"](spark, sf).collect()}
     assert again.keys() == first.keys() and all(again[c] >= n for c, n in first.items())
+
+
+def test_image_queries_take_every_image_and_patch(spark, sf, monkeypatch):
+    of = catalogue.images
+    monkeypatch.setattr(catalogue, "images", lambda *a: of(*a).filter("imidx IN (5, 55)"))
+    run = lambda name: catalogue.QUERIES[name](spark, sf)
+    patches = run("weighted_patches").toPandas()
+    assert set(patches.width) == {8 * 8 * 33} and patches.groupby("imidx").size().min() > 2
+    assert run("patch_crops").count() == len(patches)
+    assert run("nearest_windows").select("patch_id").distinct().count() == (patches.imidx == 5).sum()
+    assert {r.detector for r in run("detect_in_images").select("detector").distinct().collect()} == {5, 55}
