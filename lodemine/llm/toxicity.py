@@ -9,7 +9,9 @@ window. Training starts on random windows of all texts and turns, round by round
 worst windows of toxic and of clean texts.
 
 The model is fitted on a bounded sample of labelled rows (``per_class`` rows of each class, first
-by a hash of doc_id, and at most ``max_chars`` characters in all); every text is scored whole. As
+by a hash of doc_id, and at most ``max_chars`` characters in all); every text is scored whole. A run
+of more than ``LONGEST`` letters and digits counts as the words that its consecutive pieces make;
+pieces overlap by one less than the largest n-gram, so that no n-gram of the run is lost. As
 all layers are linear, the fitted model folds into one number per bucket, which is what executors
 get. Misspellings that were never seen share most of their n-grams with the words that were.
 
@@ -34,6 +36,15 @@ from pyspark.sql import functions as F
 from lodemine.llm.common import Recent, fold_remainder, read, sample_by_hash
 
 _words = re.compile(r"[^\W_]+")
+LONGEST, OVERLAP = 60, 4
+
+
+def words(text: str) -> list[str]:
+    """The runs of letters and digits in lower case, long ones in pieces."""
+    found = _words.findall(text.lower())
+    if max(map(len, found), default=0) <= LONGEST:
+        return found
+    return [w[i : i + LONGEST] for w in found for i in range(0, max(1, len(w) - OVERLAP), LONGEST - OVERLAP)]
 
 
 class SubwordBags:
@@ -48,7 +59,7 @@ class SubwordBags:
     # -- features
 
     def grams(self, word: str) -> list[int]:
-        s = f"<{word[:60]}>"
+        s = f"<{word}>"
         crc, m = zlib.crc32, self.buckets
         raw = s.encode()
         out = [crc(raw) % m]
@@ -77,7 +88,7 @@ class SubwordBags:
             return self
         rng = np.random.default_rng(seed)
         index: dict[str, int] = {}
-        docs = [_once(np.fromiter((index.setdefault(w, len(index)) for w in _words.findall(t.lower())), np.int32)) for t in texts]
+        docs = [_once(np.fromiter((index.setdefault(w, len(index)) for w in words(t)), np.int32)) for t in texts]
         grams_of, sizes_of = array("i"), array("i")
         for word in index:
             grams_of.extend(found := self.grams(word))
@@ -162,7 +173,7 @@ class SubwordBags:
         return sum([table[g] for g in grams]) / len(grams)
 
     def logit(self, text: str) -> float:
-        values = _once(np.array(list(map(self.cache.__getitem__, _words.findall(text.lower())))))
+        values = _once(np.array(list(map(self.cache.__getitem__, words(text)))))
         return self.bias + self.scale * (float(_window_means(values, self.window).max()) if len(values) else 0.0)
 
     def score(self, text: str) -> float:

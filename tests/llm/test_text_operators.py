@@ -225,3 +225,19 @@ def test_folds(spark):
     df = spark.createDataFrame([(0,), (12,), (-7,), (None,)], "doc_id long")
     got = [r[0] for r in df.select(fold_remainder("doc_id", 5)).collect()]
     assert got == [zlib.crc32(t.encode()) % 5 for t in ("0", "12", "-7", "")]
+
+
+# -- whole texts, pages and conversations
+
+
+def test_long_runs_are_scored_whole():
+    model = toxicity.SubwordBags()
+    model.prior, seen = None, []
+    model.value = lambda w: seen.append(w) or 0.0
+    model.cache = toxicity.Recent(model.value, 100)
+    run = "".join(chr(0x4E00 + i) for i in range(500))
+    model.score(f"so {run} end")
+    joined = f"<{run}>"
+    grams = {s[i : i + n] for s in (f"<{w}>" for w in seen) for n in (3, 4, 5) for i in range(len(s) - n + 1)}
+    assert {joined[i : i + n] for n in (3, 4, 5) for i in range(len(joined) - n + 1)} <= grams
+    assert toxicity.words("x" * 60) == ["x" * 60] and len(toxicity.words("x" * 61)) == 2
