@@ -6,7 +6,9 @@ notices, adverts, reader comments) never count. For the rest, each path gets two
 length and its punctuation per node. Both are smoothed along the page, multiplied, and the nodes
 over ``share`` of the fused mean are content. The article is the region of the content nodes: the
 deepest element that holds at least ``cover`` of their text, all of whose blocks are returned, so
-that short paragraphs and headings of the article stay.
+that short paragraphs and headings of the article stay. On a page without an article or main element
+the content nodes outside the region are returned too, with the blocks between those and the region
+and the headings right before them.
 
 A null or empty page gives the empty text. Broken markup (missing end tags, a cut-off tag) is read
 as browsers do: a block's start ends an open paragraph, an unfinished tag at the end is dropped.
@@ -212,8 +214,9 @@ def main_text(page: str | None, share: float = 0.5, cover: float = 0.5) -> str:
             up = nodes[up][0]
         articles.append(inside)
     marked = any(articles)
-    for (t, n), f, inside in zip(blocks, fused, articles):
-        if f >= over and (inside or not marked):
+    selected = [f >= over and (inside or not marked) for f, inside in zip(fused, articles)]
+    for (t, n), content in zip(blocks, selected):
+        if content:
             total += len(t)
             while n >= 0:
                 weight[n] += len(t)
@@ -228,14 +231,19 @@ def main_text(page: str | None, share: float = 0.5, cover: float = 0.5) -> str:
             up = nodes[up][0]
         region = up if up > 0 else region
     kept = []
-    for (t, n), inside in zip(blocks, articles):
+    for k, ((_, n), inside) in enumerate(zip(blocks, articles)):
         if marked and not inside:
             continue
         while n > region:
             n = nodes[n][0]
-        if n == region:
-            kept.append(t)
-    return "\n\n".join(kept)
+        if n == region or selected[k] and not marked:
+            kept.append(k)
+    if kept and not marked:
+        first = kept[0]
+        while first and re.fullmatch("h[1-6]", nodes[blocks[first - 1][1]][1]):
+            first -= 1
+        kept = range(first, kept[-1] + 1)
+    return "\n\n".join([blocks[k][0] for k in kept])
 
 
 def extract(pages: DataFrame, html: str = "html", share: float = 0.5, cover: float = 0.5) -> DataFrame:

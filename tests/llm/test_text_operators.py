@@ -241,3 +241,9 @@ def test_long_runs_are_scored_whole():
     grams = {s[i : i + n] for s in (f"<{w}>" for w in seen) for n in (3, 4, 5) for i in range(len(s) - n + 1)}
     assert {joined[i : i + n] for n in (3, 4, 5) for i in range(len(joined) - n + 1)} <= grams
     assert toxicity.words("x" * 60) == ["x" * 60] and len(toxicity.words("x" * 61)) == 2
+
+
+def test_no_selected_node_is_lost():
+    p = lambda k: f"<p>Part {k} of the story, as it was told, and written down; at length, too.</p>"
+    page = f"<body><div><h2>Head</h2><div>{p(1)}{p(2)}{p(3)}</div><h2>Then</h2><div>{p(4)}{p(5)}</div></div></body>"
+    assert html.main_text(page).split("\n\n") == ["Head"] + [p(k)[3:-4] for k in (1, 2, 3)] + ["Then"] + [p(k)[3:-4] for k in (4, 5)]
