@@ -5,11 +5,12 @@ are rendered and consecutive outputs compared: what a turn adds is its span. A t
 longer output doesn't start with the shorter one rewrites history; ``SpanFinder`` then reports the
 turn from which on it does, and spans can't be given.
 
-Conversations stream through ``mapInPandas`` sorted by (conv_id, turn): a conversation is never
-collected, so that one that holds a third of all rows takes no more memory than another. Prefixes
-are rendered from a window's start; after ``window`` turns it starts anew at the latest turn, which
-keeps the cost linear. A template that looks back over more turns needs window=None, which renders
-whole prefixes.
+Conversations stream through ``mapInPandas`` sorted by (conv_id, turn): a conversation's
+rows are never collected by the plan. Whole prefixes are rendered, which holds a conversation's
+turns and takes time in the square of their number, and finds every rewrite however far back. With
+``window``, for templates that are known not to look back over more turns, prefixes start anew at
+the latest turn after that many turns: cost and memory are bounded, but nothing checks that the
+template allows it.
 
 Null texts and roles count as empty strings, null turns come first, rows of one turn number are
 ordered by role and text, repeated rows are turns of their own, a null conv_id is one conversation.
@@ -85,7 +86,7 @@ class Span:
 class SpanFinder:
     """Takes the turns of one conversation one by one."""
 
-    def __init__(self, render: Render, window: int | None = 8):
+    def __init__(self, render: Render, window: int | None = None):
         self.render, self.window = render, window
         self.turns: list[Turn] = []
         self.before = self.render([])
@@ -127,7 +128,7 @@ def ordered(conversations: DataFrame) -> DataFrame:
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text")
 
 
-def format_turns(conversations: DataFrame, template: InstTemplate | None = None, window: int | None = 8, role: str = "assistant") -> DataFrame:
+def format_turns(conversations: DataFrame, template: InstTemplate | None = None, window: int | None = None, role: str = "assistant") -> DataFrame:
     """A row per turn: conv_id, position long, role, start, end (code points in the conversation's
     output), formatted, loss_start, loss_end (of the text under the loss mask; null otherwise)."""
     template = template or InstTemplate()
@@ -152,7 +153,7 @@ def format_turns(conversations: DataFrame, template: InstTemplate | None = None,
     return ordered(conversations).mapInPandas(rows, "conv_id long, position long, role string, start long, end long, formatted string, loss_start long, loss_end long")
 
 
-def format_digests(conversations: DataFrame, template: InstTemplate | None = None, window: int | None = 8) -> DataFrame:
+def format_digests(conversations: DataFrame, template: InstTemplate | None = None, window: int | None = None) -> DataFrame:
     """A row per conversation with digests of what is read back from the formatted output."""
     template = template or InstTemplate()
     columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]

@@ -247,3 +247,20 @@ def test_no_selected_node_is_lost():
     p = lambda k: f"<p>Part {k} of the story, as it was told, and written down; at length, too.</p>"
     page = f"<body><div><h2>Head</h2><div>{p(1)}{p(2)}{p(3)}</div><h2>Then</h2><div>{p(4)}{p(5)}</div></div></body>"
     assert html.main_text(page).split("\n\n") == ["Head"] + [p(k)[3:-4] for k in (1, 2, 3)] + ["Then"] + [p(k)[3:-4] for k in (4, 5)]
+
+
+def test_templates_that_look_far_back(spark):
+    class LastTen(chat.InstTemplate):
+        def __call__(self, turns):
+            return super().__call__(turns[-10:])
+
+    class Numbered(chat.InstTemplate):
+        def __call__(self, turns):
+            return "".join(self.one(r, f"{k}: {t}") for k, (r, t) in enumerate(turns))
+
+    df = spark.createDataFrame([(1, k, "user", f"turn {k}") for k in range(30)], "conv_id long, turn long, role string, text string")
+    for of in (chat.format_digests, chat.format_turns):
+        with pytest.raises(Exception, match="rewrites history from turn 10 on"):
+            of(df, LastTen()).collect()
+    got = chat.format_turns(df, Numbered()).orderBy("position").collect()
+    assert "".join(r.formatted for r in got) == Numbered()([("user", f"turn {k}") for k in range(30)])
