@@ -1,6 +1,6 @@
 """The corpus pipeline: documents in, token ids out.
 
-Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame; run()
+Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame; tokens()
 writes each stage's rows to the shared folder and reads them back as the next one's docs. All but
 the last stage return the columns of documents (doc_id, text, lang, source, n_chars).
 """
@@ -50,7 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with the digests of ids and of the decoded text."""
-    return bpe.encode_digests(docs.select("doc_id", "source", "text")).drop("text")
+    return bpe.encode(docs.select("doc_id", "source", "text"), digests=True).drop("text")
 
 
 STAGES = [
@@ -62,12 +62,18 @@ STAGES = [
 ]
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pipeline: token_ids, n_tokens and digests of every document that is left."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
 
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tokens() in short, without the ids."""
+    return tokens(spark, sf_dir).drop("token_ids")
+
+
 #: The first stage is a trained model and the fourth a random rounding, which SQL can't express.
 ORACLE_SQL = None

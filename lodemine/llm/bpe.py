@@ -18,9 +18,11 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
@@ -245,27 +247,42 @@ def _model(path: str) -> BpeModel:
     return BpeModel(path)
 
 
-def _digests(model: BpeModel, text: str) -> tuple[int, str, str]:
-    ids, decoded, n = hashlib.sha256(), hashlib.sha256(), 0
+def _encoded(model: BpeModel, text: str, keep: bool, digests: bool) -> tuple:
+    """The ids as an array, if they are kept, and their number and digests, if those are wanted."""
+    kept, ids, decoded, n = array("i"), hashlib.sha256(), hashlib.sha256(), 0
     for got in model.encode(text):
         if got:
             sep = " " if n else ""
-            ids.update((sep + " ".join([g[0] for g in got])).encode())
-            decoded.update((sep + " ".join([g[2] for g in got])).encode())
+            found = sep + " ".join([g[0] for g in got])
             n += sum([g[1] for g in got])
-    return n, ids.hexdigest(), decoded.hexdigest()
-
-
-def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """Adds ``token_ids`` (array of int). Null texts give an empty array."""
+            if keep:
+                kept.extend(map(int, found.split()))
+            if digests:
+                ids.update(found.encode())
+                decoded.update((sep + " ".join([g[2] for g in got])).encode())
+    return (np.frombuffer(kept, np.int32),) * keep + (n, ids.hexdigest(), decoded.hexdigest()) * digests
+
+
+def encode(docs: DataFrame, text: str = "text", path: str | None = None, ids: bool = True, digests: bool = False) -> DataFrame:
+    """Adds ``token_ids`` (array of int) if ids is set, and n_tokens, ids_sha256 and decoded_sha256 if
+    digests is. Null texts give an empty array. Without ids the tokens are hashed while they
+    stream out, and those of a text are never held as a whole."""
     path = path or tokenizer_path()
+    kinds = [("token_ids", pa.list_(pa.int32()), "array<int>")] * ids
+    kinds += [("n_tokens", pa.int64(), "long"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")] * digests
 
-    @F.pandas_udf("array<int>")
-    def ids(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf(", ".join(f"{name} {sql}" for name, _, sql in kinds))
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = _model(path)
-        return pd.Series([model.encode_ids(t or "") for t in texts], dtype=object)
+        try:
+            for texts in batches:
+                rows = [_encoded(model, t.as_py() or "", ids, digests) for t in texts]
+                yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind, _) in enumerate(kinds)], [name for name, _, _ in kinds])
+        finally:
+            model.forget()
 
-    return docs.withColumn("token_ids", ids(F.col(text)))
+    names = [name for name, _, _ in kinds]
+    return docs.withColumn("_bpe", encoded(F.col(text))).drop(*names).select("*", "_bpe.*").drop("_bpe")
 
 
 def decode(docs: DataFrame, ids: str = "token_ids", path: str | None = None, as_pieces: bool = True) -> DataFrame:
@@ -286,24 +303,8 @@ def decode(docs: DataFrame, ids: str = "token_ids", path: str | None = None, as_
 
 
 def encode_digests(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """Adds n_tokens, ids_sha256 and decoded_sha256, hashed while the tokens stream out; the ids
-    of a text are never held as a whole."""
-    path = path or tokenizer_path()
-
-    kinds = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
-
-    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = _model(path)
-        try:
-            for texts in batches:
-                rows = [_digests(model, t.as_py() or "") for t in texts]
-                yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(kinds)], [name for name, _ in kinds])
-        finally:
-            model.forget()
-
-    kept = docs.withColumn("_bpe", digest(F.col(text))).drop(*[name for name, _ in kinds])
-    return kept.select("*", "_bpe.*").drop("_bpe")
+    """Adds n_tokens, ids_sha256 and decoded_sha256."""
+    return encode(docs, text, path, ids=False, digests=True)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

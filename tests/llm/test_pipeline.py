@@ -64,3 +64,17 @@ def test_run_is_the_stages_in_order(spark, sf):
     counts = {r.doc_id: r["count"] for r in got.groupBy("doc_id").count().collect()}
     assert counts == {k: v for k, v in copies.items() if v}
     assert got.agg(F.sum("n_tokens")).first()[0] > 0 and hashlib
+
+
+def test_the_product_is_token_ids(spark, sf, docs):
+    import __spark_entry__ as entry
+    from lodemine.llm import bpe
+
+    assert entry.queries()["pipeline"] is P.tokens
+    model = bpe.BpeModel(bpe.tokenizer_path())
+    texts = {r[0]: r[1] or "" for r in ROWS}
+    got = P.STAGES[-1][1](spark, docs, sf).collect()
+    assert len(got) == len(ROWS)
+    for r in got:
+        assert r.token_ids == model.encode_ids(texts[r.doc_id]) and r.n_tokens == len(r.token_ids)
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, r.token_ids)).encode()).hexdigest()
