@@ -21,6 +21,7 @@ import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -145,9 +146,8 @@ class BpeModel:
         for i, b in enumerate(raw):
             yield self.alphabet[b] + (self.suffix if i == last else "")
 
-    def word(self, word: str) -> tuple[str, int, str]:
-        """Of a word as the pattern cuts it: decimal ids joined by spaces, their number, pieces
-        joined by spaces."""
+    def word(self, word: str) -> tuple[str, tuple[int, ...]]:
+        """Of a word as the pattern cuts it: decimal ids joined by spaces, and the ids."""
         raw = word.encode()
         if len(raw) < self.lookahead + self.block:  # what encode_symbols() does with a short word
             alphabet = self.alphabet
@@ -156,25 +156,25 @@ class BpeModel:
             tokens = self.merge(symbols)
         else:
             tokens = list(self.encode_symbols(self.word_symbols(word)))
-        vocab = self.vocab
-        return " ".join([str(vocab[t]) for t in tokens]), len(tokens), " ".join(tokens)
+        ids = tuple([self.vocab[t] for t in tokens])
+        return " ".join(map(str, ids)), ids
 
-    def chunk(self, chunk: str) -> tuple[str, int, str]:
+    def chunk(self, chunk: str) -> tuple[str, tuple[int, ...]]:
         """Of a run of text without white space, which no word or special token reaches beyond:
-        what word() gives ("", 0, "" if it has no tokens)."""
+        what word() gives ("" and () if it has no tokens)."""
         if self.cut and self.cut.search(chunk):
             got = []
             for part, special in self.segments(chunk):
-                got += [(str(self.special[part]), 1, part)] if special else [self.by_word[m] for m in self.words.findall(self.normalize(part))]
+                got += [(str(self.special[part]), (self.special[part],))] if special else [self.by_word[m] for m in self.words.findall(self.normalize(part))]
         elif chunk.isascii():
             got = [self.by_word[m] for m in self.ascii_words.findall(chunk.lower())]
         else:
             got = [self.by_word[m] for m in self.words.findall(self.normalize(chunk))]
         if len(got) == 1:
             return got[0]
-        return " ".join([g[0] for g in got]), sum([g[1] for g in got]), " ".join([g[2] for g in got])
+        return " ".join([g[0] for g in got]), tuple(chain.from_iterable([g[1] for g in got]))
 
-    def encode(self, text: str, lump: int = 1 << 16) -> Iterator[list[tuple[str, int, str]]]:
+    def encode(self, text: str, lump: int = 1 << 16) -> Iterator[list[tuple[str, tuple[int, ...]]]]:
         """Lists of what chunk() gives, for about a lump of the text each."""
         at = 0
         while at < len(text):
@@ -191,7 +191,7 @@ class BpeModel:
             at = end
 
     def encode_ids(self, text: str) -> list[int]:
-        return [int(i) for got in self.encode(text) for ids, _, _ in got for i in ids.split(" ")]
+        return [i for got in self.encode(text) for _, ids in got for i in ids]
 
 
 def sufficient_lookahead(merges: list[tuple[str, str]], suffix: str = "") -> int:
@@ -225,7 +225,7 @@ class Decoder:
     def __init__(self, model: BpeModel, as_pieces: bool = True):
         self.model, self.as_pieces, self.first = model, as_pieces, True
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
-        self.byte = {c: b for b, c in enumerate(model.alphabet)}
+        self.byte = {} if as_pieces else {c: b for b, c in enumerate(model.alphabet)}
 
     def feed(self, token_id: int) -> str:
         piece = self.model.piece[token_id]
@@ -238,6 +238,16 @@ class Decoder:
         raw = bytes(self.byte[c] for c in (piece[: -len(self.model.suffix)] if end else piece))
         return self.utf8.decode(raw) + (" " if end else "")
 
+    def feed_all(self, token_ids: Iterable[int]) -> str:
+        """What feed() gives for each, put together."""
+        if not self.as_pieces:
+            return "".join(map(self.feed, token_ids))
+        pieces = list(map(self.model.piece.__getitem__, token_ids))
+        if pieces and not self.first:
+            pieces.insert(0, "")
+        self.first = self.first and not pieces
+        return " ".join(pieces)
+
     def close(self) -> str:
         return "" if self.as_pieces else self.utf8.decode(b"", True)
 
@@ -248,18 +258,21 @@ def _model(path: str) -> BpeModel:
 
 
 def _encoded(model: BpeModel, text: str, keep: bool, digests: bool) -> tuple:
-    """The ids as an array, if they are kept, and their number and digests, if those are wanted."""
+    """The ids as an array, if they are kept, and their number and the digests of them and of what
+    they decode to, if those are wanted."""
     kept, ids, decoded, n = array("i"), hashlib.sha256(), hashlib.sha256(), 0
+    decoder = Decoder(model)
     for got in model.encode(text):
         if got:
-            sep = " " if n else ""
-            found = sep + " ".join([g[0] for g in got])
-            n += sum([g[1] for g in got])
+            found = list(chain.from_iterable([g[1] for g in got]))
             if keep:
-                kept.extend(map(int, found.split()))
+                kept.extend(found)
             if digests:
-                ids.update(found.encode())
-                decoded.update((sep + " ".join([g[2] for g in got])).encode())
+                ids.update(((" " if n else "") + " ".join([g[0] for g in got])).encode())
+                decoded.update(decoder.feed_all(found).encode())
+            n += len(found)
+    if digests:
+        decoded.update(decoder.close().encode())
     return (np.frombuffer(kept, np.int32),) * keep + (n, ids.hexdigest(), decoded.hexdigest()) * digests
 
 

@@ -264,3 +264,14 @@ def test_templates_that_look_far_back(spark):
             of(df, LastTen()).collect()
     got = chat.format_turns(df, Numbered()).orderBy("position").collect()
     assert "".join(r.formatted for r in got) == Numbered()([("user", f"turn {k}") for k in range(30)])
+
+
+def test_digest_is_of_the_decoded_ids():
+    model = bpe.BpeModel(bpe.tokenizer_path())
+    text = "one two " * 20_000 + "naïve <|endoftext|> 日本"
+    ids = model.encode_ids(text)
+    d = bpe.Decoder(model)
+    want = "".join([d.feed(i) for i in ids]) + d.close()
+    assert bpe._encoded(model, text, False, True)[2] == hashlib.sha256(want.encode()).hexdigest()
+    model.piece[ids[0]] = "wrong"
+    assert bpe._encoded(model, text, False, True)[2] != hashlib.sha256(want.encode()).hexdigest()
