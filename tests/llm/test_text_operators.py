@@ -240,6 +240,9 @@ def test_long_runs_are_scored_whole():
     joined = f"<{run}>"
     grams = {s[i : i + n] for s in (f"<{w}>" for w in seen) for n in (3, 4, 5) for i in range(len(s) - n + 1)}
     assert {joined[i : i + n] for n in (3, 4, 5) for i in range(len(joined) - n + 1)} <= grams
+    plain = toxicity.SubwordBags()
+    plain.prior, plain.folded = None, np.random.default_rng(1).normal(size=plain.buckets).astype(np.float32)
+    assert plain.score(run) != plain.score(run[:100]) != plain.score(run[:60])
     assert toxicity.words("x" * 60) == ["x" * 60] and len(toxicity.words("x" * 61)) == 2
 
 
