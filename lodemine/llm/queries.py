@@ -17,6 +17,7 @@ QUERIES = {
     "op10_chat": chat.op10_chat,
 }
 ORACLES = {
+    "op1_html": html.OP1_SQL,
     "op2_topk": topk.OP2_SQL,
     "op3_secrets": secrets.OP3_SQL,
     "op10_chat": chat.OP10_SQL,

@@ -42,6 +42,68 @@ def test_main_text(page, want):
     assert html.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<p class="a"">Hello, world of quotes.</p>', "Hello, world of quotes."),
+        ("<p>One, two.</p><p title=don't>Three, four.</p>", "One, two.\n\nThree, four."),
+        ("<p title='never closed>One, two.</p><p>Three, four.</p>", "One, two.\n\nThree, four."),
+        ("<p a = \"x > y\" b='<i>'>One, two.</p>", "One, two."),
+        ("<article><p>One.</p></b></i></span><p>Two.</p></article>", "One.\n\nTwo."),
+        ("<article><p>One, two.<div>Three.</p>Four.</article>", "One, two.\n\nThree.\n\nFour."),
+        ("<article><p class=comment>My own comment, at length, on what they said.</p><p id=the-notice>A notice, too, is part of it.</p><p>x</p></article>", "My own comment, at length, on what they said.\n\nA notice, too, is part of it.\n\nx"),
+        ("<article><p>Short, but it.</p></article><div class=ad><p>" + "Buy it, now, here. " * 30 + "</p></div>", "Short, but it."),
+        ("<article></article><div class=ad>Buy, now.</div>", ""),
+        ("<script>if (a < b) { '<p>' }</script><p>Text, as it is.</p><!-- <p>no</p>", "Text, as it is."),
+    ],
+)
+def test_malformed_and_marked_pages(page, want):
+    assert html.main_text(page) == want
+
+
+def test_ratios_decide(monkeypatch):
+    part = "A long part of the story, told at length, with all its turns; and more, as it goes. " * 3
+    links = "".join(f"<li>Link {i}</li>" for i in range(12))
+    page = f"<body><div><ul>{links}</ul></div><div><h2>Head</h2><p>{part}</p><p>{part}</p><p>Short.</p></div><div><span>Top</span><span>Back</span></div></body>"
+    want = ["Head", part.strip(), part.strip(), "Short."]
+    assert html.main_text(page).split("\n\n") == want
+    monkeypatch.setattr(html, "content_paths", lambda blocks, paths, weights, share: set(paths))
+    assert html.main_text(page).split("\n\n") != want
+
+
+@pytest.mark.parametrize("page", ["<article>" + "<div>" * 100_000 + "deep" + "</div>" * 100_000, "<article>" + "<b>" * 50_000 + "deep" + "<p>x</i>" * 50_000, "<p>deep</p>" * 100_000, '<p a="' * 100_000 + '">deep, at last'])
+def test_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    assert "deep" in html.main_text(page)
+    assert time.process_time() - began < 10
+
+
+def test_random_pages_give_the_article_they_were_made_of():
+    rng = random.Random(5)
+    some = lambda a, b: " ".join(rng.choice(["the", "story,", "went", "on.", "and", "so; it", "was"]) for _ in range(rng.randint(a, b)))
+    boiler = [
+        lambda: f"<nav><ul>{'<li>menu'  * 5}</ul></nav>",
+        lambda: f'<div class="ad">{some(3, 40)}</div>',
+        lambda: f'<div id="sidebar"><p>{some(5, 40)}</p></div>',
+        lambda: f"<aside><p>{some(5, 60)}</aside>",
+        lambda: f'<form><p>{some(2, 9)}<input name=q><button>Go</button></form>',
+        lambda: f'<div class="cookie-notice">{some(4, 20)}</div>',
+        lambda: f'<section class="comments"><article class="comment"><p>{some(5, 60)}</p></article></section>',
+        lambda: f"<script>{some(2, 5)}</script>",
+    ]
+    for k in range(300):
+        blocks = [some(2, 5)] + [some(20, 80) for _ in range(rng.randint(2, 6))]
+        blocks.insert(2, some(1, 3))
+        inner = f"<h1>{blocks[0]}</h1>" + "".join(f"<p>{b}{rng.choice(['</p>', ''])}" for b in blocks[1:])
+        tag = rng.choice(['article', 'main', 'div class="post"'])
+        parts = [f"<{tag}>{inner}</{tag.split()[0]}>"] + [rng.choice(boiler)() for _ in range(rng.randint(0, 5))]
+        rng.shuffle(parts)
+        page = f"<html><head><title>t</title></head><body><header><h2>{some(1, 3)}</h2></header>{''.join(parts)}<footer>{some(2, 9)}</footer></body></html>"
+        assert html.main_text(page).split("\n\n") == blocks, page
+
+
 def test_html_rows(spark, sf):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, None), (None, "", "", "")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
