@@ -2,10 +2,18 @@
 
 ``BpeModel`` reads a tokenizer file (JSON with vocab, merges and an end-of-word suffix) and
 computes, from the merge list alone, how far to the right of a token other text can still change
-it (the sufficient lookahead). ``encode_symbols`` then keeps a buffer of one lookahead plus a
-block, emits the tokens that are stable and forgets them, so that a word of any length takes
-constant memory. ``Decoder`` is an incremental state machine from token ids to text: it holds back
-the bytes of an incomplete UTF-8 sequence until their continuation arrives.
+it (the sufficient lookahead). All text goes through two machines in a row. ``BpeModel.parts`` takes
+the text piece by piece and cuts it into parts of words, one state (no word, letters, other signs)
+and at most three code points carried from piece to piece. ``Transducer`` takes a word's symbols,
+keeps a buffer of one lookahead plus a block, emits the tokens that are stable and forgets them. So a
+text or word of any length, with or without white space, takes constant memory besides the text and
+the result itself (but for runs of combining marks, which normalisation sorts as a whole). Results of
+words and of runs between white space are remembered while they are short. ``Decoder`` is an
+incremental state machine from token ids to text: it holds back the bytes of an incomplete UTF-8
+sequence until their continuation arrives.
+
+Letter classes and lower case are those of the library's tables (see LATER and LOWER); composed
+characters that Unicode 16 and later added are not composed here.
 
 Nulls count as empty texts; empty texts give no ids. Extra columns of the input are kept but for those
 that have the name of a result. Repeated rows are encoded each, an empty table gives no rows.
@@ -36,6 +44,22 @@ TOKENIZER = "word_bpe_49k.json"
 
 # White space of the tokenizer file's patterns (the Unicode property White_Space).
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+# Code points that the regex module counts as letters or numbers and the library's older
+# table does not know yet.
+LATER = (
+    "\\u0558\\u058b\\u058c\\u088f\\u0c5c\\u0cdc\\u208f\\u209d-\\u209f\\ua7ce\\ua7cf\\ua7d2\\ua7d4\\ua7dd\\ua7e2\\ua7f1\\uab6c\\uab6d"
+    "\\U000107bb-\\U000107bf\\U00010940-\\U00010959\\U00010ec5-\\U00010ec7\\U00010ed9-\\U00010eee\\U00011b0a\\U00011db0-\\U00011ddb\\U00011de0-\\U00011de9\\U00011df1"
+    "\\U0001246f\\U00012475-\\U0001247f\\U00012550-\\U00012686\\U00016ea0-\\U00016eb8\\U00016ebb-\\U00016ed3\\U00016ff2-\\U00016ff6\\U000187f8-\\U000187ff"
+    "\\U00018cd6-\\U00018cda\\U00018d09-\\U00018d20\\U00018d80-\\U00018df2\\U00018e00-\\U00019191\\U000191a0-\\U000191d2\\U0001b123-\\U0001b128\\U0001b168\\U0001d6a6"
+    "\\U0001df1f-\\U0001df24\\U0001df2b-\\U0001df81\\U0001df90-\\U0001df96\\U0001dfcd-\\U0001dfff\\U0001e6c0-\\U0001e6de\\U0001e6e0-\\U0001e6e2\\U0001e6e4\\U0001e6e5"
+    "\\U0001e6e7-\\U0001e6ed\\U0001e6f0-\\U0001e6f4\\U0001e6fe\\U0001e6ff\\U0002b73a-\\U0002b73f\\U0002b81e\\U0002cea2-\\U0002cead\\U000323b0-\\U00033479\\U0003d000-\\U0003fc3f"
+)
+# Lower case of letters that Unicode added after Python's table. A capital sigma is
+# lowered without regard to its place in the word.
+LOWER = {0x3A3: 0x3C3, 0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+#: Code points from a word's start that decide whether it is one of the pattern's contractions.
+LONGEST_CONTRACTION = 3
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -51,6 +75,43 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in set(own) else chr(256 + rest.index(b)) for b in range(256)]
 
 
+class Transducer:
+    """Of one word: symbols in, tokens out as soon as they are stable.
+
+    A token that ends a sufficient lookahead before the buffer's end can't change any more, and the
+    tokens after a token boundary don't depend on what stands before it. The newest symbol is held
+    back, for it gets the suffix if the word ends."""
+
+    def __init__(self, model: BpeModel):
+        self.model, self.buffer, self.newest = model, [], None
+        self.size = model.lookahead + model.block
+
+    def push(self, symbols: Iterable[str]) -> Iterator[str]:
+        for s in symbols:
+            if self.newest is not None:
+                self.buffer.append(self.newest)
+            self.newest = s
+            if len(self.buffer) >= self.size:
+                yield from self.stable()
+
+    def stable(self) -> list[str]:
+        model, out, end, kept = self.model, [], 0, 0
+        for t in model.merge(self.buffer.copy()):
+            end += model.width(t)
+            if end > len(self.buffer) - model.lookahead:
+                break
+            out.append(t)
+            kept = end
+        del self.buffer[:kept]
+        # a token longer than the block waits until the buffer reaches beyond it
+        self.size = max(model.lookahead + model.block, len(self.buffer) + model.block)
+        return out
+
+    def end(self) -> list[str]:
+        last = [] if self.newest is None else [self.newest + self.model.suffix]
+        return self.model.merge(self.buffer + last)
+
+
 class BpeModel:
     """block: symbols taken in beyond the lookahead before the buffer is tokenised."""
 
@@ -69,37 +130,72 @@ class BpeModel:
         self.block = block
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         pattern = pattern.replace("\\s", _SPACE)
-        self.words = regex.compile(pattern)
+        known = lambda x: x.replace("\\p{L}", f"[\\p{{L}}--[{LATER}]]").replace("\\p{N}", f"[\\p{{N}}--[{LATER}]]")
+        self.words = regex.compile(known(pattern), regex.V1)
         self.ascii_words = re.compile(pattern.replace("\\p{L}", "a-z").replace("\\p{N}", "0-9"))  # of lower-cased ASCII
+        self.letters = regex.compile(known("[\\p{L}]*"), regex.V1)
+        self.others = regex.compile(known(f"[^{_SPACE}\\p{{L}}\\p{{N}}]*"), regex.V1)
         self.spaces = regex.compile(f"[{_SPACE}]+")
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.by_word = Recent(self.word, cache_words)
-        self.by_chunk = Recent(self.chunk, cache_words)
+        self.by_run = Recent(self.run, cache_words)
 
     def forget(self) -> None:
         """Frees the caches: the worker goes on to other tasks, which may need the memory."""
         self.by_word.forget()
-        self.by_chunk.forget()
+        self.by_run.forget()
 
     # -- encoding
 
-    def segments(self, text: str) -> Iterator[tuple[str, bool]]:
-        """Parts of the text and whether each is a special token's string."""
-        at = 0
-        for m in self.cut.finditer(text) if self.cut else ():
-            if m.start() > at:
-                yield text[at : m.start()], False
-            yield m[0], True
-            at = m.end()
-        if at < len(text):
-            yield text[at:], False
+    def segments(self, text: str, start: int, end: int) -> Iterator[tuple[int, int, int | None]]:
+        """Parts of text[start:end] and, if a part is a special token's string, its id."""
+        for m in self.cut.finditer(text, start, end) if self.cut else ():
+            if m.start() > start:
+                yield start, m.start(), None
+            yield m.start(), m.end(), self.special[m[0]]
+            start = m.end()
+        if start < end:
+            yield start, end, None
 
     def normalize(self, text: str) -> str:
         """NFC, one space for white space, lower case code point by code point."""
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            text = unicodedata.normalize("NFC", text).translate(LOWER)
         return self.spaces.sub(" ", text).lower()
 
+    def pieces(self, text: str, start: int, end: int, lump: int) -> Iterator[str]:
+        """text[start:end] normalised, in pieces of about a lump that normalise on their own."""
+        while start < end:
+            to = min(start + lump, end)
+            while to < end and not starts_anew(text[to]):
+                to += 1
+            yield self.normalize(text[start:to])
+            start = to
+
+    def parts(self, pieces: Iterable[str]) -> Iterator[tuple[str, bool]]:
+        """Cuts a stream of normalised text into words: parts of words, and whether the word ends
+        with the part. Only a run of letters or of other signs can go on in the next piece."""
+        run, carry, pieces = None, "", chain(pieces, [None])
+        piece = next(pieces)
+        while piece is not None:
+            text, piece = carry + piece, next(pieces)
+            last, at, carry = piece is None, 0, ""
+            if run is not None:
+                at = run.match(text).end()
+                goes_on = at == len(text) and not last
+                yield text[:at], not goes_on
+                if goes_on:
+                    continue
+                run = None
+            sure = len(text) - (0 if last else LONGEST_CONTRACTION)
+            for m in (self.ascii_words if text.isascii() else self.words).finditer(text, at):
+                if m.start() >= sure:
+                    carry = text[m.start() :]
+                    break
+                if m.end() == len(text) and not last:
+                    run = self.letters if self.letters.match(m[0]).end() else self.others
+                yield m[0], run is None
+
     def merge(self, symbols: list[str]) -> list[str]:
         """Applies the merges in place, lowest rank first and leftmost first within a rank."""
         get, none = self.rank.get, len(self.rank)
@@ -114,86 +210,86 @@ class BpeModel:
                 ranks[i] = get((symbols[i], symbols[i + 1]), none)
         return symbols
 
-    def encode_symbols(self, symbols: Iterable[str]) -> Iterator[str]:
-        """The tokens of a stream of symbols (the last one ends with the suffix).
-
-        A token that ends a sufficient lookahead before the buffer's end can't change any more,
-        and the tokens after a token boundary don't depend on what stands before it.
-        """
-        buffer: list[str] = []
-        size, ahead = self.lookahead + self.block, self.lookahead
-        for s in symbols:
-            buffer.append(s)
-            if len(buffer) >= size:
-                end, kept = 0, 0
-                for t in self.merge(buffer.copy()):
-                    end += self.width(t)
-                    if end > len(buffer) - ahead:
-                        break
-                    yield t
-                    kept = end
-                del buffer[:kept]
-                # a token longer than the block waits until the buffer reaches beyond it
-                size = max(self.lookahead + self.block, len(buffer) + self.block)
-        yield from self.merge(buffer)
-
     def width(self, token: str) -> int:
         return len(token) - len(self.suffix) if self.suffix and token.endswith(self.suffix) else len(token)
 
-    def word_symbols(self, word: str) -> Iterator[str]:
-        raw = word.encode()
-        last = len(raw) - 1
-        for i, b in enumerate(raw):
-            yield self.alphabet[b] + (self.suffix if i == last else "")
-
-    def word(self, word: str) -> tuple[str, tuple[int, ...]]:
-        """Of a word as the pattern cuts it: decimal ids joined by spaces, and the ids."""
-        raw = word.encode()
-        if len(raw) < self.lookahead + self.block:  # what encode_symbols() does with a short word
-            alphabet = self.alphabet
-            symbols = [alphabet[b] for b in raw]
-            symbols[-1] += self.suffix
-            tokens = self.merge(symbols)
-        else:
-            tokens = list(self.encode_symbols(self.word_symbols(word)))
-        ids = tuple([self.vocab[t] for t in tokens])
+    def symbols(self, part: str) -> Iterator[str]:
+        return map(self.alphabet.__getitem__, part.encode())
+
+    def word(self, word: str) -> tuple[int, ...]:
+        """Ids of a whole word."""
+        t = Transducer(self)
+        return tuple([self.vocab[x] for x in [*t.push(self.symbols(word)), *t.end()]])
+
+    def stream(self, pieces: Iterable[str]) -> Iterator[Iterable[int]]:
+        """Ids of a stream of normalised text."""
+        open_word = None
+        for part, ends in self.parts(pieces):
+            if open_word is None and ends:
+                yield self.by_word[part]
+                continue
+            open_word = open_word or Transducer(self)
+            yield [self.vocab[t] for t in open_word.push(self.symbols(part))]
+            if ends:
+                yield [self.vocab[t] for t in open_word.end()]
+                open_word = None
+
+    def between(self, text: str, start: int, end: int, lump: int) -> Iterator[Iterable[int]]:
+        """Ids of text[start:end], which no word or special token reaches beyond."""
+        for a, b, special in self.segments(text, start, end):
+            yield from [(special,)] if special is not None else self.stream(self.pieces(text, a, b, lump))
+
+    def run(self, run: str) -> tuple[str, tuple[int, ...]]:
+        """Of a run of text without white space: decimal ids joined by spaces, and the ids."""
+        ids = tuple(chain.from_iterable(self.between(run, 0, len(run), len(run))))
         return " ".join(map(str, ids)), ids
 
-    def chunk(self, chunk: str) -> tuple[str, tuple[int, ...]]:
-        """Of a run of text without white space, which no word or special token reaches beyond:
-        what word() gives ("" and () if it has no tokens)."""
-        if self.cut and self.cut.search(chunk):
-            got = []
-            for part, special in self.segments(chunk):
-                got += [(str(self.special[part]), (self.special[part],))] if special else [self.by_word[m] for m in self.words.findall(self.normalize(part))]
-        elif chunk.isascii():
-            got = [self.by_word[m] for m in self.ascii_words.findall(chunk.lower())]
-        else:
-            got = [self.by_word[m] for m in self.words.findall(self.normalize(chunk))]
-        if len(got) == 1:
-            return got[0]
-        return " ".join([g[0] for g in got]), tuple(chain.from_iterable([g[1] for g in got]))
-
     def encode(self, text: str, lump: int = 1 << 16) -> Iterator[list[tuple[str, tuple[int, ...]]]]:
-        """Lists of what chunk() gives, for about a lump of the text each."""
+        """Lists of what run() gives, for about a lump of the text each. Runs without white space
+        that are longer than a lump are streamed."""
         at = 0
         while at < len(text):
-            end = at + lump
-            if end < len(text):
-                m = self.spaces.search(text, end)
-                end = m.end() if m else len(text)
+            end = min(at + lump, len(text))
+            m = self.spaces.search(text, end, end + lump)
+            end = m.end() if m else end if end + lump < len(text) else len(text)
             part = text[at:end]
             if any(c in part for c in "\x1c\x1d\x1e\x1f"):  # white space to Python, not to the file
-                chunks = [c for c in self.spaces.split(part) if c]
+                runs = [c for c in self.spaces.split(part) if c]
             else:
-                chunks = part.split()
-            yield [g for g in map(self.by_chunk.__getitem__, chunks) if g[1]]
+                runs = part.split()
+            long = runs.pop() if not m and end < len(text) and runs and part.endswith(runs[-1]) else ""
+            yield [g for g in map(self.by_run.__getitem__, runs) if g[1]]
+            if long:
+                m = self.spaces.search(text, end)
+                start, end = end - len(long), m.start() if m else len(text)
+                held: list[int] = []
+                for ids in self.between(text, start, end, lump):
+                    held += ids
+                    if len(held) >= lump:
+                        yield [(" ".join(map(str, held)), tuple(held))]
+                        held = []
+                if held:
+                    yield [(" ".join(map(str, held)), tuple(held))]
             at = end
 
     def encode_ids(self, text: str) -> list[int]:
         return [i for got in self.encode(text) for _, ids in got for i in ids]
 
 
+@lru_cache(maxsize=1)
+def _joins_the_previous() -> frozenset[str]:
+    """The starters that normalisation can compose with what stands before: second parts of canonical
+    pairs, vowels and finals of Hangul."""
+    pairs = (unicodedata.decomposition(chr(c)) for c in range(0x110000))
+    found = {chr(int(d.split()[1], 16)) for d in pairs if " " in d and "<" not in d}
+    return frozenset(found) | frozenset(map(chr, [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]))
+
+
+def starts_anew(c: str) -> bool:
+    """Whether normalisation of a text can be done apart from c on."""
+    return c < "\x80" or unicodedata.combining(c) == 0 and c not in _joins_the_previous() and unicodedata.combining(unicodedata.normalize("NFD", c)[0]) == 0
+
+
 def sufficient_lookahead(merges: list[tuple[str, str]], suffix: str = "") -> int:
     """How many symbols after a token's end can decide whether the token stands.
 

@@ -142,12 +142,72 @@ def test_ids_are_those_of_the_library(library, block):
         assert "".join(d.feed(i) for i in want) + d.close() == library.decode(want, skip_special_tokens=False)
 
 
+def through(model, word, size=10**9):
+    """Tokens of a word that comes in parts, and the longest buffer that was needed."""
+    tr, out, longest = bpe.Transducer(model), [], 0
+    for i in range(0, len(word), size):
+        for token in tr.push(model.symbols(word[i : i + size])):
+            out.append(token)
+        longest = max(longest, len(tr.buffer))
+    return out + tr.end(), longest
+
+
 def test_stream_of_symbols_equals_the_whole():
     model = bpe.BpeModel(bpe.tokenizer_path(), block=1)
     rng = random.Random(3)
     for _ in range(30):
         word = "".join(rng.choice(["inter", "nation", "al", "iz", "ation", "s", "th", "e"]) for _ in range(120))
-        assert list(model.encode_symbols(model.word_symbols(word))) == model.merge(list(model.word_symbols(word)))
+        whole = list(model.symbols(word))
+        whole[-1] += model.suffix
+        got, longest = through(model, word, rng.randint(1, 50))
+        assert got == model.merge(whole) and longest <= model.lookahead + 60
+
+
+def test_every_word_goes_through_the_transducer(library, monkeypatch):
+    model, seen = bpe.BpeModel(bpe.tokenizer_path()), []
+    end = bpe.Transducer.end
+    monkeypatch.setattr(bpe.Transducer, "end", lambda self: seen.append(1) or end(self))
+    text = "Every word's done, once: naïve 日本 12 !?"
+    assert model.encode_ids(text) == library.encode(text, add_special_tokens=False).ids
+    assert len(seen) == len({w for w in model.words.findall(model.normalize(text))})
+
+
+@pytest.mark.parametrize("lump", [1, 2, 3, 5, 64])
+def test_pieces_of_any_size_give_the_same_ids(library, lump):
+    rng = random.Random(lump)
+    parts = ["a", "it's", "'", "'r", "'re", "'ll", "ll", "!", "12", "é", "e\u0301", "\u1100", "\u1161", "\u11a8", "각", "Σ", "İ", "日本", "🙂", "<|endoftext|>", "<|end", "oftext|>", "\u0558", "\U000323b0", "\ua7cb", "\u0315\u0300", "\u09c7", "\u09be", "x" * 70]
+    for k in range(250):
+        text = "".join(rng.choice(parts + [" "] * (k % 3)) for _ in range(rng.randint(1, 60)))
+        want = library.encode(text, add_special_tokens=False).ids
+        got = [i for g in bpe.BpeModel.encode(MODEL, text, lump) for _, ids in g for i in ids]
+        assert got == want, text
+
+
+MODEL = bpe.BpeModel(bpe.tokenizer_path())
+
+
+def test_single_code_points_are_classed_as_by_the_library(library):
+    rng = random.Random(8)
+    some = [*range(0x80, 0x3000), *rng.sample(range(0x3000, 0xD800), 3000), *range(0xA700, 0xAC00), *range(0x10D00, 0x10F00), *rng.sample(range(0xE000, 0x110000), 6000), 0x323B0, 0x33479]
+    texts = [f"a{chr(c)}1!{chr(c)}" for c in some]
+    for text, got in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        assert MODEL.encode_ids(text) == got.ids, ascii(text)
+
+
+@pytest.mark.parametrize("unit", ["internationalization", "日本語", "ab!?", "é'ré"])
+def test_a_long_text_without_white_space_takes_flat_memory(unit):
+    import tracemalloc
+
+    def peak(text):
+        list(MODEL.encode(text[:9_000], 2048))
+        tracemalloc.start()
+        n = sum(len(ids) for got in MODEL.encode(text, 2048) for _, ids in got)
+        _, most = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        return n, most
+
+    short, long = peak(unit * (60_000 // len(unit))), peak(unit * (300_000 // len(unit)))
+    assert long[0] > 4 * short[0] and long[1] < 1.2 * short[1] + 50_000
 
 
 def test_text_decoder_holds_back_partial_bytes():
