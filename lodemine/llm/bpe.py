@@ -24,6 +24,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import os
 import re
 import unicodedata
 from array import array
@@ -83,49 +84,56 @@ class Transducer:
     back, for it gets the suffix if the word ends."""
 
     def __init__(self, model: BpeModel):
-        self.model, self.buffer, self.newest = model, [], None
-        self.size = model.lookahead + model.block
-
-    def push(self, symbols: Iterable[str]) -> Iterator[str]:
-        for s in symbols:
-            if self.newest is not None:
-                self.buffer.append(self.newest)
-            self.newest = s
+        self.model, self.buffer = model, []
+        self.size = model.lookahead + model.block + 1
+
+    def push(self, symbols: list[int]) -> list[int]:
+        out: list[int] = []
+        for i in range(0, len(symbols), self.model.block):
+            self.buffer += symbols[i : i + self.model.block]
             if len(self.buffer) >= self.size:
-                yield from self.stable()
+                out += self.stable()
+        return out
 
-    def stable(self) -> list[str]:
+    def stable(self) -> list[int]:
         model, out, end, kept = self.model, [], 0, 0
-        for t in model.merge(self.buffer.copy()):
-            end += model.width(t)
-            if end > len(self.buffer) - model.lookahead:
+        known = self.buffer[:-1]
+        sure = len(known) - model.lookahead
+        for t in model.merge(known):
+            end += model.width[t]
+            if end > sure:
                 break
             out.append(t)
             kept = end
         del self.buffer[:kept]
         # a token longer than the block waits until the buffer reaches beyond it
-        self.size = max(model.lookahead + model.block, len(self.buffer) + model.block)
+        self.size = max(model.lookahead, len(self.buffer)) + model.block + 1
         return out
 
-    def end(self) -> list[str]:
-        last = [] if self.newest is None else [self.newest + self.model.suffix]
-        return self.model.merge(self.buffer + last)
+    def end(self) -> list[int]:
+        if self.buffer:
+            self.buffer[-1] = self.model.last_of[self.buffer[-1]]
+        return self.model.merge(self.buffer)
 
 
 class BpeModel:
     """block: symbols taken in beyond the lookahead before the buffer is tokenised."""
 
-    def __init__(self, path: str, block: int = 256, cache_words: int = 120_000):
+    def __init__(self, path: str, block: int = 256, cache_words: int = 250_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
         self.merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.rank = {m: r for r, m in enumerate(self.merges)}
+        self.rank = {self.vocab[u] << 32 | self.vocab[v]: r for r, (u, v) in enumerate(self.merges)}
+        self.joined = [self.vocab[u + v] for u, v in self.merges]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.piece = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.alphabet = byte_alphabet()
+        self.of_byte = [self.vocab[c] for c in self.alphabet]
+        self.last_of = {self.vocab[c]: self.vocab[c + self.suffix] for c in self.alphabet}
+        self.width = {i: len(t) - len(self.suffix) * bool(self.suffix and t.endswith(self.suffix)) for t, i in self.vocab.items()}
         self.lookahead = sufficient_lookahead(self.merges, self.suffix)
         self.block = block
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -137,6 +145,7 @@ class BpeModel:
         self.others = regex.compile(known(f"[^{_SPACE}\\p{{L}}\\p{{N}}]*"), regex.V1)
         self.spaces = regex.compile(f"[{_SPACE}]+")
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.opening = os.path.commonprefix(list(self.special))
         self.by_word = Recent(self.word, cache_words)
         self.by_run = Recent(self.run, cache_words)
 
@@ -196,42 +205,44 @@ class BpeModel:
                     run = self.letters if self.letters.match(m[0]).end() else self.others
                 yield m[0], run is None
 
-    def merge(self, symbols: list[str]) -> list[str]:
+    def merge(self, symbols: list[int]) -> list[int]:
         """Applies the merges in place, lowest rank first and leftmost first within a rank."""
-        get, none = self.rank.get, len(self.rank)
-        ranks = [get(p, none) for p in zip(symbols, symbols[1:])]
-        while ranks and (best := min(ranks)) < none:
+        get, none = self.rank.get, len(self.joined)
+        ranks = [get(u << 32 | v, none) for u, v in zip(symbols, symbols[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == none:
+                break
             i = ranks.index(best)
-            symbols[i] += symbols.pop(i + 1)
-            del ranks[i]
+            new = symbols[i] = self.joined[best]
+            del symbols[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = get((symbols[i - 1], symbols[i]), none)
+                ranks[i - 1] = get(symbols[i - 1] << 32 | new, none)
             if i < len(ranks):
-                ranks[i] = get((symbols[i], symbols[i + 1]), none)
+                ranks[i] = get(new << 32 | symbols[i + 1], none)
         return symbols
 
-    def width(self, token: str) -> int:
-        return len(token) - len(self.suffix) if self.suffix and token.endswith(self.suffix) else len(token)
+    def symbols(self, part: str) -> list[int]:
+        """Of each byte the id of its stand-in."""
+        return list(map(self.of_byte.__getitem__, part.encode()))
 
-    def symbols(self, part: str) -> Iterator[str]:
-        return map(self.alphabet.__getitem__, part.encode())
-
-    def word(self, word: str) -> tuple[int, ...]:
-        """Ids of a whole word."""
+    def word(self, word: str) -> tuple[str, tuple[int, ...]]:
+        """Of a whole word: decimal ids joined by spaces, and the ids."""
         t = Transducer(self)
-        return tuple([self.vocab[x] for x in [*t.push(self.symbols(word)), *t.end()]])
+        ids = tuple(t.push(self.symbols(word)) + t.end())
+        return " ".join(map(str, ids)), ids
 
     def stream(self, pieces: Iterable[str]) -> Iterator[Iterable[int]]:
         """Ids of a stream of normalised text."""
         open_word = None
         for part, ends in self.parts(pieces):
             if open_word is None and ends:
-                yield self.by_word[part]
+                yield self.by_word[part][1]
                 continue
             open_word = open_word or Transducer(self)
-            yield [self.vocab[t] for t in open_word.push(self.symbols(part))]
+            yield open_word.push(self.symbols(part))
             if ends:
-                yield [self.vocab[t] for t in open_word.end()]
+                yield open_word.end()
                 open_word = None
 
     def between(self, text: str, start: int, end: int, lump: int) -> Iterator[Iterable[int]]:
@@ -240,9 +251,18 @@ class BpeModel:
             yield from [(special,)] if special is not None else self.stream(self.pieces(text, a, b, lump))
 
     def run(self, run: str) -> tuple[str, tuple[int, ...]]:
-        """Of a run of text without white space: decimal ids joined by spaces, and the ids."""
-        ids = tuple(chain.from_iterable(self.between(run, 0, len(run), len(run))))
-        return " ".join(map(str, ids)), ids
+        """Of a run of text without white space: decimal ids joined by spaces, and the ids. A run
+        without special tokens is one piece, which parts() would cut in one go."""
+        if self.special and self.opening in run:
+            ids = tuple(chain.from_iterable(self.between(run, 0, len(run), len(run))))
+            return " ".join(map(str, ids)), ids
+        if run.isascii():
+            got = list(map(self.by_word.__getitem__, self.ascii_words.findall(run.lower())))
+        else:
+            got = list(map(self.by_word.__getitem__, self.words.findall(self.normalize(run))))
+        if len(got) == 1:
+            return got[0]
+        return " ".join([g[0] for g in got]), tuple(chain.from_iterable([g[1] for g in got]))
 
     def encode(self, text: str, lump: int = 1 << 16) -> Iterator[list[tuple[str, tuple[int, ...]]]]:
         """Lists of what run() gives, for about a lump of the text each. Runs without white space
