@@ -206,6 +206,38 @@ def test_mixture_meets_its_targets(spark, fan):
     assert sorted(map(repr, got[key].itertuples(index=False))) == sorted(map(repr, again[key].itertuples(index=False)))
 
 
+@pytest.mark.parametrize("table, most", [("sf0.001", 0.04), ("sf0.01", 0.01), ("sf0.1", 0.01)])
+def test_sources_come_near_their_targets(spark, table, most):
+    sf = f"/root/testdata/{table}"
+    got = mixing.mix(read(spark, sf, "documents"))
+    for r in got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
+        assert abs(r.taken / r.target - 1) <= most
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = {i: rest for i, *rest in c.sql(mixing.TARGETS_SQL).fetchall()}
+    rows = got.collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        assert [r["size"], r.source_size] == want[r.doc_id][:2] and r.target == pytest.approx(want[r.doc_id][2], rel=1e-12)
+
+
+def test_long_documents_settle_before_the_short_ones(spark):
+    rows = [(0, "w " * 5000, "a")] + [(i, "w " * (1 + i % 3), "a") for i in range(1, 4000)] + [(i, "w", "b") for i in range(4000, 4400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4).cache()
+    for seed in range(6):
+        got = mixing.mix(df, fan=8, seed=seed).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+        assert all(abs(r.taken - r.target) <= 3 for r in got)
+
+
+def test_many_repeated_rows_and_sources(spark):
+    df = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("one two").alias("text"), F.lit("a").alias("source"))
+    df = df.unionByName(spark.range(500).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.concat(F.lit("s"), "id").alias("source")))
+    got = mixing.mix(df).toPandas()
+    assert len(got) == 3500 and (got.taken <= 3 * got["size"]).all()
+    a = got[got.source == "a"]
+    assert abs(a.taken.sum() - a.target.iloc[0]) <= 2
+
+
 def test_rounding_keeps_expectations(spark):
     rows = [(i, "w " * (1 + i % 9), "a" if i < 60 else "b") for i in range(120)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
