@@ -1,23 +1,24 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 1. Each text becomes its set of 5-word shingles (64-bit hashes), a MinHash signature, and one key
-   per band. Texts with equal sets form a class that goes on as its smallest doc_id.
-2. Documents that share a band key are candidates. Of each bucket the member that meets most others
+   per band. Texts with equal sets form a class, whichever rows they stand in.
+2. Classes that share a band key are candidates. Of each bucket the member that meets most others
    over all bands is the pivot, and each member is paired with it: a group of near-copies costs one
    pair per member, not one per pair.
 3. A pair's signatures are compared batch by batch. Under a uniform prior, n hashes with m matches
    leave the similarity at or above the threshold with probability Binomial(n + 1, t)(<= m); a pair
    is dropped once that is below the miss probability. Survivors are verified on the full sets.
 4. Verified pairs are linked; components by large and small stars. Pairs of one component need no
-   test. The rest is complete: in buckets that still hold several components, every pair across
-   components is compared in blocks and pruned in the same way; the members of surviving pairs meet
-   again with their full sets, and only links leave that task, so that what is passed on grows with
-   the members of the buckets and not with their pairs.
+   test. The rest is complete: buckets that still hold several components are cut into parts, each
+   two parts meet as a block, and every pair across components is pruned in the same way. The members
+   of surviving pairs meet again in their block with their full sets, and only links leave that task,
+   so that what is passed on grows with the members of the buckets and not with their pairs.
 
 Null and empty texts have empty sets and link with nothing. Rows without doc_id take no part: their
-component_id is null and they are kept. Rows that share a doc_id are linked (and are kept or go
-together). Repeated texts are one class. An empty table gives no rows. Only the key and the text are
-read.
+component_id is null and they are kept. Rows that share a doc_id are linked, whatever their texts (and
+are kept or go together): all of its texts count. Repeated texts are one class. An empty table gives
+no rows. Only the key and the text are read. Intermediate tables are deleted; the result is a table in
+the shared folder.
 """
 
 from __future__ import annotations
@@ -28,16 +29,16 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemine.llm.common import Recent, materialize, read
+from lodemine.llm.common import Recent, drop_tables, materialize, read
 from lodemine.llm.components import components
 
 ROWS, BANDS = 5, 32
 HASHES = ROWS * BANDS
 #: Ids of at most this many rows are broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -97,13 +98,14 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n (size of the set), fp (of the set; null if empty), sig (16 bits of each hash), bands."""
+    """doc_id, hash (of the text), n (size of the set), fp (of the set; null if empty), sig (16 bits of
+    each hash), bands."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hash_of = word_hashes()
         for batch in batches:
             n, fp, sig, bands = [], [], [], []
-            for t in batch.column(1):
+            for t in batch.column(2):
                 s = shingle_set(t.as_py(), hash_of)
                 n.append(len(s))
                 if len(s):
@@ -115,9 +117,9 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                     fp.append(None)
                     sig.append(None)
                     bands.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n", "fp", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "hash", "n", "fp", "sig", "bands"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(rows, "doc_id long, n long, fp binary, sig binary, bands array<long>")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text")).mapInArrow(rows, "doc_id long, hash long, n long, fp binary, sig binary, bands array<long>")
 
 
 @lru_cache(maxsize=8)
@@ -168,16 +170,18 @@ def _bounded_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _sets(ids: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """id, set of the documents named, built from their texts."""
-    held = docs.select(F.col("doc_id").alias("id"), "text").join(_bounded_broadcast(ids), "id")
+def _sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """id, set of the classes named, built from the text of one row each."""
+    named = classes.join(_bounded_broadcast(ids), "id").select("id", F.col("rep").alias("doc_id"), "hash")
+    held = docs.withColumn("hash", F.xxhash64("text")).join(_bounded_broadcast(named), ["doc_id", "hash"])
+    held = held.groupBy("id").agg(F.min("text").alias("text"))  # of repeated rows one
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hash_of = word_hashes()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), hash_of).tobytes() for t in batch.column(1)], pa.binary())], ["id", "set"])
 
-    return materialize(held.mapInArrow(build, "id long, set binary").groupBy("id").agg(F.min("set").alias("set")), f"{name}-sets")
+    return materialize(held.mapInArrow(build, "id long, set binary"), f"{name}-sets")
 
 
 def linked(s: np.ndarray, t: np.ndarray, share: int) -> bool:
@@ -191,12 +195,12 @@ def linked(s: np.ndarray, t: np.ndarray, share: int) -> bool:
     return 100 * common >= share * (len(s) + len(t) - common)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, threshold: float, name: str) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold. Sets are built for the documents of
-    the pairs only."""
+def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float, name: str) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold. Sets are built for the classes of the
+    pairs only."""
     pairs = materialize(pairs, f"{name}-survivors")
     ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{name}-ids")
-    sets = _sets(ids, docs, name)
+    sets = _sets(ids, classes, docs, name)
     side = lambda c: sets.select(F.col("id").alias(c), F.col("set").alias(f"set_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
     share = round(threshold * 100)
@@ -206,29 +210,34 @@ def verify(pairs: DataFrame, docs: DataFrame, threshold: float, name: str) -> Da
             kept = [i for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))) if linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), share)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), batch.column(1).take(pa.array(kept, pa.int64()))], ["a", "b"])
 
-    return materialize(both.mapInArrow(rows, "a long, b long"), f"{name}-links")
+    links = materialize(both.mapInArrow(rows, "a long, b long"), f"{name}-links")
+    drop_tables(docs.sparkSession, pairs, ids, sets)
+    return links
 
 
-def _across(rows: DataFrame, threshold: float, miss: float, chunk: int = 1024) -> DataFrame:
+def _blocks(rows: DataFrame, chunk: int = 1024) -> DataFrame:
     """rows: key, band, id, n, label, sig of buckets with several labels, with the bucket's commonest
-    label (main), its rows (n_main) and all rows (n_all); and set or not. A pair of different labels
-    counts in the first band that both share. Without sets: key, id of the members of pairs that
-    survive pruning. With sets: links a, b between labels, as many as join them.
-
-    Buckets are cut into parts of about ``chunk`` rows, those of the commonest label apart from the
-    others, and each two parts meet in a task, but for two of the commonest label: a large component
-    with few others beside it is read once, not once for each of its parts."""
-    exact = "set" in rows.columns
+    label (main), its rows (n_main) and all rows (n_all). Buckets are cut into parts of about ``chunk``
+    rows, those of the commonest label apart from the others. A block p, q is where two parts meet, and
+    each two do, but for two of the commonest label: a large component with few others beside it is
+    read once, not once for each of its parts."""
     of = lambda n: F.greatest(F.ceil(n / chunk), F.lit(1)).cast("int")
     rows = rows.withColumn("_mains", of(F.col("n_main"))).withColumn("_rest", of(F.col("n_all") - F.col("n_main")))
     inside, h = F.col("label") == F.col("main"), F.xxhash64("id")
     rows = rows.withColumn("_part", F.when(inside, F.pmod(h, F.col("_mains"))).otherwise(F.col("_mains") + F.pmod(h, F.col("_rest"))).cast("int"))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.when(inside, F.col("_mains")).otherwise(F.lit(0)), F.col("_mains") + F.col("_rest") - 1)))
-    rows = rows.select("key", F.least("_part", "_other").alias("p"), F.greatest("_part", "_other").alias("q"), (F.col("_part") <= F.col("_other")).alias("left"), "band", "id", "n", "label", "sig", *(["set"] if exact else []))
+    return rows.select("key", F.least("_part", "_other").alias("p"), F.greatest("_part", "_other").alias("q"), (F.col("_part") <= F.col("_other")).alias("left"), "band", "id", "n", "label", "sig")
+
+
+def _across(rows: DataFrame, threshold: float, miss: float) -> DataFrame:
+    """rows: those of _blocks(), with set or not. A pair of different labels counts in the first band
+    that both share. Without sets: key, p, q, id of the members of pairs that survive pruning in their
+    block. With sets: links a, b between labels, as many as join them."""
+    exact = "set" in rows.columns
     rows = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "id")
     share = round(threshold * 100)
 
-    def group(t: pa.Table) -> list[tuple[int, int]]:
+    def group(t: pa.Table) -> list[tuple]:
         key, p, q, band = (t.column(c)[0].as_py() for c in ("key", "p", "q", "band"))
         ids, n, label, left = (t.column(c).to_numpy() for c in ("id", "n", "label", "left"))
         sig, band, m = _matrix(t.column("sig")), band * ROWS, len(t)
@@ -262,16 +271,17 @@ def _across(rows: DataFrame, threshold: float, miss: float, chunk: int = 1024) -
                 if a != b and linked(sets[i], sets[k], share):
                     root[max(a, b)] = min(a, b)
                     links.append((int(min(ids[i], ids[k])), int(max(ids[i], ids[k]))))
-        return links if exact else [(key, int(x)) for x in ids[involved]]
+        return links if exact else [(key, p, q, int(x)) for x in ids[involved]]
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held = ("a", "b") if exact else ("key", "id"), None
+        names = ("a", "b") if exact else ("key", "p", "q", "id")
+        kinds, held = {"p": pa.int32(), "q": pa.int32()}, None
 
         def out(t: pa.Table) -> pa.RecordBatch:
             k, p, q = (t.column(c).to_numpy() for c in ("key", "p", "q"))
             cut = np.flatnonzero((k[1:] != k[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
             found = [x for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(k)]) if b - a > 1 for x in group(t.slice(a, b - a).combine_chunks())]
-            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], list(names))
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kinds.get(c, pa.int64())) for i, c in enumerate(names)], list(names))
 
         for batch in batches:
             if not batch.num_rows:
@@ -287,19 +297,19 @@ def _across(rows: DataFrame, threshold: float, miss: float, chunk: int = 1024) -
         if held is not None and held.num_rows:
             yield out(held)
 
-    return rows.mapInArrow(stream, "a long, b long" if exact else "key long, id long").distinct()
+    return rows.mapInArrow(stream, "a long, b long" if exact else "key long, p int, q int, id long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.75, miss: float = 1e-4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row per row of docs."""
+    spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    base = materialize(sketches(docs), "sketches")
+    base = materialize(sketches(docs).withColumn("row", F.monotonically_increasing_id()), "sketches")
     known = base.filter("doc_id IS NOT NULL AND fp IS NOT NULL")
-    classes = materialize(known.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    # one row per representative; of several sets under one doc_id the smallest print counts
-    reps = known.select("doc_id", "n", "fp", "sig", "bands").join(classes.select(F.col("rep").alias("doc_id"), "fp"), ["doc_id", "fp"])
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy("fp"))
-    reps = materialize(reps.withColumn("_k", one).filter("_k = 1").select(F.col("doc_id").alias("id"), "n", "sig", "bands"), "reps")
+    # rep: the smallest doc_id with this set, of which one row stands for the class
+    classes = known.groupBy("fp").agg(F.min(F.struct("doc_id", "row", "hash")).alias("_m"), F.count("*").alias("copies"))
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("id"), "fp", F.col("_m.doc_id").alias("rep"), F.col("_m.row").alias("row"), F.col("_m.hash").alias("hash"), "copies"), "classes")
+    reps = materialize(known.select("row", "n", "sig", "bands").join(classes.select("id", "row"), "row").drop("row"), "reps")
     sigs = reps.select("id", "sig")
 
     exploded = reps.select("id", "n", F.posexplode("bands").alias("band", "key"))
@@ -314,21 +324,48 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, miss: float = 1e-4
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * share
     stars = members.join(pivots, "key").filter("id <> pivot").filter(fits(F.col("n"), F.col("pivot_n")))
     stars = stars.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-    links = verify(prune(stars, sigs, threshold, miss), docs, threshold, "star")
-    labels = materialize(components(links), "star-labels")
-    rows = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    starred = verify(prune(stars, sigs, threshold, miss), classes, docs, threshold, "star")
+
+    # several texts under one doc_id: their classes are linked, each with the first of them
+    prints = base.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count("*").alias("rows"), F.count("fp").alias("texts"))
+    several = materialize(prints.filter("low <> high OR texts > 0 AND texts < rows").select("doc_id", (F.col("low") != F.col("high")).alias("differ"), (F.col("texts") < F.col("rows")).alias("empty")), "several-texts")
+    own = known.join(_bounded_broadcast(several.filter("differ")), "doc_id").select("doc_id", "fp").distinct()
+    own = materialize(own.join(classes.select("id", "fp"), "fp").select("doc_id", "id"), "own-classes")
+    first = own.groupBy("doc_id").agg(F.min("id").alias("a"))
+    linked_rows = own.withColumnRenamed("id", "b").join(_bounded_broadcast(first), "doc_id").filter("a <> b").select("a", "b")
+    links = materialize(starred.unionByName(linked_rows), "row-links")
+
+    early = components(links)
+    rows = members.join(early, "id", "left").withColumn("label", F.coalesce("label", "id"))
     counts = rows.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("n_all"))
     mixed = counts.select("key", F.col("m.label").alias("main"), F.col("m.c").alias("n_main"), "n_all").filter("n_main < n_all")
-    rows = rows.join(mixed, "key").join(sigs, "id")
-    involved = materialize(_across(rows, threshold, miss), "involved")
-    sets = _sets(materialize(involved.select("id").distinct(), "across-ids"), docs, "across")
-    found = _across(rows.join(involved, ["key", "id"]).join(sets, "id"), threshold, miss)
-    links = materialize(links.unionByName(found), "links")
-    labels = components(links)
-    named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("label", "rep").alias("component"))
-    out = base.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp")).join(named, "fp", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.coalesce(F.col("doc_id") == component, F.lit(True))).alias("kept"))
+    blocks = _blocks(rows.join(mixed, "key").join(sigs, "id"))
+    involved = materialize(_across(blocks, threshold, miss), "involved")
+    ids = materialize(involved.select("id").distinct(), "across-ids")
+    sets = _sets(ids, classes, docs, "across")
+    found = _across(blocks.join(_bounded_broadcast(involved), ["key", "p", "q", "id"]).join(sets, "id"), threshold, miss)
+    everything = materialize(links.unionByName(found), "links")
+    labels = components(everything)
+
+    # a component goes by its smallest doc_id
+    inside = labels.unionByName(labels.select(F.col("label").alias("id"), "label").distinct())
+    inside = materialize(inside.join(classes.select("id", "fp", "rep", "copies"), "id"), "linked-classes")
+    lowest = materialize(inside.groupBy("label").agg(F.min("rep").alias("component_id")), "lowest")
+    named = inside.join(_bounded_broadcast(lowest), "label").select("id", "component_id")
+    named = materialize(classes.join(named, "id", "left").select("fp", "copies", F.coalesce("component_id", "rep").alias("component_id")), "named")
+    # texts with over a thousandth of all rows, at most a thousand, are broadcast, so that none is a hot key
+    bound = known.count() / 1000
+    often = F.broadcast(named.filter(F.col("copies") > bound).select("fp", "component_id"))
+    seldom = named.filter(F.col("copies") <= bound).select("fp", "component_id")
+    out = known.join(often, "fp").unionByName(known.join(often.drop("component_id"), "fp", "left_anti").join(seldom, "fp"))
+    alone = base.filter("doc_id IS NULL OR fp IS NULL").select("doc_id", "n")
+    beside = known.join(_bounded_broadcast(several.filter("empty")), "doc_id").select("doc_id", "fp").join(named, "fp").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    alone = alone.join(_bounded_broadcast(beside), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    out = out.select("doc_id", "n", "component_id").unionByName(alone.select("doc_id", "n", "component_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = materialize(out, "near-duplicates")
+    drop_tables(spark, base, classes, reps, shared, members, involved, ids, sets, starred, links, early, everything, labels, inside, lowest, named, several, own)
+    return out
 
 
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

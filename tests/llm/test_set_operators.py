@@ -80,6 +80,44 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
 
 
+def by_document(rows):
+    """brute_components() where a doc_id may have several texts: all of them are linked."""
+    keyed = [((i, k), t) for k, (i, t) in enumerate(rows)]
+    sets = {k: shingles(t) for k, t in keyed}
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, a in sets.items():
+        for m, b in sets.items():
+            if k < m and a and b and 100 * len(a & b) >= 75 * len(a | b):
+                x, y = find(k[0]), find(m[0])
+                root[max(x, y)] = min(x, y)
+    return collections.Counter((i, len(sets[(i, k)]), find(i)) for k, (i, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_several_texts_under_one_id(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.randrange(60), t) for _, t in near_copies(110, seed)] + [(3, ""), (3, None), (200, None), (7, "  ")]
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows += [(305, a), (305, b), (306, a + " end"), (307, b + " end"), (307, b + " end")]
+    rng.shuffle(rows)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == by_document(rows)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_one_id_and_one_text_for_a_third_of_the_rows(spark):
+    some = near_copies(100, 5)
+    rows = some + [(1000, t) for _, t in near_copies(60, 6)] + [(1001 + i % 20, "the same text stands here over and over again") for i in range(60)] + [(2000 + i, "") for i in range(40)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == by_document(rows)
+
+
 def test_near_duplicate_edges(spark):
     schema = "doc_id long, text string"
     assert neardup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
