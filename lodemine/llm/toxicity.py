@@ -3,13 +3,16 @@
 A word's vector is the mean of the vectors of its character 3- to 5-grams and of itself, all
 hashed into ``buckets`` rows; a bag's vector is the mean over its words (a word that repeats its
 predecessor counts once, and a bag of fewer words is filled up with zero vectors); a linear softmax on top
-gives the probability, calibrated on a part of the sample that is set aside. Vectors and softmax are trained jointly with Adagrad in numpy. Abuse is a
+gives the probability, calibrated on a part of the sample that is set aside such that a score of 0.5
+weighs errors on both classes alike (``share`` 0.5). Vectors and softmax are trained jointly with Adagrad in numpy. Abuse is a
 few words in a long text, so bags are windows of ``window`` words: a text is as toxic as its worst
 window. Training starts on random windows of all texts and turns, round by round, to the ``top``
 worst windows of toxic and of clean texts.
 
 The model is fitted on a bounded sample of labelled rows (``per_class`` rows of each class, first
-by a hash of doc_id, and at most ``max_chars`` characters in all); every text is scored whole. A run
+by a hash of doc_id, and of those as many whole texts as have ``max_chars`` characters in all, which
+is counted before any goes to the driver; of several rows of a doc_id the first text); every text is
+scored whole. A run
 of more than ``LONGEST`` letters and digits counts as the words that its consecutive pieces make;
 pieces overlap by one less than the largest n-gram, so that no n-gram of the run is lost. As
 all layers are linear, the fitted model folds into one number per bucket, which is what executors
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemine.llm.common import Recent, fold_remainder, read, sample_by_hash
+from lodemine.llm.common import Recent, drop_tables, fold_remainder, materialize, read, sample_by_hash
 
 _words = re.compile(r"[^\W_]+")
 LONGEST, OVERLAP = 60, 4
@@ -48,11 +51,12 @@ def words(text: str) -> list[str]:
 
 
 class SubwordBags:
-    def __init__(self, buckets: int = 1 << 17, dim: int = 8, window: int = 8, smallest: int = 3, largest: int = 5):
+    def __init__(self, buckets: int = 1 << 17, dim: int = 8, window: int = 2, smallest: int = 3, largest: int = 5):
         self.buckets, self.dim, self.window, self.smallest, self.largest = buckets, dim, window, smallest, largest
         self.folded = np.zeros(buckets, np.float32)
         self.bias, self.scale = 0.0, 1.0
         self.prior: float | None = 0.0  # if not None, the score of every text
+        self.layers: tuple | None = None  # the embeddings, the softmax and its bias before folding
         self.table: list[float] | None = None  # folded as Python's floats, for single words
         self.cache = Recent(self.value, 200_000)
 
@@ -73,7 +77,7 @@ class SubwordBags:
 
     # -- fitting
 
-    def fit(self, texts: list[str], labels: list[int], seed: int = 7, rounds: int = 6, epochs: int = 3, top: int = 2, first_windows: int = 60_000, rate: float = 0.5, calibrate: float = 0.15, share: float = 0.25) -> SubwordBags:
+    def fit(self, texts: list[str], labels: list[int], seed: int = 7, rounds: int = 6, epochs: int = 1, top: int = 4, first_windows: int = 60_000, rate: float = 0.5, calibrate: float = 0.3, share: float = 0.5) -> SubwordBags:
         """calibrate: the part set aside; share: of toxic texts, for which scores are calibrated."""
         y = np.asarray(labels, np.int64)
         if len(set(labels)) < 2:
@@ -160,6 +164,7 @@ class SubwordBags:
                 for a in range(0, len(order), 512):
                     take = order[a : a + 512]
                     step([bags[i] for i in take], goal[take])
+        self.layers = (e, w, b)
         self.folded, self.table = (e @ (w[:, 1] - w[:, 0])).astype(np.float32), None
         self.bias = float(b[1] - b[0])
         return self
@@ -182,7 +187,7 @@ class SubwordBags:
         return float(1 / (1 + np.exp(-min(max(self.logit(text), -500.0), 500.0))))
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "cache"} | {"table": None}
+        return {k: v for k, v in self.__dict__.items() if k != "cache"} | {"table": None, "layers": None}
 
     def __setstate__(self, state):
         self.__dict__ |= state
@@ -223,15 +228,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, max_chars: in
     known = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = sample_by_hash(known, "toxic", "doc_id", per_class)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
-    texts, classes, chars = [], [], 0
-    got = rows.select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "text"])
-    shuffled = got.sample(frac=1, random_state=11)
-    for text, toxic in zip(shuffled["text"], shuffled["toxic"]):
-        chars += len(text)
-        if chars > max_chars:
-            break
-        texts.append(text)
-        classes.append(int(toxic))
+    rows = materialize(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "toxicity-sample")
+    sizes = rows.select("doc_id", F.length("text").alias("n")).toPandas().sort_values("doc_id").sample(frac=1, random_state=11)
+    whole, left = [], max_chars
+    for doc_id, n in zip(sizes["doc_id"].tolist(), sizes["n"].tolist()):
+        if n <= left:  # a text that no longer fits as a whole is passed over
+            whole.append(doc_id)
+            left -= n
+    got = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in whole], "doc_id long")), "doc_id", "left_semi").toPandas().set_index("doc_id").reindex(whole)
+    drop_tables(docs.sparkSession, rows)
+    texts, classes = got["text"].tolist(), got["toxic"].astype(int).tolist()
     return SubwordBags().fit(texts, classes, **options)
 
 

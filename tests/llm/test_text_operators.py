@@ -315,6 +315,64 @@ def test_toxicity_held_out(spark):
     assert model.score("you are such an idioot and a mooron, what an idiiot") > model.score("what a lovely day in the park it is today, my friend")
 
 
+def test_folded_score_is_that_of_the_softmax():
+    rng = random.Random(4)
+    words = ["idiot", "moron", "stupid", "table", "river", "house", "garden", "idiots", "paper"]
+    texts = [" ".join(rng.choice(words[3:7] + words[8:] if i % 2 else words) for _ in range(30)) + (" you idiot moron" if i % 2 == 0 else "") for i in range(300)]
+    m = toxicity.SubwordBags(buckets=1 << 12).fit(texts, [1 - i % 2 for i in range(300)], calibrate=0.0)
+    e, w, b = m.layers
+
+    def softmax(text):
+        found = toxicity.words(text)
+        found = [x for i, x in enumerate(found) if not i or x != found[i - 1]]
+        n, best = m.window, -np.inf
+        for i in range(max(1, len(found) - n + 1)):
+            bag = sum((e[m.grams(x)].mean(0) for x in found[i : i + n]), np.zeros(m.dim)) / n
+            z = bag @ w + b
+            best = max(best, np.exp(z[1]) / np.exp(z).sum())
+        return best
+
+    for text in [*texts[:40], "", "idiiot", "moron moron idiot", "one"]:
+        assert m.score(text) == pytest.approx(softmax(text), abs=1e-4)
+
+
+def test_the_sample_is_bounded_before_it_is_collected(spark):
+    docs = spark.createDataFrame([(i, ("bad awful " if i % 2 else "good nice ") * 10) for i in range(60)] + [(1, "zz")] * 40 + [(500, "x" * 5000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(500, 1)], "doc_id long, toxic int")
+    seen = []
+    fit = toxicity.SubwordBags.fit
+    try:
+        toxicity.SubwordBags.fit = lambda self, texts, classes, **o: seen.append((texts, classes)) or fit(self, texts, classes, **o)
+        toxicity.fit(docs, labels, max_chars=3000)
+    finally:
+        toxicity.SubwordBags.fit = fit
+    texts, classes = seen[0]
+    assert sum(map(len, texts)) <= 3000 and len(texts) == len(classes) >= 20 and "zz" not in texts
+
+
+def test_held_out_recall(spark):
+    sf = "/root/testdata/sf0.1"
+    got = toxicity.op5_toxicity(spark, sf).filter("held_out").join(read(spark, sf, "labels"), "doc_id").toPandas()
+    assert got[got.toxic == 1].predicted.mean() >= 0.9 and got[got.toxic == 0].predicted.mean() <= 0.02
+
+
+def test_nearest_centroid_by_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = read(spark, sf, "documents").select("doc_id", "text", "lang")
+    df, n = langid.document_frequencies(docs)
+    texts = [r.text or "" for r in docs.collect()]
+    grams = [langid.counts(t) for t in texts]
+    assert n == len(texts) and (df == sum((g > 0).astype(int) for g in grams)).all()
+    model = langid.fit(docs)
+    for t, g in zip(texts, grams):
+        v = np.log1p(g.astype(float)) * model.idf
+        cos = [float(c @ v / (np.linalg.norm(c) * np.linalg.norm(v) or 1)) for c in model.matrix.astype(float)]
+        lang, score, _ = model.predict(t)
+        if lang != "und":
+            assert score == pytest.approx(max(cos), abs=1e-4)
+            assert max(c for c, k in zip(cos, model.of) if model.langs[k] == lang) >= max(cos) - 1e-4
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(i, "bad awful horrid" if i % 2 else "good nice fine", 1) for i in range(40)] + [(40, None, 1), (41, "", 1), (None, "good", 1)], "doc_id long, text string, predicted int")
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(0, 0), (1, None), (None, 1)], "doc_id long, toxic int")
