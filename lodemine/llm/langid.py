@@ -6,8 +6,9 @@ language has up to ``centroids`` spherical k-means centroids; a text gets the la
 centroid with the largest cosine. Below the language's rejection distance (the ``reject`` quantile
 of its own training texts) the column ``rejected`` is true.
 
-The classifier is fitted on a bounded sample: the first ``sample`` // (number of languages) texts of
-each language by a hash of doc_id. Every text is classified whole.
+Document frequencies count all rows to learn from. The centroids are fitted on a bounded sample: the
+first ``sample`` // (number of languages) texts of each language by a hash of doc_id. Every text is
+classified whole.
 
 Texts that are null or have no letter get ``und`` and score 0, not rejected; so does every text if
 no language could be learned. Ties go to the language that is first in order, repeated rows are
@@ -54,11 +55,11 @@ class Centroids:
         self.langs, self.of, self.matrix, self.idf, self.least = langs, of, matrix, idf, least
 
     @classmethod
-    def fit(cls, vectors: np.ndarray, langs: list[str], centroids: int = 4, reject: float = 0.002, rounds: int = 8, seed: int = 3) -> Centroids:
+    def fit(cls, vectors: np.ndarray, langs: list[str], df: np.ndarray, of_rows: int, centroids: int = 4, reject: float = 0.002, rounds: int = 8, seed: int = 3) -> Centroids:
+        """df: in how many of_rows rows of the corpus each column occurs."""
         names = sorted(set(langs))
         y = np.asarray([names.index(x) for x in langs])
-        df = (vectors > 0).sum(0)
-        idf = (np.log((1 + len(vectors)) / (1 + df)) + 0.05).astype(np.float32)
+        idf = (np.log((1 + of_rows) / (1 + df)) + 0.05).astype(np.float32)
         x = vectors.astype(np.float32)
         np.log1p(x, out=x)
         x *= idf
@@ -92,6 +93,26 @@ def _normalise(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
 
 
+def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
+    """In how many rows each column of counts() occurs, and the number of rows. Each task counts its
+    rows and passes on one number a column."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n = np.zeros(DIMS, np.int64), 0
+        for batch in batches:
+            for t in batch.column(0):
+                df += counts(t.as_py() or "") > 0
+                n += 1
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(range(DIMS + 1), pa.int32()), pa.array([*df.tolist(), n], pa.int64())], ["at", "n"])
+
+    got = docs.select(text).mapInArrow(counted, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(DIMS + 1, np.int64)
+    for r in got:
+        out[r["at"]] = r["n"]
+    return out[:DIMS], int(out[DIMS])
+
+
 def fit(docs: DataFrame, sample: int = 3000, **options) -> Centroids:
     """docs: doc_id, text, lang of the rows to learn from."""
     rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
@@ -110,12 +131,13 @@ def fit(docs: DataFrame, sample: int = 3000, **options) -> Centroids:
 
         return pd.Series([one(t) for t in col])
 
-    got = rows.join(F.broadcast(picked), ["doc_id", "lang"]).select("doc_id", "lang", vector("text").alias("v")).toPandas().sort_values(["doc_id", "lang"], ignore_index=True)
+    one = rows.join(F.broadcast(picked), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    got = one.select("doc_id", "lang", vector("text").alias("v")).toPandas().sort_values(["doc_id", "lang"], ignore_index=True)
     x = np.zeros((len(got), DIMS), np.int32)
     for i, v in enumerate(got["v"]):
         v = np.asarray(v)
         x[i, v[0::2]] = v[1::2]
-    return Centroids.fit(x, list(got["lang"]), **options) if len(got) else none
+    return Centroids.fit(x, list(got["lang"]), *document_frequencies(rows), **options) if len(got) else none
 
 
 def identify(docs: DataFrame, model: Centroids, text: str = "text") -> DataFrame:
