@@ -1,10 +1,12 @@
 """Secret scans over a trigram inverted index, in DataFrame operations only.
 
 From each rule's regular expression a Boolean query of trigrams is derived that every match must
-satisfy. The index holds a posting (trigram, document) for each trigram that any query names; the
-postings of a document meet in one aggregation that evaluates the queries (an intersection for
-each conjunction, a union for each alternative). Only documents that a rule's query admits are
-searched with its expression; a rule whose expression forces no trigram is run on all documents.
+satisfy. The index has a posting list of documents for each trigram that any query names, written to
+the shared folder by trigram, so that only the lists that are asked for are read. Of each conjunction
+the ``RAREST`` trigrams with the shortest lists are intersected (a document that holds all trigrams
+holds these, so that nothing is lost), conjunctions of a rule are united. Only documents that a rule's
+query admits are searched with its expression; a rule whose expression forces no trigram is run on all
+documents. The admitted ids are broadcast while they are few, else joined by shuffle.
 
 Spans count code points, end exclusive. A null text counts as empty, an empty text has no spans.
 Postings are kept by doc_id: rows that share a doc_id (or have none) only widen each other's
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemine.llm.common import read
+from lodemine.llm.common import drop_tables, materialize, read
 
 
 @dataclass(frozen=True)
@@ -54,6 +56,10 @@ RULES = (
 Query = frozenset
 ANY: Query = frozenset([frozenset()])
 MOST_STRINGS, MOST_TERMS = 64, 64
+#: Trigrams of a conjunction whose lists are intersected.
+RAREST = 3
+#: Up to so many admitted ids are broadcast.
+BROADCAST_ROWS = 250_000
 
 
 def _absorb(terms) -> Query:
@@ -147,31 +153,35 @@ def _class(items, most: int = 8) -> frozenset | None:
 
 
 def postings(docs: DataFrame, grams: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The inverted index of the given trigrams: gram (its position in grams) and the key."""
-    low = docs.select(key, F.lower(text).alias("_low"))
+    """The inverted index of the given trigrams, written by gram (its position in grams): the keys of
+    the documents that hold it, each list dealt over a number of files."""
+    low = docs.select(F.col(key).alias("key"), F.lower(text).alias("_low"))
     held = F.array_compact(F.array(*[F.when(F.contains("_low", F.lit(g)), F.lit(i)) for i, g in enumerate(grams)]))
-    return low.select(key, F.explode(held).alias("gram"))
+    files = min(max(docs.sparkSession.sparkContext.defaultParallelism, 8), 1024)
+    lists = low.select("key", F.explode(held).alias("gram")).repartition("gram", F.pmod(F.xxhash64("key"), F.lit(files)))
+    return materialize(lists, "postings", partition_by=["gram"])
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The key, and a boolean column for each rule with mandatory trigrams; only keys that some
-    query admits. A document's postings are combined before they are shuffled."""
+    """key, and a boolean column for each rule with mandatory trigrams; only keys that some query
+    admits. The shortest lists of each conjunction are intersected."""
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) != ANY}
     grams = sorted({g for q in queries.values() for t in q for g in t})
+    index = postings(docs, grams, key, text)
+    length = dict.fromkeys(grams, 0) | {grams[r["gram"]]: r["count"] for r in index.groupBy("gram").count().collect()}
+    asked = {kind: [sorted(sorted(t), key=length.__getitem__)[:RAREST] for t in sorted(q, key=sorted)] for kind, q in queries.items()}
     at = {g: i for i, g in enumerate(grams)}
-    found = postings(docs, grams, key, text).groupBy(key).agg(F.collect_set("gram").alias("_grams"))
+    lists = index.filter(F.col("gram").isin(sorted({at[g] for q in asked.values() for t in q for g in t})))
+    met = lists.groupBy("key").agg(F.collect_set("gram").alias("_grams"))
 
-    def holds(q: Query) -> Column:
-        out = F.lit(False)
-        for term in sorted(q, key=sorted):
-            all_of = F.lit(True)
-            for g in sorted(term):
-                all_of = all_of & F.array_contains("_grams", at[g])
-            out = out | all_of
-        return out
+    def holds(q: list[list[str]]) -> Column:
+        every = [F.forall(F.array(*[F.lit(at[g]) for g in t]), lambda g: F.array_contains("_grams", g)) for t in q]
+        return F.exists(F.array(*every), lambda x: x)
 
-    flags = found.select(key, *[holds(q).alias(f"_may_{kind}") for kind, q in queries.items()])
-    return flags.filter(" OR ".join(f"_may_{kind}" for kind in queries))
+    flags = met.select("key", *[holds(q).alias(f"_may_{kind}") for kind, q in asked.items()])
+    out = materialize(flags.filter(" OR ".join(f"_may_{kind}" for kind in queries)), "secret-candidates")
+    drop_tables(docs.sparkSession, index)
+    return out
 
 
 def _spans(text: str, rule: Rule, place: int) -> str:
@@ -196,8 +206,9 @@ def _spans(text: str, rule: Rule, place: int) -> str:
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Adds ``secrets``: array<struct<start,place,end,kind>> by start, then rule as listed."""
     may = candidates(docs, rules, key, text)
-    flags = [c for c in may.columns if c != key]
-    side = may.select(F.col(key).alias("_key"), *flags).hint("shuffle_hash")
+    flags = [c for c in may.columns if c != "key"]
+    side = may.withColumnRenamed("key", "_key")
+    side = F.broadcast(side) if may.count() <= BROADCAST_ROWS else side.hint("shuffle_hash")
     rows = docs.join(side, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
     rows = rows.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     empty = "cast(array() AS array<struct<start:int,place:int,end:int,kind:string>>)"

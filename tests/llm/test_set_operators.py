@@ -197,6 +197,25 @@ def test_trigram_queries_hold_for_every_match():
     assert rng
 
 
+def test_only_short_posting_lists_are_intersected(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join([rng.choice(["the word is", "a secretary", "tokens", "apis and keys", "password=", "pass words"]), str(rng.choice(SECRETS))]) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    queries = {r.kind: q for r in secrets.RULES if (q := secrets.trigram_query(r.pattern)) != secrets.ANY}
+    for most in (1, 3, 99):
+        monkeypatch.setattr(secrets, "RAREST", most)
+        got = {r.key: r.asDict() for r in secrets.candidates(df).collect()}
+        for i, t in enumerate(texts):
+            for kind, q in queries.items():
+                whole = any(all(g in t.lower() for g in term) for term in q)
+                assert not whole or got[i][f"_may_{kind}"]
+                if most == 99:
+                    assert whole == (i in got and got[i][f"_may_{kind}"])
+    monkeypatch.setattr(secrets, "BROADCAST_ROWS", 0)
+    for r in secrets.scan(df).collect():
+        assert [tuple(s) for s in r.secrets] == brute_spans(r.text)
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "a token=abcdef b 🙂 password: " + "0a" * 12 + " c"), (2, None), (3, "clean")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in secrets.redact(secrets.scan(df)).collect()}
