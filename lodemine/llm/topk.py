@@ -4,10 +4,12 @@ A block keeps, for each dimension, the list of its vectors sorted by that compon
 all lists are read in parallel from the end that its component favours; a vector met for the first
 time is scored in full, and the search stops when the score that a vector not met yet could reach
 (the sum of query component times the value last read in each list) is below the k-th best score.
-It goes on while they are equal, so that ties go to the smaller id. Lists are read in steps that
+That is the k-th of all blocks so far, so that of later blocks little or nothing is read. The search
+goes on while the two are equal, so that ties go to the smaller id. Lists are read in steps that
 double. What the rows without results, nulls and repeated ids mean: see ``vectors``.
 
-Components are floor(scale * x), as whole numbers; beyond the range of long they are saturated.
+Components are floor(scale * x), as whole numbers; components and scores beyond the range of long are
+saturated, scores after the best of a block have been chosen by their exact values.
 """
 
 from __future__ import annotations
@@ -17,23 +19,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodemine.llm.common import read
-from lodemine.llm.vectors import search, usable
+from lodemine.llm.vectors import Best, nothing, search, usable
 
 
-def threshold_topk(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, first: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """x, q: whole numbers. ids ascending. The k best of each query but for its own id."""
+def threshold_topk(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, first: int = 16, best: Best | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """x, q: whole numbers. ids ascending. The k best of each query but for its own id; best: those of
+    other blocks, which are improved in place."""
     n, d = x.shape
+    best = best if best is not None else nothing(len(query_ids), np.int64)
     largest = max(1.0, float(np.abs(x).max(initial=0))) * max(1.0, float(np.abs(q).max(initial=0))) * d
     # a type in which all sums are exact
-    kind = np.float32 if largest < 2**24 else np.float64 if largest < 2**53 else np.int64
-    x, q = np.ascontiguousarray(x, dtype=kind), q.astype(kind)
+    kind = np.float32 if largest < 2**24 else np.float64 if largest < 2**53 else np.int64 if largest < 2**62 else object
+    whole = (lambda y: np.array([[int(c) for c in row] for row in y], dtype=object).reshape(y.shape)) if kind is object else (lambda y: np.ascontiguousarray(y, dtype=kind))
     lists = np.ascontiguousarray(np.argsort(x, axis=0, kind="stable").T.astype(np.int32))
+    x, q = whole(x), whole(q)
     values = np.take_along_axis(x, lists.T, axis=0).T.copy()
-    out_q, out_i, out_s = [], [], []
-    for qid, v in zip(query_ids, q):
+    for j, (qid, v) in enumerate(zip(query_ids, q)):
         up, down = np.flatnonzero(v > 0), np.flatnonzero(v < 0)
+        top_i, top_s = best[j]
+
+        def reach(at: int) -> int:
+            """What a vector beyond the first at of each list could score."""
+            return int((v[up] * values[up, n - 1 - at]).sum()) + int((v[down] * values[down, at]).sum())
+
+        if len(top_s) == k and top_s[-1] > reach(0):
+            continue
         seen = ids == qid
-        best_i, best_s = np.zeros(0, np.int64), np.zeros(0, kind)
         at, to = 0, min(first, n)
         while True:
             if len(up) + len(down):
@@ -47,35 +58,39 @@ def threshold_topk(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.
             new = np.flatnonzero(fresh)
             if len(new):
                 s = (x @ v)[new] if 3 * len(new) > n else x[new] @ v
-                if len(best_s) == k:  # only what is no worse than the k-th
-                    keep = s >= best_s[-1]
+                s = s if kind is object else s.astype(np.int64)
+                if len(top_s) == k:  # only what is no worse than the k-th
+                    keep = s >= top_s[-1]
                     new, s = new[keep], s[keep]
                 elif len(s) > 4 * k:
                     keep = s >= np.partition(s, len(s) - k)[len(s) - k]
                     new, s = new[keep], s[keep]
-                i, s = np.concatenate([best_i, new]), np.concatenate([best_s, s])
-                order = np.lexsort((ids[i], -s))[:k]
-                best_i, best_s = i[order], s[order]
+                i, s = np.concatenate([top_i, ids[new]]), np.concatenate([top_s, s])
+                order = np.lexsort((i, -s))[:k] if kind is not object else np.array(sorted(range(len(s)), key=lambda r: (-s[r], i[r]))[:k], int)
+                top_i, top_s = i[order], s[order]
             if to >= n or not len(up) + len(down):
                 break
-            bound = (v[up] * values[up, n - to]).sum() + (v[down] * values[down, to - 1]).sum()
-            if len(best_s) == k and best_s[-1] > bound:
+            if len(top_s) == k and top_s[-1] > reach(to - 1):
                 break
             at, to = to, min(2 * to, n)
-        out_q.append(np.full(len(best_i), qid))
-        out_i.append(ids[best_i])
-        out_s.append(best_s.astype(np.int64))
-    return np.concatenate(out_q).astype(np.int64), np.concatenate(out_i), np.concatenate(out_s)
+        if kind is object:
+            top_s = np.array([min(max(int(c), -(2**63)), 2**63 - 1) for c in top_s], np.int64)
+        best[j] = top_i, top_s
+    counts = [len(i) for i, _ in best]
+    return np.repeat(query_ids, counts).astype(np.int64), np.concatenate([i for i, _ in best]), np.concatenate([s for _, s in best])
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, scale: float = 256.0, block_rows: int = 32_768, group_rows: int = 256) -> DataFrame:
+def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, scale: float = 256.0, block_rows: int = 32_768, group_bytes: int = 1 << 25) -> DataFrame:
     """query_id, rank, vec_id, score: the candidates with the largest inner product."""
 
-    def kernel(ids, x, query_ids, q, k):
-        whole = lambda y: np.clip(np.floor(scale * y), -(2.0**63), 2.0**63 - 1024)
-        return threshold_topk(ids, whole(x), query_ids, whole(q), k)
+    def whole(y: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return np.clip(np.floor(scale * y), -(2.0**63), 2.0**63 - 1024)
+
+    def kernel(ids, x, query_ids, q, best):
+        threshold_topk(ids, whole(x), query_ids, whole(q), k, best=best)
 
-    return search(queries, candidates, kernel, k, "long", block_rows, group_rows)
+    return search(queries, candidates, kernel, k, "long", block_rows, group_bytes)
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,24 +1,33 @@
-"""A stated set of query vectors against all vectors, in blocks: the frame of both searches.
-
-Candidates are dealt into blocks by a hash of their id and queries into groups; each pair of a
-block and a group is one task of bounded size, whose index is built from the block's rows. The
-partial results (k rows per query and block) are then ranked per query. Vectors that are null or
-hold null or non-finite components take no part, nor do rows without an id; vectors of different
-length are never compared. Rows are told apart by their id: repeated rows count once, and of
-different vectors under one id the one with the smallest bytes counts.
+"""A stated query set of vectors against all vectors, in blocks: the frame of both searches.
+
+Candidates are written once to the shared folder, one row for each id and length. Queries are taken
+in groups of at most ``group_bytes``; a group is broadcast, and one pass streams the table past it: a
+task gathers the rows it reads into blocks, builds each block's index, asks it for the whole group and
+carries each query's k best from block to block, so that later blocks only have to beat those. So no
+candidate is copied or shuffled again, however many groups there are, and a task passes on k rows a
+query, which are then ranked per query.
+
+Vectors that are null or hold null or non-finite components take no part, nor do rows without an id;
+vectors of different length are never compared. Rows are told apart by their id: repeated rows count
+once, and of different vectors of one length under one id the smallest in order counts.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
+from lodemine.llm.common import drop_tables, materialize
+
+#: Per query ids and scores of the best so far, best first.
+Best = list[tuple[np.ndarray, np.ndarray]]
+#: (ids ascending, vectors, query ids, query vectors, best so far): improves the last by a block.
+Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Best], None]
 
 
 def usable(vectors: DataFrame, vector: str, key: str) -> DataFrame:
@@ -26,42 +35,74 @@ def usable(vectors: DataFrame, vector: str, key: str) -> DataFrame:
     return vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v")).filter(F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.coalesce(sound, F.lit(False)))
 
 
+def once(vectors: DataFrame) -> DataFrame:
+    """vec_id, dim, v: one row for each id and length. Repeated rows are combined before the shuffle."""
+    return vectors.groupBy("vec_id", F.size("v").alias("dim")).agg(F.min("v").alias("v"))
+
+
 def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Ids ascending and their vectors as double."""
+    """Ids ascending and their vectors as double, of rows of one length."""
     ids = table.column("vec_id").to_numpy()
     flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    x = flat.reshape(len(ids), -1)
     order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
-    if len(ids) > 1 and (ids[1:] == ids[:-1]).any():
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], x[i].tobytes()))
-        first = [i for j, i in enumerate(order) if not j or ids[i] != ids[order[j - 1]]]
-        ids, x = ids[first], x[first]
-    return ids, x
-
-
-def search(queries: DataFrame, candidates: DataFrame, kernel: Kernel, k: int, score: str, block_rows: int, group_rows: int, most_group_rows: int = 8192) -> DataFrame:
-    """queries, candidates: vec_id, v. Candidates are copied once per group of queries and queries
-    once per block, so groups are as large as the bound allows, but for small inputs, where groups
-    down to group_rows give all cores work. kernel: (ids, vectors, query ids, query vectors, k) to
-    (query ids, ids, scores) of the k best of each. score: the type of the score."""
-    n_c, n_q = candidates.count(), queries.count()
-    blocks = max(1, math.ceil(n_c / block_rows))
-    spread = min(math.ceil(n_q / group_rows), math.ceil(3 * queries.sparkSession.sparkContext.defaultParallelism / blocks))
-    groups = max(1, math.ceil(n_q / most_group_rows), spread)
-    left = candidates.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
-    left = left.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    right = queries.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).cast("int").alias("grp"))
-    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64() if score == "long" else pa.float64())])
-
-    def pair(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return schema.empty_table()
-        ids, x = unpack(a)
-        query_ids, q = unpack(b)
-        return pa.table([pa.array(c) for c in kernel(ids, x, query_ids, q, k)], schema=schema)
-
-    near = left.groupBy("dim", "block", "grp").cogroup(right.groupBy("dim", "block", "grp")).applyInArrow(pair, f"query_id long, vec_id long, score {score}")
+    return ids[order], flat.reshape(len(ids), -1)[order]
+
+
+def by_length(table: pa.Table) -> dict[int, pa.Table]:
+    dims = table.column("dim").to_numpy()
+    return {int(d): table.filter(pa.array(dims == d)).select(["vec_id", "v"]) for d in np.unique(dims)}
+
+
+def nothing(n: int, kind: type) -> Best:
+    return [(np.zeros(0, np.int64), np.zeros(0, kind)) for _ in range(n)]
+
+
+def search(queries: DataFrame, candidates: DataFrame, kernel: Kernel, k: int, score: str, block_rows: int, group_bytes: int = 1 << 25) -> DataFrame:
+    """query_id, rank, vec_id, score. queries, candidates: vec_id, v. score: the type of the score."""
+    spark = queries.sparkSession
+    n = candidates.count()
+    parts = max(math.ceil(n / block_rows), min(2 * spark.sparkContext.defaultParallelism, math.ceil(n / 1024)), 1)
+    table = materialize(once(candidates).repartition(parts, "vec_id"), "vectors")
+    asked = once(queries)
+    volume = asked.agg(F.sum("dim")).first()[0] or 0
+    groups = max(1, math.ceil(8 * volume / group_bytes))
+    asked = materialize(asked.withColumn("grp", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).cast("int")), "queries")
+    kind = np.int64 if score == "long" else np.float64
+
+    def one_pass(group: DataFrame) -> DataFrame:
+        shared = spark.sparkContext.broadcast({d: unpack(t) for d, t in by_length(group.drop("grp").toArrow()).items()})
+
+        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, list[pa.Table]] = {}
+            best = {d: nothing(len(ids), kind) for d, (ids, _) in shared.value.items()}
+
+            def flush(d: int) -> None:
+                ids, x = unpack(pa.concat_tables(held.pop(d)))
+                kernel(ids, x, *shared.value[d], best[d])
+
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                for d, t in by_length(pa.Table.from_batches([batch])).items():
+                    if d in best:
+                        held.setdefault(d, []).append(t)
+                        if sum(map(len, held[d])) >= block_rows:
+                            flush(d)
+            for d in list(held):
+                flush(d)
+            for d, rows in best.items():
+                counts = [len(i) for i, _ in rows]
+                if sum(counts):
+                    columns = np.repeat(shared.value[d][0], counts), np.concatenate([i for i, _ in rows]), np.concatenate([s for _, s in rows])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
+
+        return table.mapInArrow(found, f"query_id long, vec_id long, score {score}")
+
+    near = [one_pass(asked.filter(F.col("grp") == g)) for g in range(groups)] if groups == 1 else [materialize(one_pass(asked.filter(F.col("grp") == g)), "nearest") for g in range(groups)]
+    rows = near[0]
+    for more in near[1:]:
+        rows = rows.unionByName(more)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = materialize(rows.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "ranked")
+    drop_tables(spark, table, asked, *(near if groups > 1 else []))
+    return out

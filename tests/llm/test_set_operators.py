@@ -332,7 +332,7 @@ def test_top_k_is_exact(spark, copies):
     x, df = vectors(spark, 150, 6, 1, copies)
     u = usable(df, "embedding", "vec_id")
     got = collections.defaultdict(list)
-    for r in topk.top_k(u.filter("vec_id % 5 = 0 AND vec_id < 900"), u, k=7, block_rows=40, group_rows=10).orderBy("query_id", "rank").collect():
+    for r in topk.top_k(u.filter("vec_id % 5 = 0 AND vec_id < 900"), u, k=7, block_rows=40, group_bytes=600).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     w = np.vstack([np.floor(256 * x), np.zeros((756, 6))])
     ids = [*range(150), 905]
@@ -353,10 +353,41 @@ def test_large_components_are_exact():
     assert i.tolist() == [1, 2, 3] and not s.any()
 
 
+def test_components_beyond_long_are_saturated(spark):
+    df = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1e300, -1.0]), (2, [-1e300, 0.0]), (3, [0.5, 0.5]), (4, [1e17, 1e17])], "vec_id long, embedding array<double>")
+    u = usable(df, "embedding", "vec_id")
+    got = [(r.query_id, r.vec_id, r.score) for r in topk.top_k(u.filter("vec_id IN (0, 3)"), u, k=4).orderBy("query_id", "rank").collect()]
+    top, low = 2**63 - 1, -(2**63)
+    assert got == [(0, 1, top), (0, 3, top), (0, 4, top), (0, 2, low), (3, 0, top), (3, 1, top), (3, 4, top), (3, 2, low)]
+
+
+def test_blocks_carry_the_best_along():
+    rng = np.random.default_rng(3)
+    x = np.floor(rng.normal(size=(900, 5)) * 100)
+    ids = rng.permutation(900)
+    best = topk.nothing(30, np.int64)
+    for a in range(0, 900, 100):
+        own = np.sort(ids[a : a + 100])
+        topk.threshold_topk(own, x[own], np.arange(30), x[:30], 6, best=best)
+    q, i, s = topk.threshold_topk(np.arange(900), x, np.arange(30), x[:30], 6)
+    assert np.concatenate([b for b, _ in best]).tolist() == i.tolist() and np.concatenate([b for _, b in best]).tolist() == s.tolist()
+
+
+def test_a_tree_gives_its_leaves_in_order():
+    rng = np.random.default_rng(2)
+    points, p = rng.normal(size=(5000, 4)), rng.normal(size=4)
+    tree = ann.KdTree(points, 16, 4)
+    got = list(tree.by_distance(p))
+    assert sorted(i for _, i in got) == list(range(len(tree.leaves))) and [d for d, _ in got] == sorted(d for d, _ in got)
+    for d, i in got[:50]:
+        a, b = tree.leaves[i]
+        assert ((points[tree.order[a:b]] - p) ** 2).sum(1).min() >= d - 1e-12
+
+
 def test_neighbours_recall_and_edges(spark):
     x, df = vectors(spark, 600, 16, 2, 30)
     u = usable(df, "embedding", "vec_id")
-    rows = ann.nearest_neighbours(u.filter("vec_id % 10 = 0 AND vec_id < 900"), u, k=20, block_rows=250, group_rows=25).collect()
+    rows = ann.nearest_neighbours(u.filter("vec_id % 10 = 0 AND vec_id < 900"), u, k=20, block_rows=250, group_bytes=4000).collect()
     hits = total = 0
     by = collections.defaultdict(list)
     for r in rows:
