@@ -9,8 +9,10 @@ Conversations stream through ``mapInPandas`` sorted by (conv_id, turn): a conver
 rows are never collected by the plan. Whole prefixes are rendered, which holds a conversation's
 turns and takes time in the square of their number, and finds every rewrite however far back. With
 ``window``, for templates that are known not to look back over more turns, prefixes start anew at
-the latest turn after that many turns: cost and memory are bounded, but nothing checks that the
-template allows it.
+the latest turn after that many turns, so that a conversation of any length takes bounded memory and
+time in proportion. At each restart the latest turn alone has to render as the end of what was put out;
+a template for which it doesn't (that numbers turns, say) is refused. The query gives a window for its
+own template, which renders each turn by itself: the result is the same.
 
 Null texts and roles count as empty strings, null turns come first, rows of one turn number are
 ordered by role and text, repeated rows are turns of their own, a null conv_id is one conversation.
@@ -99,7 +101,9 @@ class SpanFinder:
         """The turn's span, or None if the template rewrote what it had put out before."""
         if self.window and len(self.turns) >= self.window:
             self.turns = self.turns[-1:]
-            self.before = self.render(self.turns)
+            before, self.before = self.before, self.render(self.turns)
+            if not before.endswith(self.before[len(self.head) :]):
+                raise ValueError(f"the template looks back over more than {self.window} turns")
         self.turns.append(turn)
         now = self.render(self.turns)
         k, self.n = self.n, self.n + 1
@@ -193,7 +197,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return format_digests(rows.unionByName(own))
+    return format_digests(rows.unionByName(own), window=64)
 
 
 # The template's length is derived anew from the texts: a turn's fixed parts plus a code point for

@@ -256,6 +256,23 @@ def test_window_gives_the_same_spans():
     assert chat.locate_spans(turns, chat.InstTemplate(), 3) == chat.locate_spans(turns, chat.InstTemplate())
 
 
+def test_a_window_is_refused_where_the_template_looks_back():
+    numbered = lambda turns: "".join(f"[{k}]{t}" for k, (_, t) in enumerate(turns))
+    with pytest.raises(ValueError, match="looks back"):
+        chat.locate_spans([("user", "x")] * 9, numbered, 4)
+    assert len(chat.locate_spans([("user", "x")] * 9, numbered)[0]) == 9
+
+
+def test_a_long_conversation_takes_linear_time(spark):
+    import time
+
+    turns = [("user" if i % 2 else "assistant", f"turn {i}") for i in range(20_000)]
+    began = time.process_time()
+    spans, _ = chat.locate_spans(turns, chat.InstTemplate(), 64)
+    assert time.process_time() - began < 30 and len(spans) == 20_000
+    assert "".join(s.text for s in spans) == chat.InstTemplate()(turns)
+
+
 def test_chat_rows(spark, sf):
     rows = [(1, 1, "assistant", "b", 0), (1, 0, "user", "a", 0), (2, 0, None, None, 0), (2, 0, None, None, 0), (None, None, "assistant", "x", 0)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n_turns long")
