@@ -63,6 +63,7 @@ class MiningParams:
     report_detectors: int = 500
     report_patches: int = 20
     count_threshold: float = -0.2
+    seed_every: int = 4
     seed: int = 20
     detection: DetectionParams = field(default_factory=DetectionParams)
     pyramid: PyramidParams = field(default_factory=PyramidParams)

@@ -21,11 +21,11 @@ def with_suffix(s: Column, suffix: str = ".jpg") -> Column:
     return F.when(F.endswith(F.lower(s), F.lit(suffix)), s).otherwise(F.concat(s, F.lit(suffix)))
 
 
-def image_cell(name: Column, title: Column | None = None, link: Column | None = None) -> Column:
+def image_cell(name: Column, title: Column | None = None, link: Column | None = None, suffix: str = ".jpg") -> Column:
     """A table cell with an image, a title and a link if given."""
-    shown = F.format_string('<img src="%s"/>', with_suffix(name))
+    shown = F.format_string('<img src="%s"/>', with_suffix(name, suffix))
     if title is not None:
-        shown = F.format_string('<img src="%s" title="%s"/>', with_suffix(name), title)
+        shown = F.format_string('<img src="%s" title="%s"/>', with_suffix(name, suffix), title)
     if link is not None:
         shown = F.format_string('<a href="%s">%s</a>', link, shown)
     return F.format_string("<td>%s</td>", shown)

@@ -25,8 +25,8 @@ def _image(raster: bytes, rows: int, cols: int) -> np.ndarray:
     return np.frombuffer(raster, np.float32).reshape(rows, cols, 3).astype(np.float64)
 
 
-def _box(cy, cx, unit: float, cells: int, rows: int, cols: int) -> tuple:
-    side = int(np.rint((cells + 2) * unit)) - 1
+def _box(cy, cx, unit: float | np.ndarray, cells: int, rows: int, cols: int) -> tuple:
+    side = np.rint((cells + 2) * np.asarray(unit)).astype(int) - 1
     x1, y1 = np.floor(cx * unit).astype(int), np.floor(cy * unit).astype(int)
     return x1, y1, np.minimum(x1 + side, cols - 1), np.minimum(y1 + side, rows - 1)
 
@@ -84,10 +84,10 @@ def detect(images: DataFrame, detectors: DataFrame, params: PyramidParams = Pyra
                     d = f @ w.T - rho if len(f) else np.zeros((0, len(ids)))
                     at, which = np.nonzero(d >= detection.threshold)
                     x1, y1, x2, y2 = _box(cy[at], cx[at], params.cell * level.scale / p.canonical_scale, n, h, c)
-                    yield pd.DataFrame({"detector": ids[which], "imidx": np.full(len(at), i), "decision": d[at, which], "level": np.full(len(at), k), "x1": x1, "y1": y1, "x2": x2, "y2": y2})
+                    yield pd.DataFrame({"detector": ids[which], "imidx": np.full(len(at), i), "decision": d[at, which], "level": np.full(len(at), k), "cy": cy[at], "cx": cx[at], "x1": x1, "y1": y1, "x2": x2, "y2": y2})
 
-    found = images.select("imidx", "raster", "nrows", "ncols").mapInPandas(rows, f"detector long, imidx int, decision double, level int, {BOX}")
-    found = found.withColumn("det_id", F.xxhash64("detector", "imidx", "level", "x1", "y1"))
+    found = images.select("imidx", "raster", "nrows", "ncols").mapInPandas(rows, f"detector long, imidx int, decision double, level int, cy int, cx int, {BOX}")
+    found = found.withColumn("det_id", F.xxhash64("detector", "imidx", "level", "cy", "cx"))
     return suppress_own_area(found, detection.overlap)
 
 
@@ -110,7 +110,7 @@ def synthetic_images(spark: SparkSession, images: DataFrame, nrows: int = 96, nc
 
 
 def nearest_in_images(images: DataFrame, centers: DataFrame, params: PyramidParams = PyramidParams(), min_gradient: float = 9.0, chunk: int = 4096, block: int = 2048) -> DataFrame:
-    """patch_id, imidx, dist, level, cy, cx: of each image the window nearest to each centre.
+    """patch_id, imidx, dist, level, cy, cx and box: of each image the window nearest to each centre.
 
     The windows of an image are scored where they are made. Centres (patch_id, feat) go out in
     chunks of bounded size, one pass over the images for each; their number bounds the passes, not
@@ -132,7 +132,8 @@ def nearest_in_images(images: DataFrame, centers: DataFrame, params: PyramidPara
             for pdf in batches:
                 for i, r, h, w in zip(pdf["imidx"], pdf["raster"], pdf["nrows"], pdf["ncols"]):
                     best, where = np.full(len(ids), np.inf), np.zeros((len(ids), 3), int)
-                    for k, level in enumerate(P.build(_image(r, h, w), params).levels):
+                    p = P.build(_image(r, h, w), params)
+                    for k, level in enumerate(p.levels):
                         f, _, cy, cx = P.windows(level, n, min_gradient)
                         for a in range(0, len(f), block):
                             t = standardise_rows(f[a : a + block])
@@ -143,11 +144,14 @@ def nearest_in_images(images: DataFrame, centers: DataFrame, params: PyramidPara
                             best[better] = near[better]
                             where[better] = np.stack([np.full(len(j), k), cy[a + j], cx[a + j]], 1)[better]
                     ok = np.isfinite(best)
-                    yield pd.DataFrame({"patch_id": ids[ok], "imidx": np.full(ok.sum(), i), "dist": best[ok], "level": where[ok, 0], "cy": where[ok, 1], "cx": where[ok, 2]})
+                    at = where[ok]
+                    unit = np.array([params.cell * level.scale / p.canonical_scale for level in p.levels] or [1.0])[at[:, 0]]
+                    x1, y1, x2, y2 = _box(at[:, 1], at[:, 2], unit, n, h, w)
+                    yield pd.DataFrame({"patch_id": ids[ok], "imidx": np.full(ok.sum(), i), "dist": best[ok], "level": at[:, 0], "cy": at[:, 1], "cx": at[:, 2], "x1": x1, "y1": y1, "x2": x2, "y2": y2})
 
-        near = images.select("imidx", "raster", "nrows", "ncols").mapInPandas(rows, "patch_id long, imidx int, dist double, level int, cy int, cx int")
+        near = images.select("imidx", "raster", "nrows", "ncols").mapInPandas(rows, f"patch_id long, imidx int, dist double, level int, cy int, cx int, {BOX}")
         out = near if out is None else out.unionByName(near)
-    return out if out is not None else images.sparkSession.createDataFrame([], "patch_id long, imidx int, dist double, level int, cy int, cx int")
+    return out if out is not None else images.sparkSession.createDataFrame([], f"patch_id long, imidx int, dist double, level int, cy int, cx int, {BOX}")
 
 
 def features_at(cells: DataFrame, images: DataFrame, params: PyramidParams = PyramidParams()) -> DataFrame:

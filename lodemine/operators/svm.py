@@ -1,8 +1,10 @@
 """Linear models per cluster: L2-regularised squared hinge with a regularised intercept.
 
 One task fits one cluster by Newton steps on the primal with a line search. Negatives that all
-clusters share are sent once to each executor if they fit the given bound, else they are joined in
-by cluster like the rest.
+clusters share are sent once to each executor if they fit the given bound. Beyond it a part of that
+size is sent, all are scored by the fitted models, those inside a cluster's margin join its rows, and
+the fit is repeated until none is left out: rows outside the margin have no part in the loss, so that
+the result is the fit on all.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodemine.sources.rounds import settle
+
 MODEL = "cluster_id long, w array<double>, rho double, first_label int, n_pos long, n_neg long"
 
 
@@ -59,13 +63,28 @@ def fit_clusters(positives: DataFrame, negatives: DataFrame, own_negatives: Data
     if own_negatives is not None:
         rows = rows.unionByName(own_negatives.join(clusters, "cluster_id", "left_semi").select("cluster_id", "feat", F.lit(-1).alias("y")))
     n, width = negatives.agg(F.count("*"), F.max(F.size("feat"))).first()
-    shared = None
-    if n and n * width * 8 <= shared_mb << 20:
-        held = np.stack([np.asarray(f, float) for f in negatives.select("feat").toPandas()["feat"]])
-        shared = positives.sparkSession.sparkContext.broadcast(held)
-    elif n:
-        every = clusters.withColumn("_all", F.lit(1)).join(negatives.select("feat", F.lit(1).alias("_all")), "_all")
-        rows = rows.unionByName(every.select("cluster_id", "feat", F.lit(-1).alias("y")))
+    size, bound = n * (width or 0) * 8, shared_mb << 20
+    if size <= bound:
+        return _fit(rows, negatives, c, 0)
+    numbered = settle(negatives.select(F.monotonically_increasing_id().alias("patch_id"), F.lit(0).alias("imidx"), "feat"))
+    dealt = F.pmod(F.xxhash64("patch_id"), F.lit(-(-2 * size // bound))) == 0
+    sent, rest = numbered.filter(dealt), numbered.filter(~dealt)
+    models, inside = settle(_fit(rows, sent, c, n)), None
+    while True:
+        found = score(rest, models, -1 + 1e-7).select("det_id", F.col("detector").alias("cluster_id"))
+        new = settle(found if inside is None else found.join(inside, ["det_id", "cluster_id"], "left_anti"))
+        if not new.limit(1).count():
+            return models
+        inside = settle(new if inside is None else inside.unionByName(new))
+        own = inside.join(rest.select(F.col("patch_id").alias("det_id"), "feat"), "det_id").select("cluster_id", "feat", F.lit(-1).alias("y"))
+        models = settle(_fit(rows.unionByName(own), sent, c, n, own))
+
+
+def _fit(rows: DataFrame, negatives: DataFrame, c: float, of: int, counted: DataFrame | None = None) -> DataFrame:
+    """rows: cluster_id, feat, y. negatives are sent to all tasks. of: the number of shared negatives, if
+    those that are sent (and joined to rows, as counted) are a part of them."""
+    got = negatives.select("feat").toPandas()["feat"]
+    shared = rows.sparkSession.sparkContext.broadcast(np.stack([np.asarray(f, float) for f in got])) if len(got) else None
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = np.stack([np.asarray(f, float) for f in pdf["feat"]]), pdf["y"].to_numpy(float)
@@ -74,7 +93,14 @@ def fit_clusters(positives: DataFrame, negatives: DataFrame, own_negatives: Data
         w, b = fit_squared_hinge(x, y, c)
         return pd.DataFrame([(pdf["cluster_id"].iloc[0], w, -b, 1, int((y > 0).sum()), int((y < 0).sum()))], columns=["cluster_id", "w", "rho", "first_label", "n_pos", "n_neg"])
 
-    return rows.groupBy("cluster_id").applyInPandas(fit, MODEL)
+    models = rows.groupBy("cluster_id").applyInPandas(fit, MODEL)
+    if not of:
+        return models
+    joined = F.lit(0)
+    if counted is not None:
+        models = models.join(counted.groupBy("cluster_id").agg(F.count("*").alias("_joined")), "cluster_id", "left")
+        joined = F.coalesce("_joined", F.lit(0))
+    return models.withColumn("n_neg", F.col("n_neg") - len(got) - joined + of).select("cluster_id", "w", "rho", "first_label", "n_pos", "n_neg")
 
 
 def score(rows: DataFrame, detectors: DataFrame, threshold: float, id_: str = "patch_id", chunk: int = 512) -> DataFrame:

@@ -787,7 +787,7 @@ def nearest_windows(spark, sf):
 
     im = synthetic_images(spark, images(spark, sf))
     centers = sample_patches(im.filter("is_pos")).select("patch_id", "feat")
-    return nearest_in_images(im, centers).withColumn("dist", F.round("dist", 9))
+    return nearest_in_images(im, centers).select("patch_id", "imidx", F.round("dist", 9).alias("dist"), "level", "cy", "cx")
 
 
 @query()

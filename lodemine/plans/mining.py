@@ -8,6 +8,8 @@ detections stay in tables.
 from __future__ import annotations
 
 import logging
+from dataclasses import replace
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,22 +18,28 @@ from lodemine.config import MiningParams
 from lodemine.operators import clusters as C
 from lodemine.operators import neighbours as N
 from lodemine.operators import ranking as R
+from lodemine.operators import rasters as P
 from lodemine.operators import svm as M
 from lodemine.operators.relational import anti, semi
+from lodemine.operators.suppress import suppress_iou, suppress_own_area
 from lodemine.plans import report
 from lodemine.sources import images as I
 from lodemine.sources.rounds import settle
-from lodemine.sources.stages import stage
+from lodemine.sources.stages import save, stage
 
 log = logging.getLogger("lodemine")
 DETECTOR = f"{M.MODEL}, round int"
 
 
 class MiningJob:
-    """patches: patch_id, imidx, is_pos, feat, x1, y1, x2, y2; images: imidx, is_pos."""
+    """patches: patch_id, imidx, is_pos, feat, x1, y1, x2, y2; images: imidx, is_pos; rasters: imidx,
+    raster, nrows, ncols. With rasters, neighbours are searched among, and negatives and detections
+    come from, every window of every image, and patches are the candidates only; all of them are the
+    first negatives. Without, the given patches stand for the windows, and the candidates among them,
+    which are the first negatives, are those of every ``seed_every``-th image; the others are mined."""
 
-    def __init__(self, spark: SparkSession, patches: DataFrame, images: DataFrame, base: str, params: MiningParams = MiningParams(), resume: bool = True):
-        self.spark, self.patches, self.images, self.base, self.params, self.resume = spark, patches, images, base, params, resume
+    def __init__(self, spark: SparkSession, patches: DataFrame, images: DataFrame, base: str, params: MiningParams = MiningParams(), resume: bool = True, rasters: DataFrame | None = None):
+        self.spark, self.patches, self.images, self.base, self.params, self.resume, self.rasters = spark, patches, images, base, params, resume, rasters
 
     def _stage(self, name: str, make) -> DataFrame:
         log.info("stage %s", name)
@@ -44,24 +52,37 @@ class MiningJob:
         return self._stage("clusters.purity", lambda: N.purity_rank(self.neighbours(), self.params.purity_depth))
 
     def neighbours(self) -> DataFrame:
-        """The nearest images of each positive patch, its own image left out."""
+        """The nearest window in each of the nearest images of each positive patch, its own image
+        left out, with the window's box."""
 
         def make() -> DataFrame:
-            p = self.patches
-            near = N.nearest_per_image(p.filter("is_pos").select("patch_id", "feat"), p.select(F.col("patch_id").alias("target_id"), "imidx", "feat"))
+            p, centers = self.patches, self.patches.filter("is_pos").select("patch_id", "feat")
             own = p.select("patch_id", F.col("imidx").alias("own"))
-            return N.with_labels(N.top_images(near.join(own, "patch_id").filter("imidx <> own").drop("own"), self.params.neighbours), self.images)
+            if self.rasters is not None:
+                near = P.nearest_in_images(self.rasters, centers, self.params.pyramid, self.params.detection.min_gradient)
+                near = near.withColumn("target_id", F.xxhash64("imidx", "level", "cy", "cx"))
+            else:
+                near = N.nearest_per_image(centers, p.select(F.col("patch_id").alias("target_id"), "imidx", "feat"))
+            top = N.top_images(near.join(own, "patch_id").filter("imidx <> own").drop("own"), self.params.neighbours)
+            if self.rasters is None:
+                top = top.join(p.select(F.col("patch_id").alias("target_id"), "x1", "y1", "x2", "y2"), "target_id")
+            return N.with_labels(top, self.images)
 
         return self._stage("clusters.neighbours", make)
 
+    def _features(self, rows: DataFrame, key: str) -> DataFrame:
+        """cluster_id, key, feat of windows: from the pictures, or from the patches named by key."""
+        if self.rasters is not None:
+            return P.features_at(rows.select("cluster_id", key, "imidx", "level", "cy", "cx"), self.rasters, self.params.pyramid).select("cluster_id", key, "feat")
+        return rows.select("cluster_id", key).join(self.patches.select(F.col("patch_id").alias(key), "feat"), key).select("cluster_id", key, "feat")
+
     def accepted(self) -> DataFrame:
         """cluster_id, rank: clusters in order of purity that repeat none accepted before."""
 
         def make() -> DataFrame:
             n = self.params
             ranks = self.purity().select(F.col("patch_id").alias("cluster_id"), "rank")
-            boxes = self.patches.select(F.col("patch_id").alias("target_id"), "x1", "y1", "x2", "y2")
-            seen = self.neighbours().filter(F.col("nn_rank") <= n.neighbours // 2).join(boxes, "target_id")
+            seen = self.neighbours().filter(F.col("nn_rank") <= n.neighbours // 2)
             seen = seen.select(F.col("patch_id").alias("cluster_id"), F.col("target_id").alias("det_id"), "imidx", "x1", "y1", "x2", "y2").join(ranks, "cluster_id")
             pairs = C.duplicate_pairs(seen, n.duplicate_iou, n.duplicate_share, "cluster_id", "rank").filter("duplicate")
             return C.accept_in_order(ranks, pairs, "cluster_id", "rank", n.max_clusters)
@@ -72,9 +93,8 @@ class MiningJob:
         """cluster_id, feat: the five nearest patches of each accepted cluster."""
 
         def make() -> DataFrame:
-            best = self.neighbours().filter(F.col("nn_rank") <= self.params.top_train).select(F.col("patch_id").alias("cluster_id"), "target_id")
-            feats = self.patches.select(F.col("patch_id").alias("target_id"), "feat")
-            return semi(best, self.accepted(), "cluster_id").join(feats, "target_id").select("cluster_id", "feat")
+            best = self.neighbours().filter(F.col("nn_rank") <= self.params.top_train).withColumnRenamed("patch_id", "cluster_id")
+            return self._features(semi(best, self.accepted(), "cluster_id"), "target_id").select("cluster_id", "feat")
 
         return self._stage("clusters.seeds", make)
 
@@ -83,13 +103,25 @@ class MiningJob:
 
     # -- rounds
 
-    def _detect(self, detectors: DataFrame, of: DataFrame, threshold: float) -> DataFrame:
+    def _detect(self, detectors: DataFrame, of: DataFrame, threshold: float, final: bool = False) -> DataFrame:
         """Detections on the images of ``of``, with their boxes, greedily cleaned."""
-        from lodemine.operators.suppress import suppress_own_area
-
+        d = self.params.detection
+        if self.rasters is not None:
+            rule = replace(d, threshold=threshold, overlap=d.final_overlap if final else d.overlap)
+            found = P.detect(semi(self.rasters, of.select("imidx"), "imidx"), detectors, self.params.pyramid, rule).drop("kept_rank")
+            return found if final else suppress_iou(found, d.collect_overlap).drop("kept_rank")
         found = M.score(semi(self.patches, of.select("imidx"), "imidx"), detectors, threshold)
         boxes = self.patches.select(F.col("patch_id").alias("det_id"), "x1", "y1", "x2", "y2")
-        return suppress_own_area(found.join(boxes, "det_id"), self.params.detection.collect_overlap).drop("kept_rank")
+        return suppress_own_area(found.join(boxes, "det_id"), d.final_overlap if final else d.collect_overlap).drop("kept_rank")
+
+    def _mine(self, models: DataFrame, batch: DataFrame) -> DataFrame:
+        """cluster_id, det_id, feat of the windows of negative images that the models score too high."""
+        n = self.params
+        if self.rasters is not None:
+            rows = P.detect(semi(self.rasters, batch.select("imidx"), "imidx"), models, n.pyramid, n.detection)
+        else:
+            rows = M.score(semi(self.patches, batch.select("imidx"), "imidx"), models, n.cull_at)
+        return self._features(rows.withColumnRenamed("detector", "cluster_id"), "det_id")
 
     def train(self, seeds: DataFrame, negatives: DataFrame, pool: DataFrame, name: str) -> DataFrame:
         """Models of a round: fit, then over growing batches of negative images mine what is
@@ -98,12 +130,10 @@ class MiningJob:
         models = settle(M.fit_clusters(seeds, negatives, c=n.svm_c))
         ranked = R.global_rank(pool, [F.col("ord").asc()], "_at")
         total, at, step, held = pool.count(), 0, 0, None
-        feats = self.patches.select(F.col("patch_id").alias("det_id"), "feat")
         while at < total:
             size = int(n.first_batch * 2 ** (n.batch_growth * step))
             batch = ranked.filter(F.col("_at").between(at, at + size - 1))
-            mined = M.score(semi(self.patches, batch.select("imidx"), "imidx"), models, n.cull_at).join(feats, "det_id")
-            mined = mined.select(F.col("detector").alias("cluster_id"), "det_id", "feat")
+            mined = self._mine(models, batch)
             held = settle((mined if held is None else held.unionByName(mined)).dropDuplicates(["cluster_id", "det_id"]))
             w = models.select("cluster_id", "w", "rho")
             from lodemine.functions.vectors import decision, doubles
@@ -123,9 +153,11 @@ class MiningJob:
             order = self.image_order()
             waiting = [r[0] for r in self.accepted().orderBy("rank").select("cluster_id").collect()]  # at most max_clusters ids
             seeds = self.seeds()
-            negatives = self.patches.filter("NOT is_pos").select("feat")
-            initial = semi(self.patches, order.filter(F.col("is_pos")).filter("ord % 4 = 0").select("imidx"), "imidx").select("feat")
-            negatives = settle(negatives.filter(F.pmod(F.xxhash64("feat"), F.lit(4)) == 0).unionByName(initial))
+            # candidates of positive images are, all in all, of no pattern either
+            initial = self.patches
+            if self.rasters is None:
+                initial = semi(initial, order.filter(F.col("ord") % self.params.seed_every == 0).select("imidx"), "imidx")
+            negatives = settle(initial.select("feat"))
             active, ages, done, j = [], {}, None, 0
             own = settle(seeds)
             while waiting or active:
@@ -136,17 +168,20 @@ class MiningJob:
                 ids = settle(self.spark.createDataFrame([(c,) for c in active], "cluster_id long"))
                 parts = I.rotation(order, j)
                 models = self.train(semi(own, ids, "cluster_id"), negatives, parts.filter("NOT is_pos AND part = 'train'"), f"round{j}")
-                seen = settle(self._detect(models, parts.filter("part = 'validate'"), n.detection.threshold).join(self.images, "imidx"))
-                top = R.top_n(seen.filter("is_pos"), n.top_validate)
+                looked = parts.filter("part = 'validate' OR part = 'train' AND is_pos")
+                seen = settle(self._detect(models, looked, n.detection.threshold).join(parts.select("imidx", "part", "is_pos"), "imidx"))
+                top = R.top_n(seen.filter("is_pos AND part = 'validate'"), n.top_validate)
+                sets = {"train": R.top_n(seen.filter("part = 'train'"), n.top_validate), "validate": top, "all": R.top_n(seen.filter("part = 'validate'"), n.top_all)}
+                kinds = [x.select(F.lit(name).alias("kind"), "detector", "rank", "det_id", "imidx", "is_pos", "decision", "x1", "y1", "x2", "y2") for name, x in sets.items()]
+                save(kinds[0].unionByName(kinds[1]).unionByName(kinds[2]), self.base, f"rounds.r{j}.tops")
                 voted = settle(R.at_least(top.filter(F.col("rank") <= n.top_vote), ["detector"], n.min_votes))
                 kept = {r[0] for r in voted.select("detector").collect()}  # at most active_clusters ids
                 finished = [c for c in active if c in kept and ages[c] + 1 >= n.iterations]
                 if finished:
                     part = models.filter(F.col("cluster_id").isin(finished)).withColumn("round", F.lit(j))
                     done = settle(part if done is None else done.unionByName(part))
-                best = R.assign_top(top, n.top_train).filter("cluster_id IS NOT NULL").select("cluster_id", "det_id")
-                feats = self.patches.select(F.col("patch_id").alias("det_id"), "feat")
-                fresh = best.join(feats, "det_id").select("cluster_id", "feat")
+                best = R.assign_top(top, n.top_train).filter("cluster_id IS NOT NULL")
+                fresh = self._features(best, "det_id").select("cluster_id", "feat")
                 own = settle(semi(fresh, ids, "cluster_id").unionByName(anti(own, ids, "cluster_id")))
                 log.info("round %d: %d active, %d voted in, %d finished, %d waiting", j, len(active), len(kept), len(finished), len(waiting))
                 active = [c for c in active if c in kept and c not in finished]
@@ -159,32 +194,51 @@ class MiningJob:
     # -- result
 
     def detections(self) -> DataFrame:
-        return self._stage("final.detections", lambda: self._detect(self.detectors(), self.images, self.params.detection.final_threshold))
+        return self._stage("final.detections", lambda: self._detect(self.detectors(), self.images, self.params.detection.final_threshold, True))
 
-    def ranked(self) -> DataFrame:
-        """detector, pos, neg, posterior, rank of the detectors that overlap none ranked before."""
+    def ranked(self, by: str = "posterior") -> DataFrame:
+        """The detectors that overlap none ranked before. by posterior: detector, pos, neg, posterior,
+        rank; by overallcounts: detector, pos, neg, rank."""
 
         def make() -> DataFrame:
             n, found = self.params, self.detections()
-            ranks = settle(report.detector_ranks(found, self.images, n.count_threshold))
-            top = R.top(found, ["detector"], R.by_score(), 50, "_k").drop("_k").join(ranks.select("detector", F.col("rank").alias("place")), "detector")
+            ranks = report.detector_ranks(found, self.images, n.count_threshold) if by == "posterior" else report.overall_ranks(found, self.images)
+            ranks = settle(ranks)
+            top = R.top(found, ["detector"], R.by_score(), 50 if by == "posterior" else 250, "_k").drop("_k").join(ranks.select("detector", F.col("rank").alias("place")), "detector")
             bad = C.overlap_counts(top, n.overlap_iou, "detector", "place").filter(F.col("n") > n.overlap_count)
             kept = C.accept_in_order(ranks.select("detector", "rank"), bad, most=n.report_detectors)
             return semi(ranks, kept, "detector")
 
-        return self._stage("final.ranks", make)
+        return self._stage("final.ranks" if by == "posterior" else f"final.ranks_{by}", make)
 
-    def report(self, title: str = "patterns") -> DataFrame:
+    def shown(self, by: str = "posterior") -> DataFrame:
+        """The patches that the report shows, each with its rank."""
+        return semi(R.top_n(self.detections(), self.params.report_patches), self.ranked(by), "detector").join(self.images, "imidx")
+
+    def report(self, title: str = "patterns", by: str = "posterior") -> DataFrame:
         def make() -> DataFrame:
-            top = semi(R.top_n(self.detections(), self.params.report_patches), self.ranked(), "detector").join(self.images, "imidx")
-            return report.page(report.rows_html(top, F.col("is_pos")), self.ranked(), title)
+            rows = report.rows_html(self.shown(by), F.col("is_pos"), suffix=".png" if self.rasters is not None else ".jpg")
+            return report.page(rows, self.ranked(by), title)
+
+        return self._stage("final.report" if by == "posterior" else f"final.report_{by}", make)
+
+    def pictures(self, by: str = "posterior") -> DataFrame:
+        """name, png of the patches that the report shows; needs rasters."""
+        boxes = self.shown(by).select("det_id", "imidx", "x1", "y1", "x2", "y2")
+        cut = P.crop_patches(boxes, self.rasters, self.params.pyramid.patch_size)
+        return cut.select(F.concat(F.col("det_id").cast("string"), F.lit(".png")).alias("name"), "png")
 
-        return self._stage("final.report", make)
+    def write_report(self, out: str, title: str = "patterns") -> None:
+        """Both orders, each as a page with its pictures beside it."""
+        for by in ("posterior", "overallcounts"):
+            report.write_page(self.report(title, by), f"{out}/report_{by}")
+            if self.rasters is not None:
+                report.write_pictures(self.pictures(by), f"{out}/report_{by}")
 
 
-def tables_from_folders(spark: SparkSession, base: str, positives: list[str], negatives: list[str], params: MiningParams, pattern: str = "*.jpg") -> tuple[DataFrame, DataFrame]:
-    """patches and images of a job from folders of pictures: scan, decode, and draw patches by
-    gradient weight from every image."""
+def tables_from_folders(spark: SparkSession, base: str, positives: list[str], negatives: list[str], params: MiningParams, pattern: str = "*.jpg") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """patches, images and rasters of a job from folders of pictures: scan, decode, and draw patches
+    by gradient weight from every image."""
     from lodemine.operators.rasters import sample_patches
 
     files = I.scan_folders(spark, base, positives, negatives, pattern)
@@ -194,7 +248,7 @@ def tables_from_folders(spark: SparkSession, base: str, positives: list[str], ne
     rows = I.decode(pictures.withColumn("fullname", name), params.pyramid.pixel_scale).join(files.drop("path"), "fullname")
     images = settle(rows.select(F.col("imidx").cast("int").alias("imidx"), (F.col("label") == "positive").alias("is_pos"), "nrows", "ncols", "fullname", "raster"))
     patches = sample_patches(images, params.pyramid, params.seed).join(images.select("imidx", "is_pos"), "imidx")
-    return patches.select("patch_id", "imidx", "is_pos", "feat", "x1", "y1", "x2", "y2"), images.drop("raster")
+    return patches.select("patch_id", "imidx", "is_pos", "feat", "x1", "y1", "x2", "y2"), images.drop("raster"), images.select("imidx", "raster", "nrows", "ncols")
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -215,13 +269,14 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("lodemine").getOrCreate()
     if got.basepath:
         params = MiningParams()
-        made = lambda: tables_from_folders(spark, got.basepath, got.positives, got.negatives, params, got.pattern)
+        made = lru_cache(lambda: tables_from_folders(spark, got.basepath, got.positives, got.negatives, params, got.pattern))
         patches = stage(spark, got.outdir, "input.patches", lambda: made()[0], not got.fresh)
         images = stage(spark, got.outdir, "input.images", lambda: made()[1], not got.fresh)
+        rasters = stage(spark, got.outdir, "input.rasters", lambda: made()[2], not got.fresh)
     else:
-        patches, images = spark.read.parquet(got.patches), spark.read.parquet(got.images)
-    job = MiningJob(spark, patches, images, got.outdir, resume=not got.fresh)
-    report.write_page(job.report(), f"{got.outdir}/report")
+        patches, images, rasters = spark.read.parquet(got.patches), spark.read.parquet(got.images), None
+    job = MiningJob(spark, patches, images, got.outdir, resume=not got.fresh, rasters=rasters)
+    job.write_report(got.outdir)
 
 
 if __name__ == "__main__":

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodemine.functions.text import image_cell
+from lodemine.operators import ranking as R
 from lodemine.operators.relational import laplace
 
 
-def rows_html(top: DataFrame, positive: Column, cluster: str = "detector") -> DataFrame:
+def rows_html(top: DataFrame, positive: Column, cluster: str = "detector", suffix: str = ".jpg") -> DataFrame:
     """cluster, html: a table row per cluster, its counts and its patches in rank order. top has
     one row per shown patch with rank, det_id and decision; a group is no larger than that rank."""
-    cell = image_cell(F.col("det_id").cast("string"), F.floor(F.col("decision") * 1000).cast("string"))
+    cell = image_cell(F.col("det_id").cast("string"), F.floor(F.col("decision") * 1000).cast("string"), suffix=suffix)
     pos = F.sum(F.when(positive, 1).otherwise(0))
     got = top.groupBy(cluster).agg(pos.alias("pos"), (F.count("*") - pos).alias("neg"), F.sort_array(F.collect_list(F.struct("rank", cell.alias("cell")))).alias("cells"))
     head = F.concat(F.lit("<tr><td>"), cluster, F.lit("<br/>positive: "), "pos", F.lit(" other: "), "neg", F.lit("</td>"))
@@ -28,6 +29,15 @@ def detector_ranks(detections: DataFrame, images: DataFrame, above: float) -> Da
     return ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.col("posterior").desc(), "detector")))
 
 
+def overall_ranks(detections: DataFrame, images: DataFrame, shown: int = 30) -> DataFrame:
+    """detector, pos, neg, rank: by the positives among the best rows of each detector, at most one an
+    image."""
+    best = R.top_n(detections, shown).join(images.select("imidx", "is_pos"), "imidx")
+    pos = F.sum(F.when(F.col("is_pos"), 1).otherwise(0))
+    counted = best.groupBy("detector").agg(pos.alias("pos"), (F.count("*") - pos).alias("neg"))  # a row per detector
+    return counted.withColumn("rank", F.row_number().over(Window.orderBy(F.col("pos").desc(), "detector")))
+
+
 def page(rows: DataFrame, ranks: DataFrame, title: str) -> DataFrame:
     """One row with the report's HTML: the detectors kept, in rank order (at most some hundreds)."""
     ordered = rows.join(ranks, "detector").agg(F.sort_array(F.collect_list(F.struct("rank", "html"))).alias("r"))
@@ -36,3 +46,18 @@ def page(rows: DataFrame, ranks: DataFrame, title: str) -> DataFrame:
 
 def write_page(html: DataFrame, path: str) -> None:
     html.coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_pictures(pictures: DataFrame, path: str) -> int:
+    """Writes name and png of each row below path, through the file system that the path names. The
+    report's pictures are few (its detectors times its patches) and pass one by one."""
+    jvm = pictures.sparkSession.sparkContext._jvm
+    conf = pictures.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    for row in pictures.select("name", "png").toLocalIterator():
+        place = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{row.name}")
+        out = place.getFileSystem(conf).create(place, True)
+        out.write(bytearray(row.png))
+        out.close()
+        n += 1
+    return n

@@ -197,11 +197,64 @@ def test_tables_from_folders(spark, tmp_path):
         (tmp_path / b).mkdir()
         for i in range(2):
             (tmp_path / b / f"{i}.png").write_bytes(encode(rng.integers(0, 256, (96, 100, 3), dtype=np.uint8)))
-    patches, images = tables_from_folders(spark, str(tmp_path), ["p"], ["n"], MiningParams(pyramid=small_params()), "*.png")
+    patches, images, rasters = tables_from_folders(spark, str(tmp_path), ["p"], ["n"], MiningParams(pyramid=small_params()), "*.png")
+    assert rasters.count() == 4
     assert {(r.fullname, r.is_pos, r.nrows, r.ncols) for r in images.collect()} == {(f"{b}/{i}.png", b == "p", 96, 100) for b in "pn" for i in range(2)}
     assert patches.groupBy("imidx").count().count() == 4
 
 
+def test_shared_negatives_beyond_the_bound_give_the_same_fit(spark):
+    from lodemine.operators import svm
+
+    rng = np.random.default_rng(1)
+    pos = spark.createDataFrame([(k % 3, (rng.normal(size=40) + 2 * (np.arange(40) % 3 == k % 3)).tolist()) for k in range(30)], "cluster_id long, feat array<double>")
+    neg = spark.createDataFrame([(rng.normal(size=40).tolist(),) for _ in range(9000)], "feat array<double>")
+    own = spark.createDataFrame([(1, (rng.normal(size=40) + 0.5).tolist()) for _ in range(20)], "cluster_id long, feat array<double>")
+    whole = {r.cluster_id: r for r in svm.fit_clusters(pos, neg, own).collect()}
+    parts = {r.cluster_id: r for r in svm.fit_clusters(pos, neg, own, shared_mb=1).collect()}
+    for k, r in whole.items():
+        assert np.allclose(r.w, parts[k].w, atol=1e-5) and abs(r.rho - parts[k].rho) < 1e-5
+        assert (r.n_pos, r.n_neg) == (parts[k].n_pos, parts[k].n_neg)
+
+
+def test_from_a_folder_of_pictures_to_the_report(spark, tmp_path):
+    from lodemine.config import DetectionParams, MiningParams
+    from lodemine.kernels.png import encode
+    from lodemine.plans.mining import MiningJob, tables_from_folders
+
+    rng = np.random.default_rng(4)
+    y, x = np.mgrid[0:40, 0:40]
+    sign = np.where((np.hypot(y - 20, x - 20) < 14) & (np.hypot(y - 20, x - 20) > 8), 255, 30)
+    for b in ("p", "n"):
+        (tmp_path / b).mkdir()
+        for i in range(7):
+            picture = np.repeat(rng.integers(90, 130, (96, 100, 1)), 3, 2)
+            if b == "p":
+                a, c = rng.integers(4, 50, 2)
+                picture[a : a + 40, c : c + 40] = sign[..., None]
+            (tmp_path / b / f"{i}.png").write_bytes(encode(picture.astype(np.uint8)))
+    params = MiningParams(neighbours=6, purity_depth=4, max_clusters=4, active_clusters=4, iterations=1, top_vote=3, min_votes=1, first_batch=2, detection=DetectionParams(min_gradient=0.0), pyramid=small_params())
+    patches, images, rasters = tables_from_folders(spark, str(tmp_path), ["p"], ["n"], params, "*.png")
+    job = MiningJob(spark, settle_(patches), images, str(tmp_path / "out"), params, rasters=rasters)
+    assert {"level", "cy", "cx", "x1"} <= set(job.neighbours().columns)
+    assert job.seeds().count() and job.detections().count()
+    best = job.ranked().orderBy("rank").first()
+    assert best.pos > best.neg
+    tops = spark.read.parquet(str(tmp_path / "out" / "rounds" / "r0" / "tops"))
+    assert {r.kind for r in tops.select("kind").distinct().collect()} <= {"train", "validate", "all"} and tops.count()
+    job.write_report(str(tmp_path / "out"))
+    for by in ("posterior", "overallcounts"):
+        names = {f.name for f in (tmp_path / "out" / f"report_{by}").glob("*.png")}
+        html = job.report(by=by).first()[0]
+        assert names and all(f'src="{n}"' in html for n in names)
+
+
+def settle_(df):
+    from lodemine.sources.rounds import settle
+
+    return settle(df)
+
+
 def test_has_field(spark):
     from lodemine.operators.relational import has_field
 
