@@ -11,6 +11,17 @@ def digits(s: Column) -> Column:
     return F.transform(F.regexp_extract_all(s, F.lit(r"(\d+)"), 1), lambda x: x.cast("long"))
 
 
+def permutation(line: Column) -> Column:
+    """Of a line "perm <key> inds <i> <j> ...": its key and values."""
+    parts = F.split(line, " inds ")
+    return F.struct(F.get(digits(parts[0]), F.lit(0)).alias("key"), F.coalesce(digits(F.get(parts, F.lit(1))), F.array().cast("array<bigint>")).alias("values"))
+
+
+def checksum(values: Column) -> Column:
+    """The sum of an array of whole numbers."""
+    return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
 def dotted_path(s: Column) -> Column:
     """a.b.c as a/b/c."""
     return F.translate(s, ".", "/")

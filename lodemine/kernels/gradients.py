@@ -11,8 +11,9 @@ CLIP, TEXTURE = 0.2, 0.2357  # fixed values of the descriptor
 
 
 def histogram(image: np.ndarray, cell: int) -> np.ndarray:
-    """rows - 2 by cols - 2 cells of 18 signed, 9 unsigned and 4 texture channels."""
-    rows, cols = (int(round(n / cell)) for n in image.shape[:2])
+    """rows - 2 by cols - 2 cells of 18 signed, 9 unsigned and 4 texture channels. Half a cell at the
+    border counts as one; its pixels beyond the image repeat the last gradient."""
+    rows, cols = (int(n / cell + 0.5) for n in image.shape[:2])
     if rows < 3 or cols < 3:
         return np.zeros((max(rows - 2, 0), max(cols - 2, 0), 31))
     hist = _votes(image.astype(np.float64), rows, cols, cell)
@@ -31,9 +32,10 @@ def histogram(image: np.ndarray, cell: int) -> np.ndarray:
 
 def _votes(image: np.ndarray, rows: int, cols: int, cell: int) -> np.ndarray:
     """Each pixel's strongest channel votes for its orientation in the four nearest cells."""
-    h, w = min(rows * cell, image.shape[0]), min(cols * cell, image.shape[1])
-    x = image[:h, :w]
-    dy, dx = x[2:, 1:-1] - x[:-2, 1:-1], x[1:-1, 2:] - x[1:-1, :-2]
+    h, w = rows * cell, cols * cell
+    near = lambda n, size: np.minimum(np.arange(1, n - 1), size - 2) - 1
+    at = np.ix_(near(h, image.shape[0]), near(w, image.shape[1]))
+    dy, dx = (image[2:, 1:-1] - image[:-2, 1:-1])[at], (image[1:-1, 2:] - image[1:-1, :-2])[at]
     strength = dx * dx + dy * dy
     best = strength.argmax(-1)[..., None]
     dy, dx, v = (np.take_along_axis(a, best, -1)[..., 0] for a in (dy, dx, strength))

@@ -37,6 +37,12 @@ def distribution(weight: np.ndarray, patch: float) -> np.ndarray:
     return p / p.sum() if p.sum() > 0 else np.full(weight.shape, 1 / weight.size)
 
 
+def quick_distribution(weight: np.ndarray, patch: float) -> np.ndarray:
+    """Of a pixel: its own gradient weight over the sum of the blurred ones; uniform if there is none."""
+    total = blur(weight, min(max(3, int(patch) | 1), 2 * min(weight.shape) - 1 | 1), patch / 3).sum()
+    return weight / total if total > 0 else np.full(weight.shape, 1 / weight.size)
+
+
 def draw(p: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
     """n indices (column-major) by inverse distribution function."""
     c = np.cumsum(p.ravel(order="F"))
@@ -58,8 +64,9 @@ def clean_coverage(boxes: np.ndarray, weight: np.ndarray, share: float = 0.6) ->
     return np.sort(np.asarray(kept, int))
 
 
-def sample_patches(image: np.ndarray, params: PyramidParams, seed: int, most: int = 25, share: float = 0.6, level_factor: float = 2.0) -> list[dict]:
-    """Patches of every half octave's level: level, cy, cx, box, probability, feat."""
+def sample_patches(image: np.ndarray, params: PyramidParams, seed: int, most: int = 25, share: float = 0.6, level_factor: float = 2.0, quick: bool = False) -> list[dict]:
+    """Patches of every half octave's level: level, cy, cx, box, probability, feat. quick: draw by the
+    gradient weight as it is, not by the blurred one."""
     rng = np.random.default_rng(seed)
     rows, cols = image.shape[:2]
     weight = sampling_weight(image)
@@ -71,7 +78,7 @@ def sample_patches(image: np.ndarray, params: PyramidParams, seed: int, most: in
         unit = params.cell * level.scale / pyramid.canonical_scale
         side = params.patch_size * level.scale / pyramid.canonical_scale
         draws = int(rows / (side / level_factor) * (cols / (side / level_factor)) * 2)
-        p = distribution(weight, side)
+        p = (quick_distribution if quick else distribution)(weight, side)
         at = draw(p, draws, rng)
         y, x = at % rows, at // rows
         cy, cx = np.ceil((y + 1) / unit).astype(int) - 1 - n // 2, np.ceil((x + 1) / unit).astype(int) - 1 - n // 2

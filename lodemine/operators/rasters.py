@@ -63,6 +63,13 @@ def sample_patches(images: DataFrame, params: PyramidParams = PyramidParams(), s
     return got.withColumn("patch_id", F.xxhash64("imidx", "level", "cy", "cx"))
 
 
+def with_metadata(patches: DataFrame, images: DataFrame, set_index: int = 0) -> DataFrame:
+    """patches (imidx, level, cy, cx, box) with the record of a patch: flip and trunc (always false, as
+    windows are neither mirrored nor cut), size of the image, pyramid place, setidx."""
+    size = images.select("imidx", F.struct("nrows", "ncols").alias("size"))
+    return patches.join(size, "imidx").select("*", F.lit(False).alias("flip"), F.lit(False).alias("trunc"), F.array("level", "cy", "cx").alias("pyramid"), F.lit(set_index).alias("setidx"))
+
+
 def detect(images: DataFrame, detectors: DataFrame, params: PyramidParams = PyramidParams(), detection: DetectionParams = DetectionParams(), most_detectors: int = 4096) -> DataFrame:
     """Detections of every window of every image: pyramid, texture filter, scores, threshold in one
     pass; suppression follows. Detectors are few (their number is checked)."""

@@ -649,8 +649,8 @@ def permutation_parse(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet")
     lines = e.groupBy("user_id").agg(F.concat_ws(" ", F.transform(F.sort_array(F.collect_list("event_id")), lambda x: (x % 50).cast("string"))).alias("p"))
     lines = lines.select("user_id", F.concat(F.lit("perm "), "user_id", F.lit(" inds "), "p").alias("line"))
-    parts = lines.select("user_id", F.split("line", " inds ").alias("s")).select("user_id", X.digits(F.col("s")[0])[0].alias("key"), X.digits(F.col("s")[1]).alias("v"))
-    return parts.select("user_id", "key", F.size("v").alias("n"), F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    parts = lines.select("user_id", X.permutation(F.col("line")).alias("p"))
+    return parts.select("user_id", "p.key", F.size("p.values").alias("n"), X.checksum(F.col("p.values")).alias("total"))
 
 
 @query("""WITH n AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type || '.jpg' WHEN 1 THEN event_type || '.JPG' ELSE event_type END AS f FROM events)

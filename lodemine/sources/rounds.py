@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session. Only where neither the
-    session nor the context names one (a local test) is a temporary folder made."""
+    """The folder all executors share: spark.checkpoint.dir of the session. Where neither the session
+    nor the context names one, a temporary folder is made in local mode; a cluster has to name one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = held.get() if held.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="lodemine-rounds-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

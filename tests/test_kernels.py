@@ -138,3 +138,40 @@ def test_squared_hinge_is_optimal():
         assert np.abs(v - 0.2 * a.T @ (y * slack)).max() < 1e-6
     w, b = fit_squared_hinge(np.ones((3, 2)), np.ones(3))
     assert not w.any() and b == 1
+
+
+def test_cells_round_half_up_and_repeat_the_border():
+    from lodemine.kernels.gradients import histogram
+
+    image = np.random.default_rng(0).random((100, 97, 3))
+    got = histogram(image, 8)
+    assert got.shape == (11, 10, 31)
+    # rows 99 to 102 of a thirteenth cell take the gradient of row 98
+    y, x = np.minimum(np.arange(104), 98), np.arange(97)
+    wide = np.zeros((13, 12, 18))
+    for yy in range(1, 103):
+        for xx in range(1, 95):
+            a, b = int(y[yy]), int(min(x[xx], 95))
+            dy, dx = image[a + 1, b] - image[a - 1, b], image[a, b + 1] - image[a, b - 1]
+            k = int((dx * dx + dy * dy).argmax())
+            along = dx[k] * np.cos(np.arange(9) * np.pi / 9) + dy[k] * np.sin(np.arange(9) * np.pi / 9)
+            o = int(np.concatenate([along, -along]).argmax())
+            cy, cx = (yy + 0.5) / 8 - 0.5, (xx + 0.5) / 8 - 0.5
+            iy, ix = int(np.floor(cy)), int(np.floor(cx))
+            for oy in (0, 1):
+                for ox in (0, 1):
+                    if 0 <= iy + oy < 13 and 0 <= ix + ox < 12:
+                        wide[iy + oy, ix + ox, o] += abs(1 - oy - (cy - iy)) * abs(1 - ox - (cx - ix)) * np.hypot(dx[k], dy[k])
+    from lodemine.kernels.gradients import _votes
+
+    assert np.allclose(_votes(image, 13, 12, 8), wide)
+
+
+def test_quick_distribution():
+    from lodemine.kernels.sampling import quick_distribution
+
+    w = np.zeros((30, 40))
+    assert np.allclose(quick_distribution(w, 9), 1 / 1200)
+    w[15, 20] = 2.0
+    p = quick_distribution(w, 9)
+    assert np.count_nonzero(p) == 1 and 0.9 < p[15, 20] < 1.1

@@ -255,6 +255,22 @@ def settle_(df):
     return settle(df)
 
 
+def test_patch_records(spark):
+    from lodemine.operators import rasters
+
+    im = small_images(spark, 2)
+    r = rasters.with_metadata(rasters.sample_patches(im, small_params(), most=2), im, 3).first()
+    assert (r.flip, r.trunc, r.setidx, tuple(r.size)) == (False, False, 3, (96, 128)) and r.pyramid == [r.level, r.cy, r.cx]
+
+
+def test_permutation_lines(spark):
+    from lodemine.functions import text as X
+
+    df = spark.createDataFrame([("perm 7 inds 3 1 2",), ("perm 8 inds ",), ("nothing",), (None,)], "line string")
+    got = [(r.p.key, r.p["values"], r.c) for r in df.select(X.permutation(F.col("line")).alias("p")).select("p", X.checksum(F.col("p.values")).alias("c")).collect()]
+    assert got == [(7, [3, 1, 2], 6), (8, [], 0), (None, [], 0), (None, [], 0)]
+
+
 def test_has_field(spark):
     from lodemine.operators.relational import has_field
 
