@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodemine.llm import bpe, mixing, neardup, secrets, toxicity
-from lodemine.llm.common import fold_remainder, materialize, read
+from lodemine.llm.common import drop_tables, fold_remainder, materialize, read
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -64,9 +64,12 @@ STAGES = [
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pipeline: token_ids, n_tokens and digests of every document that is left."""
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            drop_tables(spark, before)
+        before = docs
     return docs
 
 

@@ -39,7 +39,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemine.llm.common import Recent, read
+from lodemine.llm.common import Recent, give_back, read
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -119,7 +119,7 @@ class Transducer:
 class BpeModel:
     """block: symbols taken in beyond the lookahead before the buffer is tokenised."""
 
-    def __init__(self, path: str, block: int = 256, cache_words: int = 250_000):
+    def __init__(self, path: str, block: int = 256, cache_words: int = 200_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -153,6 +153,7 @@ class BpeModel:
         """Frees the caches: the worker goes on to other tasks, which may need the memory."""
         self.by_word.forget()
         self.by_run.forget()
+        give_back()
 
     # -- encoding
 

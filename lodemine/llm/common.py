@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import uuid
 
@@ -86,3 +88,13 @@ class Recent(dict):
     def forget(self) -> None:
         self.clear()
         self.before = {}
+
+
+def give_back() -> None:
+    """Returns freed memory to the system at the end of a task: the worker process goes on to other
+    tasks and stages, beside a JVM that may need it."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass

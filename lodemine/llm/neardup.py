@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemine.llm.common import Recent, drop_tables, materialize, read
+from lodemine.llm.common import Recent, drop_tables, give_back, materialize, read
 from lodemine.llm.components import components
 
 ROWS, BANDS = 5, 32
@@ -118,6 +118,8 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                     sig.append(None)
                     bands.append(None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "hash", "n", "fp", "sig", "bands"])
+        hash_of.forget()
+        give_back()
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text")).mapInArrow(rows, "doc_id long, hash long, n long, fp binary, sig binary, bands array<long>")
 
@@ -180,6 +182,8 @@ def _sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, name: str) -> Dat
         hash_of = word_hashes()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), hash_of).tobytes() for t in batch.column(1)], pa.binary())], ["id", "set"])
+        hash_of.forget()
+        give_back()
 
     return materialize(held.mapInArrow(build, "id long, set binary"), f"{name}-sets")
 
@@ -296,6 +300,8 @@ def _across(rows: DataFrame, threshold: float, miss: float) -> DataFrame:
                 held = held.slice(first).combine_chunks()
         if held is not None and held.num_rows:
             yield out(held)
+        held = None
+        give_back()
 
     return rows.mapInArrow(stream, "a long, b long" if exact else "key long, p int, q int, id long")
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemine.llm.common import Recent, drop_tables, fold_remainder, materialize, read, sample_by_hash
+from lodemine.llm.common import Recent, drop_tables, fold_remainder, give_back, materialize, read, sample_by_hash
 
 _words = re.compile(r"[^\W_]+")
 LONGEST, OVERLAP = 60, 4
@@ -252,7 +252,8 @@ def score(docs: DataFrame, model: SubwordBags, text: str = "text", threshold: fl
             for col in batches:
                 yield pa.array([m.score(t.as_py() or "") for t in col], pa.float64())
         finally:
-            m.cache.forget()  # the worker goes on to other tasks, which may need the memory
+            m.cache.forget()
+            give_back()
 
     return docs.withColumn("score", scored(F.col(text))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
