@@ -119,7 +119,7 @@ class Transducer:
 class BpeModel:
     """block: symbols taken in beyond the lookahead before the buffer is tokenised."""
 
-    def __init__(self, path: str, block: int = 256, cache_words: int = 200_000):
+    def __init__(self, path: str, block: int = 256, cache_words: int = 150_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]

@@ -38,7 +38,7 @@ from lodemine.llm.components import components
 ROWS, BANDS = 5, 32
 HASHES = ROWS * BANDS
 #: Ids of at most this many rows are broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 250_000
+BROADCAST_ROWS = 50_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 

@@ -3,8 +3,9 @@
 A word's vector is the mean of the vectors of its character 3- to 5-grams and of itself, all
 hashed into ``buckets`` rows; a bag's vector is the mean over its words (a word that repeats its
 predecessor counts once, and a bag of fewer words is filled up with zero vectors); a linear softmax on top
-gives the probability, calibrated on a part of the sample that is set aside such that a score of 0.5
-weighs errors on both classes alike (``share`` 0.5). Vectors and softmax are trained jointly with Adagrad in numpy. Abuse is a
+gives the probability. It is calibrated on scores of the sample's parts by fits on the other parts:
+0.5 weighs errors on both classes alike (``share`` 0.5), but no more than ``most_wrong`` of the clean
+texts may reach it. Vectors and softmax are trained jointly with Adagrad in numpy. Abuse is a
 few words in a long text, so bags are windows of ``window`` words: a text is as toxic as its worst
 window. Training starts on random windows of all texts and turns, round by round, to the ``top``
 worst windows of toxic and of clean texts.
@@ -77,17 +78,27 @@ class SubwordBags:
 
     # -- fitting
 
-    def fit(self, texts: list[str], labels: list[int], seed: int = 7, rounds: int = 6, epochs: int = 1, top: int = 4, first_windows: int = 60_000, rate: float = 0.5, calibrate: float = 0.3, share: float = 0.5) -> SubwordBags:
-        """calibrate: the part set aside; share: of toxic texts, for which scores are calibrated."""
+    def fit(self, texts: list[str], labels: list[int], seed: int = 7, rounds: int = 6, epochs: int = 1, top: int = 4, first_windows: int = 60_000, least_steps: int = 30, rate: float = 0.5, folds: int = 3, share: float = 0.5, most_wrong: float = 0.015) -> SubwordBags:
+        """folds: parts that are scored by a fit on the others, for calibration; share: of toxic texts,
+        for which scores are calibrated; most_wrong: the part of the clean texts that may reach 0.5;
+        least_steps: of a round, so that few bags are passed over more often."""
         y = np.asarray(labels, np.int64)
         if len(set(labels)) < 2:
             self.prior = float(y.mean()) if len(y) else 0.0
             return self
         self.prior = None
-        aside = int(len(texts) * calibrate)
-        if min(np.bincount(y[:aside], minlength=2)) >= 20:
-            self.fit(texts[aside:], labels[aside:], seed, rounds, epochs, top, first_windows, rate, 0.0)
-            self.scale, shift = _platt(np.array([self.logit(t) for t in texts[:aside]]), y[:aside], share)
+        if folds:
+            options = seed, rounds, epochs, top, first_windows, least_steps, rate, 0
+            z, fold = np.zeros(len(y)), np.arange(len(y)) % folds
+            for k in range(folds):
+                rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+                part = SubwordBags(self.buckets, self.dim, self.window, self.smallest, self.largest).fit([texts[i] for i in rest], y[rest].tolist(), *options)
+                if part.prior is None:
+                    z[own] = [part.logit(texts[i]) for i in own]
+            self.fit(texts, labels, *options)
+            self.scale, shift = _platt(z, y, share)
+            clean = np.sort(z[y == 0])[::-1]
+            shift = min(shift, -self.scale * float(clean[int(len(clean) * most_wrong)]) - 1e-3)
             self.bias = self.bias * self.scale + shift
             return self
         rng = np.random.default_rng(seed)
@@ -159,7 +170,7 @@ class SubwordBags:
                     bags.append(doc[at : at + n])
                     target.append(int(label))
             goal = np.asarray(target)
-            for _ in range(epochs):
+            for _ in range(max(epochs, -(-least_steps * 512 // len(bags)))):  # small samples more often
                 order = rng.permutation(len(bags))
                 for a in range(0, len(order), 512):
                     take = order[a : a + 512]

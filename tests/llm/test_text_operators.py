@@ -336,7 +336,7 @@ def test_folded_score_is_that_of_the_softmax():
     rng = random.Random(4)
     words = ["idiot", "moron", "stupid", "table", "river", "house", "garden", "idiots", "paper"]
     texts = [" ".join(rng.choice(words[3:7] + words[8:] if i % 2 else words) for _ in range(30)) + (" you idiot moron" if i % 2 == 0 else "") for i in range(300)]
-    m = toxicity.SubwordBags(buckets=1 << 12).fit(texts, [1 - i % 2 for i in range(300)], calibrate=0.0)
+    m = toxicity.SubwordBags(buckets=1 << 12).fit(texts, [1 - i % 2 for i in range(300)], folds=0)
     e, w, b = m.layers
 
     def softmax(text):
@@ -359,7 +359,7 @@ def test_the_sample_is_bounded_before_it_is_collected(spark):
     seen = []
     fit = toxicity.SubwordBags.fit
     try:
-        toxicity.SubwordBags.fit = lambda self, texts, classes, **o: seen.append((texts, classes)) or fit(self, texts, classes, **o)
+        toxicity.SubwordBags.fit = lambda self, texts, classes, *a, **o: seen.append((texts, classes)) or fit(self, texts, classes, *a, **o)
         toxicity.fit(docs, labels, max_chars=3000)
     finally:
         toxicity.SubwordBags.fit = fit
