@@ -50,7 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with the digests of ids and of the decoded text."""
-    return bpe.encode(docs.select("doc_id", "source", "text"), digests=True).drop("text")
+    return bpe.encode(docs.select("doc_id", "source", "text"), digests=True, cache_words=40_000).drop("text")
 
 
 STAGES = [

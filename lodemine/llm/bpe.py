@@ -119,7 +119,7 @@ class Transducer:
 class BpeModel:
     """block: symbols taken in beyond the lookahead before the buffer is tokenised."""
 
-    def __init__(self, path: str, block: int = 256, cache_words: int = 150_000):
+    def __init__(self, path: str, block: int = 256, cache_words: int = 200_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -370,19 +370,19 @@ class Decoder:
 
 
 @lru_cache(maxsize=2)
-def _model(path: str) -> BpeModel:
-    return BpeModel(path)
+def _model(path: str, cache_words: int = 200_000) -> BpeModel:
+    return BpeModel(path, cache_words=cache_words)
 
 
-def _encoded(model: BpeModel, text: str, keep: bool, digests: bool) -> tuple:
-    """The ids as an array, if they are kept, and their number and the digests of them and of what
-    they decode to, if those are wanted."""
-    kept, ids, decoded, n = array("i"), hashlib.sha256(), hashlib.sha256(), 0
+def _encoded(model: BpeModel, text: str, kept: array | None, digests: bool) -> tuple:
+    """The number of ids, which are added to kept, and the digests of them and of what they decode to,
+    if those are wanted."""
+    ids, decoded, n = hashlib.sha256(), hashlib.sha256(), 0
     decoder = Decoder(model)
     for got in model.encode(text):
         if got:
             found = list(chain.from_iterable([g[1] for g in got]))
-            if keep:
+            if kept is not None:
                 kept.extend(found)
             if digests:
                 ids.update(((" " if n else "") + " ".join([g[0] for g in got])).encode())
@@ -390,28 +390,37 @@ def _encoded(model: BpeModel, text: str, keep: bool, digests: bool) -> tuple:
             n += len(found)
     if digests:
         decoded.update(decoder.close().encode())
-    return (np.frombuffer(kept, np.int32),) * keep + (n, ids.hexdigest(), decoded.hexdigest()) * digests
+    return (n, ids.hexdigest(), decoded.hexdigest()) if digests else (n,)
 
 
-def encode(docs: DataFrame, text: str = "text", path: str | None = None, ids: bool = True, digests: bool = False) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", path: str | None = None, ids: bool = True, digests: bool = False, cache_words: int = 200_000) -> DataFrame:
     """Adds ``token_ids`` (array of int) if ids is set, and n_tokens, ids_sha256 and decoded_sha256 if
     digests is. Null texts give an empty array. Without ids the tokens are hashed while they
-    stream out, and those of a text are never held as a whole."""
+    stream out, and those of a text are never held as a whole. cache_words: results that a worker
+    remembers, about 0.5 KB each."""
     path = path or tokenizer_path()
-    kinds = [("token_ids", pa.list_(pa.int32()), "array<int>")] * ids
-    kinds += [("n_tokens", pa.int64(), "long"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")] * digests
+    kinds = [("token_ids", "array<int>")] * ids
+    kinds += [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")] * digests
 
-    @F.arrow_udf(", ".join(f"{name} {sql}" for name, _, sql in kinds))
+    @F.arrow_udf(", ".join(f"{name} {sql}" for name, sql in kinds))
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = _model(path)
+        model = _model(path, cache_words)
         try:
             for texts in batches:
-                rows = [_encoded(model, t.as_py() or "", ids, digests) for t in texts]
-                yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind, _) in enumerate(kinds)], [name for name, _, _ in kinds])
+                kept = array("i") if ids else None
+                rows = [_encoded(model, t.as_py() or "", kept, digests) for t in texts]
+                counts = [r[0] for r in rows]
+                columns = []
+                if ids:
+                    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(kept, np.int32) if len(kept) else [], pa.int32())))
+                if digests:
+                    columns += [pa.array(counts, pa.int64()), *(pa.array([r[i] for r in rows], pa.string()) for i in (1, 2))]
+                yield pa.StructArray.from_arrays(columns, [name for name, _ in kinds])
         finally:
             model.forget()
 
-    names = [name for name, _, _ in kinds]
+    names = [name for name, _ in kinds]
     return docs.withColumn("_bpe", encoded(F.col(text))).drop(*names).select("*", "_bpe.*").drop("_bpe")
 
 

@@ -471,6 +471,6 @@ def test_digest_is_of_the_decoded_ids():
     ids = model.encode_ids(text)
     d = bpe.Decoder(model)
     want = "".join([d.feed(i) for i in ids]) + d.close()
-    assert bpe._encoded(model, text, False, True)[2] == hashlib.sha256(want.encode()).hexdigest()
+    assert bpe._encoded(model, text, None, True)[2] == hashlib.sha256(want.encode()).hexdigest()
     model.piece[ids[0]] = "wrong"
-    assert bpe._encoded(model, text, False, True)[2] != hashlib.sha256(want.encode()).hexdigest()
+    assert bpe._encoded(model, text, None, True)[2] != hashlib.sha256(want.encode()).hexdigest()
