@@ -95,6 +95,7 @@ class SubwordBags:
                 part = SubwordBags(self.buckets, self.dim, self.window, self.smallest, self.largest).fit([texts[i] for i in rest], y[rest].tolist(), *options)
                 if part.prior is None:
                     z[own] = [part.logit(texts[i]) for i in own]
+                    part.cache.forget()
             self.fit(texts, labels, *options)
             self.scale, shift = _platt(z, y, share)
             clean = np.sort(z[y == 0])[::-1]
@@ -249,7 +250,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, max_chars: in
     got = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in whole], "doc_id long")), "doc_id", "left_semi").toPandas().set_index("doc_id").reindex(whole)
     drop_tables(docs.sparkSession, rows)
     texts, classes = got["text"].tolist(), got["toxic"].astype(int).tolist()
-    return SubwordBags().fit(texts, classes, **options)
+    model = SubwordBags().fit(texts, classes, **options)
+    del got, texts, classes
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: SubwordBags, text: str = "text", threshold: float = 0.5) -> DataFrame:
