@@ -276,3 +276,28 @@ def test_has_field(spark):
 
     df = spark.range(1).select(F.struct(F.lit(1).alias("x")).alias("s"))
     assert has_field(df, "s.x") and not has_field(df, "s.y") and not has_field(df, "t") and not has_field(df, "s.x.z")
+
+
+def test_pairs_of_groups_match_all_pairs(spark):
+    found = [(i // 30, i % 7, 40 * (i % 3), 10 * (i % 4)) for i in range(90)]
+    rows = [(g, i, x, y, x + 39, y + 39) for i, (g, _, x, y) in enumerate(found)] + [(0, 0, 0, 0, 39, 39), (None, 91, 0, 0, 39, 39), (None, 92, 0, 0, 39, 39)]
+    df = spark.createDataFrame(rows, "g int, det_id long, x1 int, y1 int, x2 int, y2 int")
+    share = lambda a, b: F.round(G.overlap_of_first(a, b), 6).alias("share")
+    side = lambda s: df.select("g", F.col("det_id").alias(s), G.box().alias(f"box_{s}"))
+    want = sorted(map(tuple, side("a").join(side("b"), "g").filter("a <> b").select("a", "b", share(F.col("box_a"), F.col("box_b"))).collect()))
+    for block, blocks in ((2, 3), (5, 1), (1024, 8)):
+        got = S.pairs_of_groups(df, ["g"], share, block=block, blocks=blocks, ids=20)
+        assert got.columns == ["a", "b", "share"] and sorted(map(tuple, got.collect())) == want
+    assert S.pairs_of_groups(df.limit(0), ["g"], share).count() == 0
+
+
+def test_pairwise_overlap_own_takes_little_room(spark, tmp_path):
+    from lodemine.plans import catalogue
+
+    n = 2000
+    events = spark.range(n).select((F.col("id") * 100).alias("event_id"), F.lit(0).cast("long").alias("user_id"), F.lit(0.0).alias("value"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    catalogue.QUERIES["pairwise_overlap_own"](spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == n * (n - 1)
+    taken = sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet"))
+    assert taken < 0.25 * n * (n - 1)
