@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodemine.llm import ann, bpe, chat, html, langid, mixing, neardup, secrets, topk, toxicity
+from lodemine.llm import ann, bpe, chat, html, langid, mixing, neardup, pii, secrets, topk, toxicity
 
 QUERIES = {
     "op1_html": html.op1_html,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_neardup": neardup.op8_neardup,
     "op9_bpe": bpe.op9_bpe,
     "op10_chat": chat.op10_chat,
+    "op13_pii": pii.op13_pii,
 }
 ORACLES = {
     "op1_html": html.OP1_SQL,
     "op2_topk": topk.OP2_SQL,
     "op3_secrets": secrets.OP3_SQL,
     "op10_chat": chat.OP10_SQL,
+    "op13_pii": pii.OP13_SQL,
 }
