@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodemine.llm import ann, bpe, chat, html, langid, mixing, neardup, pii, secrets, topk, toxicity
+from lodemine.llm import ann, bpe, chat, codes, html, langid, lexical, mixing, neardup, pii, secrets, topk, toxicity
 
 QUERIES = {
     "op1_html": html.op1_html,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_neardup": neardup.op8_neardup,
     "op9_bpe": bpe.op9_bpe,
     "op10_chat": chat.op10_chat,
+    "op11_lexical": lexical.op11_lexical,
+    "op12_vector_codes": codes.op12_vector_codes,
     "op13_pii": pii.op13_pii,
 }
 ORACLES = {
@@ -22,5 +24,7 @@ ORACLES = {
     "op2_topk": topk.OP2_SQL,
     "op3_secrets": secrets.OP3_SQL,
     "op10_chat": chat.OP10_SQL,
+    "op11_lexical": lexical.OP11_SQL,
+    "op12_vector_codes": codes.OP12_SQL,
     "op13_pii": pii.OP13_SQL,
 }
