@@ -27,10 +27,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates the document with the smallest doc_id stays. Rows that
-    repeat a doc_id are one document, of which the first by its columns stays; rows without one
-    stay."""
+    repeat a doc_id are one document, of which the first by its columns, nulls first, stays; rows
+    without one stay."""
     kept = neardup.near_duplicates(docs.select("doc_id", "text")).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    stay = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    stay = rows.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("_first")).select("_first.*")
     return stay.unionByName(docs.select(*COLUMNS).filter("doc_id IS NULL"))
 
 
