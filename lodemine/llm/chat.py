@@ -128,10 +128,17 @@ def locate_spans(turns: list[Turn], render: Render, window: int | None = None) -
 
 def ordered(conversations: DataFrame) -> DataFrame:
     """The turns of a conversation one after another in one partition, without collecting them."""
-    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    # as text, which unlike whole numbers stays what it is beside nulls
+    rows = conversations.select(F.col("conv_id").cast("string"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text")
 
 
+def _as_given(conversations: DataFrame, rows, schema: str) -> DataFrame:
+    """The rows of the conversations in order, with conv_id in its own type again."""
+    out = ordered(conversations).mapInPandas(rows, schema)
+    return out.withColumn("conv_id", F.col("conv_id").cast(conversations.schema["conv_id"].dataType))
+
+
 def format_turns(conversations: DataFrame, template: InstTemplate | None = None, window: int | None = None, role: str = "assistant") -> DataFrame:
     """A row per turn: conv_id, position long, role, start, end (code points in the conversation's
     output), formatted, loss_start, loss_end (of the text under the loss mask; null otherwise)."""
@@ -141,8 +148,8 @@ def format_turns(conversations: DataFrame, template: InstTemplate | None = None,
         now, finder = object(), None
         for pdf in batches:
             out = []
-            for c, r, t in zip(pdf["conv_id"].to_numpy(dtype=object), pdf["role"], pdf["text"]):
-                key = None if pd.isna(c) else int(c)
+            for c, r, t in zip(pdf["conv_id"], pdf["role"], pdf["text"]):
+                key = None if pd.isna(c) else c
                 if finder is None or key != now:
                     now, finder = key, SpanFinder(template, window)
                 s = finder.add((r, t))
@@ -152,9 +159,9 @@ def format_turns(conversations: DataFrame, template: InstTemplate | None = None,
                 mask = (s.start + a, s.start + b) if r == role else (None, None)
                 out.append((key, s.turn, r, s.start, s.end, s.text, *mask))
             frame = pd.DataFrame(out, columns=["conv_id", "position", "role", "start", "end", "formatted", "loss_start", "loss_end"])
-            yield frame.astype({"conv_id": "Int64", "loss_start": "Int64", "loss_end": "Int64"})
+            yield frame.astype({"loss_start": "Int64", "loss_end": "Int64"})
 
-    return ordered(conversations).mapInPandas(rows, "conv_id long, position long, role string, start long, end long, formatted string, loss_start long, loss_end long")
+    return _as_given(conversations, rows, "conv_id string, position long, role string, start long, end long, formatted string, loss_start long, loss_end long")
 
 
 def format_digests(conversations: DataFrame, template: InstTemplate | None = None, window: int | None = None) -> DataFrame:
@@ -172,8 +179,8 @@ def format_digests(conversations: DataFrame, template: InstTemplate | None = Non
 
         for pdf in batches:
             out = []
-            for c, r, t in zip(pdf["conv_id"].to_numpy(dtype=object), pdf["role"], pdf["text"]):
-                key = None if pd.isna(c) else int(c)
+            for c, r, t in zip(pdf["conv_id"], pdf["role"], pdf["text"]):
+                key = None if pd.isna(c) else c
                 if finder is None or key != now:
                     out += done()
                     now, finder, turns, loss, chars = key, SpanFinder(template, window), hashlib.sha256(), hashlib.sha256(), 0
@@ -186,11 +193,11 @@ def format_digests(conversations: DataFrame, template: InstTemplate | None = Non
                     loss.update(back_text.encode())
                     chars += len(back_text)
             if out:
-                yield pd.DataFrame(out, columns=columns).astype({"conv_id": "Int64"})
+                yield pd.DataFrame(out, columns=columns)
         if last := done():
-            yield pd.DataFrame(last, columns=columns).astype({"conv_id": "Int64"})
+            yield pd.DataFrame(last, columns=columns)
 
-    return ordered(conversations).mapInPandas(rows, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return _as_given(conversations, rows, "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

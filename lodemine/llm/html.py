@@ -12,8 +12,10 @@ mark inside the region lowers them. Content outside the region is kept; on pages
 so are the blocks between it and the region and the headings right before.
 
 Never read: what HTML itself sets apart from the content (nav, footer, aside, a header outside the
-article, forms and their fields, dialogs, scripts, styles, media fallbacks), hidden elements, and,
-where an article or main element exists, marked elements outside it.
+article, forms, dialogs, scripts, styles, media fallbacks), hidden elements, and, where an article or
+main element exists, marked elements outside it. A form is a wrapper, and is read but for its fields,
+labels and buttons, if it holds an article or main element, or on pages without one most of what
+stands in paragraphs (in blocks, where there are no paragraphs).
 
 A null or empty page gives the empty text. Broken markup is read as browsers do: a block's start
 ends an open paragraph, stray quotes belong to attribute names or values, a tag goes up to its ``>``;
@@ -40,7 +42,8 @@ from lodemine.llm.common import read
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes template noscript".split())
-SKIP = frozenset("head nav footer aside form script style noscript iframe template button select textarea option input dialog menu svg math object canvas audio video map title xmp noembed noframes".split())
+SKIP = frozenset("head nav footer aside script style noscript iframe template button select textarea option input dialog menu svg math object canvas audio video map title xmp noembed noframes".split())
+FIELDS = frozenset("label legend fieldset output datalist progress meter".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ENDS_INLINE = ENDS_P | {"li", "td", "th", "body"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -93,6 +96,7 @@ class _Open(NamedTuple):
     node: int  # the element itself, of an inline element the one around it
     never: bool  # inside an element that is never read
     apart: bool  # inside an element that HTML sets apart
+    form: int  # the outermost form around it; 0: none
 
 
 class Node(NamedTuple):
@@ -107,24 +111,27 @@ def _blocks(page: str) -> tuple[list[tuple[str, int]], list[Node]]:
     """Blocks in page order as (text, node), and the element tree in page order."""
     nodes = [Node(-1, "", 1.0, 0, 0)]
     paths: dict[tuple[int, str, bool], int] = {}
-    stack = [_Open("", 0, False, False)]
+    stack = [_Open("", 0, False, False, 0)]
     places: dict[str, list[int]] = defaultdict(list)  # of each tag's open elements on the stack
     blocks: list[tuple[str, int]] = []
+    forms: list[int] = []  # of each block
+    n_forms, holders = 0, set()  # the forms (0: none) that article and main elements stand in
     parts: list[str] = []
-    owner = 0
+    owner = form_of = 0
 
     def flush() -> None:
         if parts:
             text = " ".join(_html.unescape("".join(parts)).split())
             if text:
                 blocks.append((text, owner))
+                forms.append(form_of)
             parts.clear()
 
     def text(raw: str) -> None:
-        nonlocal owner
+        nonlocal owner, form_of
         if raw and not stack[-1].never:
             if not parts:
-                owner = stack[-1].node
+                owner, form_of = stack[-1].node, stack[-1].form
             parts.append(raw)
 
     def push(element: _Open) -> None:
@@ -195,8 +202,11 @@ def _blocks(page: str) -> tuple[list[tuple[str, int]], list[Node]]:
         above = stack[-1]
         parent = nodes[above.node]
         own = _weight(tag, m[3])
-        apart = above.apart or tag in SKIP or tag == "header" and not parent.article
-        never = above.never or apart or not own
+        form = above.form
+        if tag == "form" and not form:
+            form = n_forms = n_forms + 1
+        apart = above.apart or tag in SKIP or form and tag in FIELDS or tag == "header" and not parent.article
+        never = bool(above.never or apart or not own)
         if tag in RAW:
             lower = lower if lower is not None else page.translate(_lower)
             stop = lower.find("</" + tag, at)
@@ -205,7 +215,7 @@ def _blocks(page: str) -> tuple[list[tuple[str, int]], list[Node]]:
         if m[3].rstrip().endswith("/") and tag in ("svg", "math"):
             continue
         if tag in INLINE:
-            push(_Open(tag, above.node, never, apart))
+            push(_Open(tag, above.node, never, apart, form))
             continue
         inside = tag in ("article", "main")
         weight = parent.weight * own
@@ -214,8 +224,18 @@ def _blocks(page: str) -> tuple[list[tuple[str, int]], list[Node]]:
             weight = ARTICLE * (own if tag == "main" else weight)
         path = paths.setdefault((parent.path, tag, own < 1), len(paths) + 1)
         nodes.append(Node(above.node, tag, weight, path, len(nodes) if inside else parent.article))
-        push(_Open(tag, len(nodes) - 1, never, apart))
+        if inside and own == 1 and not never:
+            holders.add(form)
+        push(_Open(tag, len(nodes) - 1, never, apart, form))
     flush()
+    if n_forms:
+        in_p = [nodes[n].tag == "p" for _, n in blocks]
+        counted = in_p if any(in_p) else [True] * len(blocks)
+        chars = [0] * (n_forms + 1)
+        for (t, _), f, c in zip(blocks, forms, counted):
+            chars[f] += len(t) * c
+        read_too = holders if holders else {f for f, c in enumerate(chars) if 2 * c > sum(chars)}
+        blocks = [b for b, f in zip(blocks, forms) if not f or f in read_too]
     return blocks, nodes
 
 

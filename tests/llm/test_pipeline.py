@@ -37,6 +37,15 @@ def test_near_duplicates_go(spark, sf, docs):
     assert sorted(ids, key=lambda i: i or 0) == [None, 1, 3, 4, 5, 6]
 
 
+def test_the_first_text_of_a_repeated_id_stays(spark, sf):
+    rows = [(7, f"{n:03d} text number {n} with words of its own {n * n}", "en", "a", n) for n in range(400)]
+    rows += [(8, None, "en", "a", 1), (8, "some text of document eight", "en", "a", 1)]
+    for seed in (1, 2):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(7).orderBy(F.rand(seed))
+        got = {r.doc_id: r.text for r in P.drop_near_duplicates(spark, docs, sf).collect()}
+        assert got == {7: rows[0][1], 8: None}
+
+
 def test_secrets_are_masked(spark, sf, docs):
     got = {r.doc_id: r for r in P.mask_secrets(spark, docs, sf).collect()}
     assert got[3].text == "my [SECRET] and more words here" and got[3].n_chars == len(got[3].text)

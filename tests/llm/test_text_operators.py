@@ -61,6 +61,27 @@ def test_malformed_and_marked_pages(page, want):
     assert html.main_text(page) == want
 
 
+LONG = "A sentence of the article, which has a few commas, and goes on for a while."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<body><form><article><p>{LONG}</p></article></form></body>", [LONG]),
+        (f"<form id=f><nav>menu</nav><label>Name <input></label><main><h1>Head</h1><p>{LONG}</p><button>Send</button><fieldset><legend>l</legend><p>field</p></fieldset></main></form>", ["Head", LONG]),
+        (f"<body><form><div><p>{LONG}</p><p>{LONG}</p><select><option>x</option></select></div></form></body>", [LONG, LONG]),
+        (f"<body><form><div>{LONG}</div></form></body>", [LONG]),
+        (f"<body><article><p>short.</p></article><form><p>{LONG}</p></form></body>", ["short."]),
+        (f"<body><div><p>{LONG}</p><p>{LONG}</p></div><form><p>Write to us, please, and tell us who you are.</p></form></body>", [LONG, LONG]),
+        (f"<form><article class=comment><p>mine</p></article></form><main><p>{LONG}</p></main>", [LONG]),
+        (f"<form><form><article><p>{LONG}</p></article></form></form>", [LONG]),
+        ("<form></form>", []),
+    ],
+)
+def test_forms_around_the_page_are_read(page, want):
+    assert html.main_text(page) == "\n\n".join(want)
+
+
 def test_ratios_decide(monkeypatch):
     part = "A long part of the story, told at length, with all its turns; and more, as it goes. " * 3
     links = "".join(f"<li>Link {i}</li>" for i in range(12))
@@ -288,6 +309,17 @@ def test_chat_rows(spark, sf):
     assert own.n_turns == 2 and own.loss_chars == len("</s>[INST] ok [/INST]")
 
 
+def test_large_ids_beside_a_null_one(spark):
+    big = [2**60 + 1, 2**60 + 2, -(2**62) - 1, None]
+    rows = [(c, k, "user" if k % 2 else "assistant", f"{c} {k}") for c in big for k in range(2)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(1)
+    got = chat.format_digests(df)
+    assert got.schema["conv_id"].dataType.simpleString() == "bigint"
+    assert {r.conv_id: r.n_turns for r in got.collect()} == dict.fromkeys(big, 2)
+    turns = chat.format_turns(df).collect()
+    assert sorted(str(r.conv_id) for r in turns) == sorted(str(c) for c in big * 2)
+
+
 # -- language
 
 
