@@ -142,14 +142,15 @@ p AS (SELECT a.patch_id, a.imidx AS own, b.imidx, b.patch_id AS target_id, list_
 nn AS (SELECT patch_id, own, imidx, dist, target_id FROM (SELECT *, row_number() OVER (PARTITION BY patch_id, imidx ORDER BY dist, target_id) AS k FROM p) WHERE k = 1)"""
 
 
-def _nearest(spark: Session, sf: str) -> DataFrame:
+def _nearest(spark: Session, sf: str, k: int | None = None) -> DataFrame:
     p = patches(spark, sf)
-    return N.nearest_per_image(p.filter("is_pos").select("patch_id", "feat"), p.select(F.col("patch_id").alias("target_id"), "imidx", "feat"))
+    return N.nearest_per_image(p.filter("is_pos").select("patch_id", "feat"), p.select(F.col("patch_id").alias("target_id"), "imidx", "feat"), k=k)
 
 
-def _without_own(spark: Session, sf: str) -> DataFrame:
+def _without_own(spark: Session, sf: str, k: int) -> DataFrame:
+    """At least the k nearest images besides the patch's own."""
     own = patches(spark, sf).select("patch_id", F.col("imidx").alias("own"))
-    return _nearest(spark, sf).join(own, "patch_id").filter("imidx <> own")
+    return _nearest(spark, sf, k + 1).join(own, "patch_id").filter("imidx <> own")
 
 
 @query(NN + " SELECT patch_id, imidx, round(dist, 9) AS dist, target_id FROM nn", "patches")
@@ -163,7 +164,7 @@ topn AS (SELECT t.*, im.is_pos FROM t JOIN (SELECT DISTINCT imidx, is_pos FROM p
 
 @query(TOPN + " SELECT patch_id, nn_rank, imidx, is_pos, round(dist, 9) AS dist FROM topn", "patches")
 def topk_neighbors(spark, sf):
-    top = N.with_labels(N.top_images(_without_own(spark, sf), 20), images(spark, sf))
+    top = N.with_labels(N.top_images(_without_own(spark, sf, 20), 20), images(spark, sf))
     return top.select("patch_id", "nn_rank", "imidx", "is_pos", _R(F.col("dist"), 9).alias("dist"))
 
 
@@ -173,7 +174,7 @@ SELECT patch_id, purity, CAST(row_number() OVER (ORDER BY purity DESC, patch_id)
     "patches",
 )
 def cluster_purity_rank(spark, sf):
-    return N.purity_rank(N.with_labels(N.top_images(_without_own(spark, sf), 20), images(spark, sf)), 20)
+    return N.purity_rank(N.with_labels(N.top_images(_without_own(spark, sf, 20), 20), images(spark, sf)), 20)
 
 
 @query(

@@ -62,7 +62,7 @@ class MiningJob:
                 near = P.nearest_in_images(self.rasters, centers, self.params.pyramid, self.params.detection.min_gradient)
                 near = near.withColumn("target_id", F.xxhash64("imidx", "level", "cy", "cx"))
             else:
-                near = N.nearest_per_image(centers, p.select(F.col("patch_id").alias("target_id"), "imidx", "feat"))
+                near = N.nearest_per_image(centers, p.select(F.col("patch_id").alias("target_id"), "imidx", "feat"), k=self.params.neighbours + 1)
             top = N.top_images(near.join(own, "patch_id").filter("imidx <> own").drop("own"), self.params.neighbours)
             if self.rasters is None:
                 top = top.join(p.select(F.col("patch_id").alias("target_id"), "x1", "y1", "x2", "y2"), "target_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,3 +29,12 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/lodemine/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(*frames: DataFrame) -> None:
+    """Deletes the files behind settled tables that nothing reads any more."""
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        for folder in {m[0] for f in df.inputFiles() if (m := re.match(r".*/lodemine/round-[0-9a-f]{32}(?=/)", f))}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lodemine.functions import geometry as G
 from lodemine.operators import clusters as C
 from lodemine.operators import suppress as S
+from lodemine.operators import neighbours as N
 from lodemine.operators.neighbours import nearest_per_image, standardise_rows
 
 
@@ -66,6 +67,62 @@ def test_nearest_over_many_blocks(spark):
     assert nearest_per_image(c, t.limit(0)).count() == 0
 
 
+def _clustered(spark, n, images, rng, dims=12, groups=6):
+    at = rng.normal(size=(groups, dims)) * 40
+    home = rng.integers(0, groups, images)  # an image has targets of two groups
+    image = rng.integers(0, images, n)
+    of = np.where(rng.random(n) < 0.5, home[image], (home[image] + 1) % groups)
+    y = at[of] + rng.normal(size=(n, dims))
+    return at, y, image, spark.createDataFrame([(i, int(k), v.tolist(), "x") for i, (k, v) in enumerate(zip(image, y))], "target_id long, imidx int, feat array<double>, dist string")
+
+
+@pytest.mark.parametrize("k", [None, 3])
+def test_pivots_rule_out_blocks_and_lose_nothing(spark, k):
+    rng = np.random.default_rng(8)
+    at, y, image, t = _clustered(spark, 4000, 20, rng)
+    x = at[rng.integers(0, len(at), 150)] + rng.normal(size=(150, at.shape[1]))
+    c = spark.createDataFrame([(i, v.tolist(), 3) for i, v in enumerate(x)], "patch_id long, feat array<double>, imidx int")
+    counts = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    rows = nearest_per_image(c, t, 16, 500, standardise=False, k=k, counts=counts).collect()
+    d = ((x[:, None] - y[None]) ** 2).sum(2)
+    want = []
+    for i in range(len(x)):
+        own = sorted((min((d[i, j], j) for j in np.flatnonzero(image == m)), m) for m in range(20))
+        want += [(i, m, j) for (_, j), m in sorted(own, key=lambda o: (o[0][0], o[1]))[:k]]
+    assert sorted((r.patch_id, r.imidx, r.target_id) for r in rows) == sorted(want)
+    assert all(r.dist == pytest.approx(d[r.patch_id, r.target_id], abs=1e-9) for r in rows)
+    looked, multiplied = counts[0].value, counts[1].value
+    assert looked == 150 * 4000 and multiplied < (0.3 if k else 0.6) * looked, (looked, multiplied)
+
+
+def test_whole_blocks_are_skipped():
+    rng = np.random.default_rng(4)
+    pivots = np.array([[0.0, 0.0], [100.0, 0.0]])
+    near, far = rng.normal(size=(600, 2)), rng.normal(size=(600, 2)) + pivots[1]
+    c = N.Centres.of(np.arange(300), rng.normal(size=(300, 2)), pivots)
+    best, at = np.full(300, np.inf), np.full(300, -1, np.int64)
+    pairs = N.nearest_of_image(c, np.arange(1200), np.concatenate([near, far]), pivots, best, at)
+    assert pairs[0] == 300 * 1200 and pairs[1] <= 300 * 600 and (at < 600).all()
+    # nothing of an image beyond the bound is touched
+    assert N.nearest_of_image(c, np.arange(600), far, pivots, np.full(300, np.inf), at.copy(), best)[1] == 0
+
+
+def test_nearest_in_groups_of_centres_and_with_a_hot_image(spark):
+    rng = np.random.default_rng(2)
+    y = rng.normal(size=(900, 5)).round(1)
+    image = np.where(rng.random(900) < 0.5, 0, rng.integers(1, 9, 900))
+    x = np.concatenate([y[:20], rng.normal(size=(40, 5)).round(1)])
+    c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(None, [1.0] * 5), (77, None)], "patch_id long, feat array<double>")
+    rows = [(i, int(k), v.tolist()) for i, (k, v) in enumerate(zip(image, y))]
+    t = spark.createDataFrame(rows + [(1000, 3, None), (1001, None, [0.0] * 5), (None, 3, [0.0] * 5)] + rows[:5], "target_id long, imidx int, feat array<double>")
+    d = ((x[:, None] - y[None]) ** 2).sum(2)
+    want = {(i, m): min((round(d[i, j], 9), j) for j in np.flatnonzero(image == m)) for i in range(60) for m in range(9)}
+    for group_bytes in (1 << 25, 800):
+        got = nearest_per_image(c, t, 16, 64, standardise=False, group_bytes=group_bytes).collect()
+        assert {(r.patch_id, r.imidx): round(r.dist, 9) for r in got} == {k: v[0] for k, v in want.items()} and len(got) == 540
+    assert nearest_per_image(c.limit(0), t).count() == nearest_per_image(c, t.limit(0), k=3).count() == 0
+
+
 def test_greedy_acceptance(spark):
     rng = np.random.default_rng(5)
     pairs = sorted({tuple(sorted(map(int, rng.integers(0, 30, 2)))) for _ in range(60)})
