@@ -12,23 +12,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodemine.functions.geometry import box, iou
+from lodemine.operators.tiles import overlapping
 from lodemine.sources.rounds import settle
 
 
 def _pairs(boxes: DataFrame, cluster: str, rank: str) -> DataFrame:
-    """Boxes of a later cluster (b) and an earlier one (a) on the same image, with their IoU."""
-    side = lambda s: boxes.select(F.col(cluster).alias(s), F.col(rank).alias(f"rank_{s}"), F.col("det_id").alias(f"det_{s}"), "imidx", box().alias(f"box_{s}"))
-    return side("b").join(side("a"), "imidx").filter("rank_a < rank_b").withColumn("iou", iou(F.col("box_a"), F.col("box_b")))
+    """Boxes of a later cluster (b) that overlap one of an earlier cluster (a) on the same image, with
+    their IoU."""
+    rows = boxes.select("imidx", F.col(cluster).alias("cluster"), F.col(rank).alias("rank"), "det_id", box().alias("_box"))
+    met = overlapping(rows, rows, ["imidx"]).filter("a.rank < b.rank")
+    return met.select(F.col("a.cluster").alias("a"), F.col("b.cluster").alias("b"), F.col("b.det_id").alias("det_b"), iou(F.col("a._box"), F.col("b._box")).alias("iou"))
 
 
 def duplicate_pairs(boxes: DataFrame, above: float = 0.2, share: float = 0.1, cluster: str = "detector", rank: str = "detector") -> DataFrame:
     """a, b, hits, boxes, duplicate: how many of b's boxes overlap one of a's by more than above
-    (bins 3 to 10 of ten), and whether that is more than share of b's boxes."""
+    (bins 3 to 10 of ten), and whether that is more than share of b's boxes. A row for each two clusters
+    that have boxes on the same image."""
     best = _pairs(boxes, cluster, rank).groupBy("a", "b", "det_b").agg(F.max("iou").alias("iou"))
     bin_ = F.greatest(F.ceil(F.col("iou") * 10), F.lit(1))
     hits = best.groupBy("a", "b").agg(F.sum(F.when(bin_ >= round(above * 10) + 1, 1).otherwise(0)).alias("hits"))
+    side = lambda s: boxes.select("imidx", F.col(cluster).alias(s), F.col(rank).alias(f"rank_{s}")).distinct()
+    together = side("a").join(side("b"), "imidx").filter("rank_a < rank_b").select("a", "b").distinct()
     sizes = boxes.groupBy(F.col(cluster).alias("b")).agg(F.count("*").alias("boxes"))
-    return hits.join(sizes, "b").withColumn("duplicate", F.col("hits") > F.lit(share) * F.col("boxes"))
+    counted = together.join(hits, ["a", "b"], "left").withColumn("hits", F.coalesce("hits", F.lit(0).cast("long")))
+    return counted.join(sizes, "b").select("b", "a", "hits", "boxes").withColumn("duplicate", F.col("hits") > F.lit(share) * F.col("boxes"))
 
 
 def overlap_counts(boxes: DataFrame, above: float = 0.3, cluster: str = "detector", rank: str = "detector") -> DataFrame:

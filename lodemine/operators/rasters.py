@@ -95,7 +95,8 @@ def detect(images: DataFrame, detectors: DataFrame, params: PyramidParams = Pyra
 
     found = images.select("imidx", "raster", "nrows", "ncols").mapInPandas(rows, f"detector long, imidx int, decision double, level int, cy int, cx int, {BOX}")
     found = found.withColumn("det_id", F.xxhash64("detector", "imidx", "level", "cy", "cx"))
-    return suppress_own_area(found, detection.overlap)
+    # a detector's windows of one image, which one task has just made
+    return suppress_own_area(found, detection.overlap, most=None)
 
 
 def synthetic_images(spark: SparkSession, images: DataFrame, nrows: int = 96, ncols: int = 128) -> DataFrame:

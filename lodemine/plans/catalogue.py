@@ -237,15 +237,10 @@ IOU = """WITH g AS (SELECT a.det_id AS a, b.det_id AS b,
   FROM detections a JOIN detections b ON a.detector = b.detector AND a.imidx = b.imidx AND a.det_id {op} b.det_id)"""
 
 
-def _box_pairs(spark: Session, sf: str) -> DataFrame:
-    d = detections(spark, sf).select("detector", "imidx", "det_id", G.box().alias("box"))
-    a, b = (d.select("detector", "imidx", F.col("det_id").alias(s), F.col("box").alias(f"box_{s}")) for s in "ab")
-    return a.join(b, ["detector", "imidx"])
-
-
 @query(IOU.format(op="<") + " SELECT a, b, round(i / CAST(sa + sb - i AS DOUBLE), 6) + 0.0 AS iou FROM g", "detections")
 def pairwise_iou(spark, sf):
-    return _box_pairs(spark, sf).filter("a < b").select("a", "b", _R(G.iou(F.col("box_a"), F.col("box_b"))).alias("iou"))
+    of = lambda a, b: _R(G.iou(a, b)).alias("iou")
+    return S.pairs_of_groups(detections(spark, sf), ["detector", "imidx"], of).filter("a < b")
 
 
 @query(IOU.format(op="<>") + " SELECT a, b, round(i / CAST(sa AS DOUBLE), 6) + 0.0 AS share FROM g", "detections")
@@ -256,7 +251,7 @@ def pairwise_overlap_own(spark, sf):
 
 @query(IOU.format(op="<") + " SELECT CAST(greatest(ceil(i / CAST(sa + sb - i AS DOUBLE) * 10), 1) AS INT) AS bin, count(*) AS n FROM g GROUP BY 1", "detections")
 def iou_histogram(spark, sf):
-    return _box_pairs(spark, sf).filter("a < b").select(L.ten_bins(G.iou(F.col("box_a"), F.col("box_b"))).alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
+    return S.iou_bins(detections(spark, sf), ["detector", "imidx"])
 
 
 @query(
