@@ -452,3 +452,41 @@ def test_queries_match_sql(spark, sf, name):
     at = [want.columns.index(k) for k in order]
     assert mine == sorted(tuple(r[i] for i in at) for r in want.fetchall())
     assert hashlib
+
+
+def test_waves_pass_on_few_rows(spark, monkeypatch):
+    """What tasks pass on grows with queries x k x waves, not with the number of tasks."""
+    from lodemine.llm import vectors
+
+    assert vectors.waves(1) == [1.0] and vectors.waves(4) == [0.25, 1.0] and vectors.waves(64) == [1 / 64, 1 / 16, 1 / 4, 1.0]
+    rng = np.random.default_rng(6)
+    x = np.floor(rng.normal(size=(6000, 8)) * 50)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(3, x[3].tolist()), (5, [0.5] * 8), (7, [1.0] * 5), (8, [2.0] * 5)]
+    df = usable(spark.createDataFrame(rows, "vec_id long, v array<double>"), "v", "vec_id")
+    passed, frame = [], type(df)
+    run = frame.mapInArrow
+
+    def counted(self, f, schema):
+        out = run(self, f, schema)
+        passed.append((out.rdd.getNumPartitions(), out.count()))
+        return out
+
+    monkeypatch.setattr(frame, "mapInArrow", counted)
+    for name in ("maxPartitionBytes", "openCostInBytes"):  # a task for each file
+        spark.conf.set(f"spark.sql.files.{name}", "4096")
+    x[5] = np.minimum.reduce([x[5], np.full(8, 0.5)]) if tuple(x[5]) < (0.5,) * 8 else 0.5
+    whole = np.floor(x)
+    total = {}
+    for block_rows in (6000, 150):
+        got, passed[:] = {}, []
+        for r in topk.top_k(df.filter("vec_id % 50 = 0"), df, k=4, scale=1.0, block_rows=block_rows).collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+        for q in range(0, 6000, 50):
+            scores = whole @ whole[q]
+            best = sorted((i for i in range(6000) if i != q), key=lambda i: (-scores[i], i))[:4]
+            assert sorted(got[q]) == [(n + 1, i, int(scores[i])) for n, i in enumerate(best)]
+        total[block_rows] = sum(n for _, n in passed)
+    for name in ("maxPartitionBytes", "openCostInBytes"):
+        spark.conf.unset(f"spark.sql.files.{name}")
+    tasks = sum(n for n, _ in passed)
+    assert tasks > 40 and total[150] < 0.3 * tasks * 120 * 4 and total[150] < 3 * total[6000], (tasks, total)
