@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -66,6 +67,30 @@ def windows(level: Level, size: int, min_gradient: float | None = None) -> tuple
     return f, g, y, x
 
 
+def scores(level: Level, size: int, weights: np.ndarray, min_gradient: float | None = None, block: int = 128) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """weights: rows as windows() orders features. For blocks of them: the first row's number, and the
+    products with each window, and the windows' rows and columns, as ``windows() @ weights.T``.
+
+    No window is made: at each place of a window all cells are multiplied at once, as each cell is in
+    up to size x size windows, and the products are added up, shifted to the windows' corners."""
+    rows, cols = (n - size + 1 for n in level.cells.shape[:2])
+    if rows <= 0 or cols <= 0:
+        return
+    x, y = (a.ravel() for a in np.meshgrid(np.arange(cols), np.arange(rows), indexing="ij"))
+    if min_gradient is not None:
+        keep = sliding_window_view(level.gradient, (size, size)).mean((2, 3))[y, x] >= min_gradient
+        x, y = x[keep], y[keep]
+    height, width, channels = level.cells.shape
+    cells = np.ascontiguousarray(level.cells).reshape(-1, channels)
+    for at in range(0, len(weights), block):
+        w = weights[at : at + block].reshape(-1, channels, size, size)  # detector, channel, dx, dy
+        total = np.zeros((rows, cols, len(w)))
+        for dx in range(size):
+            for dy in range(size):
+                total += (cells @ w[:, :, dx, dy].T).reshape(height, width, -1)[dy : dy + rows, dx : dx + cols]
+        yield at, total[y, x], y, x
+
+
 def crop(image: np.ndarray, x1: int, y1: int, x2: int, y2: int, longer_side: int | None = 80) -> np.ndarray:
     """The pixels of an inclusive box, the longer side resized."""
     part = image[y1 : y2 + 1, x1 : x2 + 1]

@@ -19,27 +19,27 @@ def gaussian(size: int, sigma: float) -> np.ndarray:
 
 
 def blur(image: np.ndarray, size: int, sigma: float) -> np.ndarray:
+    """Beyond the border there is nothing. A kernel of even size reaches one pixel further ahead."""
     r = (size - 1) / 2
     g = np.exp(-((np.arange(size) - r) ** 2) / (2 * sigma * sigma))
     g /= g.sum()
-    pad = size // 2
     out = image
     for axis in (0, 1):
-        wide = np.pad(out, [(pad, size - 1 - pad) if a == axis else (0, 0) for a in (0, 1)], mode="edge")
+        wide = np.pad(out, [((size - 1) // 2, size // 2) if a == axis else (0, 0) for a in (0, 1)])
         out = np.apply_along_axis(lambda v: np.convolve(v, g, "valid"), axis, wide)
     return out
 
 
 def distribution(weight: np.ndarray, patch: float) -> np.ndarray:
-    """Of a pixel: the blurred gradient weight, normalised; uniform if there is no gradient."""
-    size = max(3, int(patch) | 1)
-    p = blur(weight, min(size, 2 * min(weight.shape) - 1 | 1), patch / 4)
+    """Of a pixel: the gradient weight blurred with a deviation of a third of the patch, normalised;
+    uniform if there is no gradient."""
+    p = blur(weight, max(1, round(patch)), patch / 3)
     return p / p.sum() if p.sum() > 0 else np.full(weight.shape, 1 / weight.size)
 
 
 def quick_distribution(weight: np.ndarray, patch: float) -> np.ndarray:
     """Of a pixel: its own gradient weight over the sum of the blurred ones; uniform if there is none."""
-    total = blur(weight, min(max(3, int(patch) | 1), 2 * min(weight.shape) - 1 | 1), patch / 3).sum()
+    total = blur(weight, max(1, round(patch)), patch / 3).sum()
     return weight / total if total > 0 else np.full(weight.shape, 1 / weight.size)
 
 

@@ -72,7 +72,7 @@ def with_metadata(patches: DataFrame, images: DataFrame, set_index: int = 0) ->
 
 def detect(images: DataFrame, detectors: DataFrame, params: PyramidParams = PyramidParams(), detection: DetectionParams = DetectionParams(), most_detectors: int = 4096) -> DataFrame:
     """Detections of every window of every image: pyramid, texture filter, scores, threshold in one
-    pass; suppression follows. Detectors are few (their number is checked)."""
+    pass, without making a window's features; suppression follows. Detectors are few (their number is checked)."""
     from lodemine.operators.suppress import suppress_own_area
 
     got = detectors.select("cluster_id", "w", "rho").orderBy("cluster_id").limit(most_detectors + 1).toPandas()
@@ -87,11 +87,11 @@ def detect(images: DataFrame, detectors: DataFrame, params: PyramidParams = Pyra
             for i, r, h, c in zip(pdf["imidx"], pdf["raster"], pdf["nrows"], pdf["ncols"]):
                 p = P.build(_image(r, h, c), params)
                 for k, level in enumerate(p.levels):
-                    f, _, cy, cx = P.windows(level, n, detection.min_gradient)
-                    d = f @ w.T - rho if len(f) else np.zeros((0, len(ids)))
-                    at, which = np.nonzero(d >= detection.threshold)
-                    x1, y1, x2, y2 = _box(cy[at], cx[at], params.cell * level.scale / p.canonical_scale, n, h, c)
-                    yield pd.DataFrame({"detector": ids[which], "imidx": np.full(len(at), i), "decision": d[at, which], "level": np.full(len(at), k), "cy": cy[at], "cx": cx[at], "x1": x1, "y1": y1, "x2": x2, "y2": y2})
+                    for first, d, cy, cx in P.scores(level, n, w, detection.min_gradient):
+                        d = d - rho[first : first + d.shape[1]]
+                        at, which = np.nonzero(d >= detection.threshold)
+                        x1, y1, x2, y2 = _box(cy[at], cx[at], params.cell * level.scale / p.canonical_scale, n, h, c)
+                        yield pd.DataFrame({"detector": ids[first + which], "imidx": np.full(len(at), i), "decision": d[at, which], "level": np.full(len(at), k), "cy": cy[at], "cx": cx[at], "x1": x1, "y1": y1, "x2": x2, "y2": y2})
 
     found = images.select("imidx", "raster", "nrows", "ncols").mapInPandas(rows, f"detector long, imidx int, decision double, level int, cy int, cx int, {BOX}")
     found = found.withColumn("det_id", F.xxhash64("detector", "imidx", "level", "cy", "cx"))

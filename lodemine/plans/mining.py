@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodemine.config import MiningParams
+from lodemine.functions.vectors import decision, doubles
 from lodemine.operators import clusters as C
 from lodemine.operators import neighbours as N
 from lodemine.operators import ranking as R
@@ -24,7 +25,8 @@ from lodemine.operators.relational import anti, semi
 from lodemine.operators.suppress import suppress_iou, suppress_own_area
 from lodemine.plans import report
 from lodemine.sources import images as I
-from lodemine.sources.rounds import settle
+from lodemine.sources.journal import Journal
+from lodemine.sources.rounds import clear, settle
 from lodemine.sources.stages import save, stage
 
 log = logging.getLogger("lodemine")
@@ -123,74 +125,98 @@ class MiningJob:
             rows = M.score(semi(self.patches, batch.select("imidx"), "imidx"), models, n.cull_at)
         return self._features(rows.withColumnRenamed("detector", "cluster_id"), "det_id")
 
-    def train(self, seeds: DataFrame, negatives: DataFrame, pool: DataFrame, name: str) -> DataFrame:
-        """Models of a round: fit, then over growing batches of negative images mine what is
-        scored too high, cull, and fit again."""
+    def _refit(self, models: DataFrame, held: DataFrame | None, seeds: DataFrame, negatives: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Mines what the models score too high on a batch of negative images, culls, and fits again:
+        the models, and the negatives held."""
         n = self.params
-        models = settle(M.fit_clusters(seeds, negatives, c=n.svm_c))
-        ranked = R.global_rank(pool, [F.col("ord").asc()], "_at")
-        total, at, step, held = pool.count(), 0, 0, None
-        while at < total:
-            size = int(n.first_batch * 2 ** (n.batch_growth * step))
-            batch = ranked.filter(F.col("_at").between(at, at + size - 1))
-            mined = self._mine(models, batch)
-            held = settle((mined if held is None else held.unionByName(mined)).dropDuplicates(["cluster_id", "det_id"]))
-            w = models.select("cluster_id", "w", "rho")
-            from lodemine.functions.vectors import decision, doubles
-
-            scored = held.join(w, "cluster_id").select("cluster_id", "det_id", "feat", decision(doubles(F.col("feat")), F.col("w"), F.col("rho")).alias("decision"))
-            held = settle(M.cull_negatives(scored, "cluster_id", n.cull_at, n.cull_near, n.cull_factor).select("cluster_id", "det_id", "feat"))
-            models = settle(M.fit_clusters(seeds, negatives, held.select("cluster_id", "feat"), n.svm_c))
-            at, step = at + size, step + 1
-        return models
+        mined = self._mine(models, batch)
+        mined = settle((mined if held is None else held.unionByName(mined)).dropDuplicates(["cluster_id", "det_id"]))
+        w = models.select("cluster_id", "w", "rho")
+        scored = mined.join(w, "cluster_id").select("cluster_id", "det_id", "feat", decision(doubles(F.col("feat")), F.col("w"), F.col("rho")).alias("decision"))
+        held = settle(M.cull_negatives(scored, "cluster_id", n.cull_at, n.cull_near, n.cull_factor).select("cluster_id", "det_id", "feat"))
+        clear(mined)
+        return M.fit_clusters(seeds, negatives, held.select("cluster_id", "feat"), n.svm_c), held
 
     def detectors(self) -> DataFrame:
         """Runs the rounds: train on one third of the positives, vote on the next, re-seed. A cluster
-        that is voted in for ``iterations`` rounds is finished; one that isn't is dropped."""
+        that is voted in for ``iterations`` rounds is finished; one that isn't is dropped.
+
+        Each fit, each batch of mined negatives and each vote is a step of the journal: a job that is
+        started again goes on after the last one that was committed."""
 
         def make() -> DataFrame:
-            n = self.params
-            order = self.image_order()
-            waiting = [r[0] for r in self.accepted().orderBy("rank").select("cluster_id").collect()]  # at most max_clusters ids
-            seeds = self.seeds()
-            # candidates of positive images are, all in all, of no pattern either
-            initial = self.patches
-            if self.rasters is None:
-                initial = semi(initial, order.filter(F.col("ord") % self.params.seed_every == 0).select("imidx"), "imidx")
-            negatives = settle(initial.select("feat"))
-            active, ages, done, j = [], {}, None, 0
-            own = settle(seeds)
-            while waiting or active:
-                new = waiting[: n.active_clusters - len(active)]
-                waiting = waiting[len(new) :]
-                active += new
-                ages |= {c: 0 for c in new}
-                ids = settle(self.spark.createDataFrame([(c,) for c in active], "cluster_id long"))
-                parts = I.rotation(order, j)
-                models = self.train(semi(own, ids, "cluster_id"), negatives, parts.filter("NOT is_pos AND part = 'train'"), f"round{j}")
-                looked = parts.filter("part = 'validate' OR part = 'train' AND is_pos")
-                seen = settle(self._detect(models, looked, n.detection.threshold).join(parts.select("imidx", "part", "is_pos"), "imidx"))
-                top = R.top_n(seen.filter("is_pos AND part = 'validate'"), n.top_validate)
-                sets = {"train": R.top_n(seen.filter("part = 'train'"), n.top_validate), "validate": top, "all": R.top_n(seen.filter("part = 'validate'"), n.top_all)}
-                kinds = [x.select(F.lit(name).alias("kind"), "detector", "rank", "det_id", "imidx", "is_pos", "decision", "x1", "y1", "x2", "y2") for name, x in sets.items()]
-                save(kinds[0].unionByName(kinds[1]).unionByName(kinds[2]), self.base, f"rounds.r{j}.tops")
-                voted = settle(R.at_least(top.filter(F.col("rank") <= n.top_vote), ["detector"], n.min_votes))
-                kept = {r[0] for r in voted.select("detector").collect()}  # at most active_clusters ids
-                finished = [c for c in active if c in kept and ages[c] + 1 >= n.iterations]
-                if finished:
-                    part = models.filter(F.col("cluster_id").isin(finished)).withColumn("round", F.lit(j))
-                    done = settle(part if done is None else done.unionByName(part))
-                best = R.assign_top(top, n.top_train).filter("cluster_id IS NOT NULL")
-                fresh = self._features(best, "det_id").select("cluster_id", "feat")
-                own = settle(semi(fresh, ids, "cluster_id").unionByName(anti(own, ids, "cluster_id")))
-                log.info("round %d: %d active, %d voted in, %d finished, %d waiting", j, len(active), len(kept), len(finished), len(waiting))
-                active = [c for c in active if c in kept and c not in finished]
-                ages = {c: ages[c] + 1 for c in active}
-                j += 1
-            return done if done is not None else self.spark.createDataFrame([], DETECTOR)
+            journal = Journal(self.spark, self.base, "rounds.journal", self.resume)
+            if journal.state is None:
+                waiting = [r[0] for r in self.accepted().orderBy("rank").select("cluster_id").collect()]  # at most max_clusters ids
+                # candidates of positive images are, all in all, of no pattern either
+                initial = self.patches
+                if self.rasters is None:
+                    initial = semi(initial, self.image_order().filter(F.col("ord") % self.params.seed_every == 0).select("imidx"), "imidx")
+                journal.commit({"round": 0, "step": "fit", "waiting": waiting, "active": [], "ages": {}}, own=self.seeds(), negatives=initial.select("feat"))
+            steps = {"fit": self._fit_step, "mine": self._mine_step, "vote": self._vote_step}
+            while journal.state["step"] != "done":
+                steps[journal.state["step"]](journal, dict(journal.state))
+            return journal.table("done") if "done" in journal else self.spark.createDataFrame([], DETECTOR)
 
         return self._stage("detectors", make)
 
+    def _active(self, state: dict) -> DataFrame:
+        return self.spark.createDataFrame([(c,) for c in state["active"]], "cluster_id long")
+
+    def _fit_step(self, journal: Journal, state: dict) -> None:
+        """Admits waiting clusters and fits the first models of a round."""
+        room = self.params.active_clusters - len(state["active"])
+        new, state["waiting"] = state["waiting"][:room], state["waiting"][room:]
+        state["active"] += new
+        # json has no whole numbers as keys
+        state["ages"] = state["ages"] | {str(c): 0 for c in new}
+        if not state["active"]:
+            journal.commit({"step": "done"})
+            return
+        models = M.fit_clusters(semi(journal.table("own"), self._active(state), "cluster_id"), journal.table("negatives"), c=self.params.svm_c)
+        journal.commit(state | {"step": "mine", "at": 0, "batch": 0}, models=models, held=None)
+
+    def _mine_step(self, journal: Journal, state: dict) -> None:
+        """One batch of negative images; batches grow."""
+        n = self.params
+        pool = I.rotation(self.image_order(), state["round"]).filter("NOT is_pos AND part = 'train'")
+        at, size = state["at"], int(n.first_batch * 2 ** (n.batch_growth * state["batch"]))
+        if at >= pool.count():
+            journal.commit(state | {"step": "vote"})
+            return
+        batch = R.global_rank(pool, [F.col("ord").asc()], "_at").filter(F.col("_at").between(at, at + size - 1))
+        seeds = semi(journal.table("own"), self._active(state), "cluster_id")
+        models, held = self._refit(journal.table("models"), journal.table("held") if "held" in journal else None, seeds, journal.table("negatives"), batch)
+        journal.commit(state | {"at": at + size, "batch": state["batch"] + 1}, models=models, held=held)
+        clear(held)
+
+    def _vote_step(self, journal: Journal, state: dict) -> None:
+        """Detects on the validation images, votes, retires and re-seeds clusters."""
+        n, j, active, ages = self.params, state["round"], state["active"], state["ages"]
+        models, own, ids = journal.table("models"), journal.table("own"), self._active(state)
+        parts = I.rotation(self.image_order(), j)
+        looked = parts.filter("part = 'validate' OR part = 'train' AND is_pos")
+        seen = settle(self._detect(models, looked, n.detection.threshold).join(parts.select("imidx", "part", "is_pos"), "imidx"))
+        top = R.top_n(seen.filter("is_pos AND part = 'validate'"), n.top_validate)
+        sets = {"train": R.top_n(seen.filter("part = 'train'"), n.top_validate), "validate": top, "all": R.top_n(seen.filter("part = 'validate'"), n.top_all)}
+        kinds = [x.select(F.lit(name).alias("kind"), "detector", "rank", "det_id", "imidx", "is_pos", "decision", "x1", "y1", "x2", "y2") for name, x in sets.items()]
+        save(kinds[0].unionByName(kinds[1]).unionByName(kinds[2]), self.base, f"rounds.r{j}.tops")
+        voted = R.at_least(top.filter(F.col("rank") <= n.top_vote), ["detector"], n.min_votes)
+        kept = {r[0] for r in voted.select("detector").collect()}  # at most active_clusters ids
+        finished = [c for c in active if c in kept and ages[str(c)] + 1 >= n.iterations]
+        done = {}
+        if finished:
+            part = models.filter(F.col("cluster_id").isin(finished)).withColumn("round", F.lit(j))
+            done["done"] = journal.table("done").unionByName(part) if "done" in journal else part
+        best = R.assign_top(top, n.top_train).filter("cluster_id IS NOT NULL")
+        fresh = self._features(best, "det_id").select("cluster_id", "feat")
+        after = semi(fresh, ids, "cluster_id").unionByName(anti(own, ids, "cluster_id"))
+        log.info("round %d: %d active, %d voted in, %d finished, %d waiting", j, len(active), len(kept), len(finished), len(state["waiting"]))
+        active = [c for c in active if c in kept and c not in finished]
+        ages = {str(c): ages[str(c)] + 1 for c in active}
+        journal.commit({"round": j + 1, "step": "fit", "waiting": state["waiting"], "active": active, "ages": ages}, own=after, models=None, held=None, **done)
+        clear(seen)
+
     # -- result
 
     def detections(self) -> DataFrame:

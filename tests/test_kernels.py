@@ -4,9 +4,9 @@ import pytest
 from lodemine.config import PyramidParams
 from lodemine.kernels.color import rgb_to_lab
 from lodemine.kernels.gradients import energy, histogram
-from lodemine.kernels.pyramid import build, crop, level_count, windows
+from lodemine.kernels.pyramid import Level, build, crop, level_count, scores, windows
 from lodemine.kernels.resize import resize, to_bytes, weights
-from lodemine.kernels.sampling import clean_coverage, distribution, draw, gaussian, sample_patches
+from lodemine.kernels.sampling import blur, clean_coverage, distribution, draw, gaussian, sample_patches
 from lodemine.operators.svm import fit_squared_hinge
 
 
@@ -175,3 +175,45 @@ def test_quick_distribution():
     w[15, 20] = 2.0
     p = quick_distribution(w, 9)
     assert np.count_nonzero(p) == 1 and 0.9 < p[15, 20] < 1.1
+
+
+@pytest.mark.parametrize("size", [1, 4, 5, 30])
+def test_blur_is_the_direct_sum_with_nothing_beyond_the_border(size):
+    rng = np.random.default_rng(size)
+    x, k = rng.random((9, 13)), gaussian(size, size / 3)
+    want = np.zeros(x.shape)
+    for i in range(9):
+        for j in range(13):
+            for a in range(size):
+                for b in range(size):
+                    r, c = i + a - (size - 1) // 2, j + b - (size - 1) // 2
+                    if 0 <= r < 9 and 0 <= c < 13:
+                        want[i, j] += k[a, b] * x[r, c]
+    assert np.allclose(blur(x, size, size / 3), want)
+    assert np.allclose(distribution(x, size), want / want.sum())
+
+
+@pytest.mark.parametrize("block", [3, 128])
+def test_scores_by_shared_cells_are_those_of_the_windows(block):
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    level = Level(1.0, rng.random((40, 31, 33)), 20 * rng.random((40, 31)))
+    w = rng.normal(size=(7, 8 * 8 * 33))
+    for least in (None, 9.9):
+        f, _, cy, cx = windows(level, 8, least)
+        got = list(scores(level, 8, w, least, block))
+        assert [g[0] for g in got] == list(range(0, 7, block))
+        for at, d, y, x in got:
+            assert np.allclose(d, f @ w[at : at + block].T, rtol=0, atol=1e-9) and (y == cy).all() and (x == cx).all()
+    assert list(scores(Level(1.0, np.zeros((5, 9, 33)), np.zeros((5, 9))), 8, w)) == []
+
+    def peak(work):
+        tracemalloc.start()
+        work()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    big = Level(1.0, rng.random((120, 160, 33)), 20 * rng.random((120, 160)))
+    assert 20 * peak(lambda: [None for _ in scores(big, 8, w, None, block)]) < peak(lambda: windows(big, 8)[0] @ w.T)
