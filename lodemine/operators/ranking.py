@@ -59,3 +59,13 @@ def sampled_ranks(df: DataFrame, rank: str = "rank") -> DataFrame:
 
 def argsort_desc(df: DataFrame, keys: list[str], value: str, position: str) -> DataFrame:
     return ranked(df, keys, [F.col(value).desc(), F.col(position).asc()], "order")
+
+
+def growing_batches(df: DataFrame, order: list, first: int, growth: float, name: str = "step") -> DataFrame:
+    """Adds the batch of each row: batch i takes the next floor(first x 2^(growth x i)) rows."""
+    starts, i = [0], 0
+    while starts[-1] < 1 << 60:
+        starts.append(starts[-1] + int(first * 2 ** (growth * i)))
+        i += 1
+    at = F.filter(F.array(*[F.lit(s).cast("long") for s in starts]), lambda s: s <= F.col("_place"))
+    return global_rank(df, order, "_place").withColumn(name, F.size(at) - 1).drop("_place")

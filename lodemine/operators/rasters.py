@@ -100,21 +100,28 @@ def detect(images: DataFrame, detectors: DataFrame, params: PyramidParams = Pyra
 
 
 def synthetic_images(spark: SparkSession, images: DataFrame, nrows: int = 96, ncols: int = 128) -> DataFrame:
-    """Rasters drawn from the image's number: a grating of its own direction and period over a
-    gradient; for tests and for the catalogue, as the tables hold no pictures."""
+    """Rasters for tests and for the catalogue, as the tables hold no pictures: a grating of a direction
+    and period by the image's number over a gradient. Where images have a vector ``field``, its values
+    are the brightness of fields, eight a row."""
+    field = F.col("field").cast("array<double>") if "field" in images.columns else F.lit(None).cast("array<double>")
 
     @F.pandas_udf("binary")
-    def raster(ids: pd.Series) -> pd.Series:
+    def raster(ids: pd.Series, fields: pd.Series) -> pd.Series:
         y, x = np.mgrid[0:nrows, 0:ncols]
         out = []
-        for i in ids:
+        for i, v in zip(ids, fields):
             a, period = i % 9 * np.pi / 9, 6 + i % 7
             wave = 0.5 + 0.5 * np.sin(2 * np.pi * (x * np.cos(a) + y * np.sin(a)) / period)
-            out.append(np.stack([wave, x / ncols, y / nrows * wave], -1).astype(np.float32).tobytes())
+            bright = np.ones(x.shape)
+            if v is not None and len(v) >= 8:
+                v = np.asarray(v, float)[: len(v) // 8 * 8].reshape(-1, 8)
+                v = (v - v.min()) / (v.max() - v.min() + 1e-9)
+                bright = v[y * len(v) // nrows, x * 8 // ncols]
+            out.append(np.stack([wave * bright, x / ncols * bright, y / nrows * wave], -1).astype(np.float32).tobytes())
         return pd.Series(out)
 
     spread = images.repartition(2 * spark.sparkContext.defaultParallelism, "imidx")  # few rows, much work for each
-    return spread.select("imidx", "is_pos", F.lit(nrows).alias("nrows"), F.lit(ncols).alias("ncols"), raster("imidx").alias("raster"))
+    return spread.select("imidx", "is_pos", F.lit(nrows).alias("nrows"), F.lit(ncols).alias("ncols"), raster("imidx", field).alias("raster"))
 
 
 def nearest_in_images(images: DataFrame, centers: DataFrame, params: PyramidParams = PyramidParams(), min_gradient: float = 9.0, chunk: int = 4096, block: int = 2048) -> DataFrame:

@@ -293,9 +293,15 @@ def pyramid_levels(spark, sf):
     return images(spark, sf).select("imidx", G.pyramid_levels(F.lit(400), width).alias("levels"), width.alias("width"))
 
 
-@query("SELECT CAST(k AS INT) AS level, round(pow(2.0, k / 8.0), 6) AS scale FROM range(19) r(k)")
+@query(
+    """WITH n AS (SELECT imidx, CAST(least(floor(8 * log2(400 / 80.0)), floor(8 * log2(ceil(ncols * (400.0 / nrows)) / 80.0))) + 1 AS INT) AS levels FROM images)
+SELECT imidx, CAST(k AS INT) AS level, round(pow(2.0, k / 8.0), 6) AS scale FROM (SELECT imidx, unnest(range(levels)) AS k FROM n)""",
+    "patches images",
+)
 def level_scales(spark, sf):
-    return spark.range(19).select(F.col("id").cast("int").alias("level"), F.round(G.level_scale(F.col("id")), 6).alias("scale"))
+    width = G.derived_size(F.col("ncols"), G.canonical_scale(F.col("nrows"), F.col("ncols"), 400, smaller_side=False))
+    levels = images(spark, sf).select("imidx", F.explode(F.sequence(F.lit(0), G.pyramid_levels(F.lit(400), width) - 1)).alias("level"))
+    return levels.select("imidx", "level", F.round(G.level_scale(F.col("level")), 6).alias("scale"))
 
 
 # -- greedy suppression
@@ -590,9 +596,15 @@ def cull_negatives(spark, sf):
     return M.cull_negatives(detections(spark, sf), at=60, near=90).select("detector", "rank", "det_id")
 
 
-@query("SELECT CAST(i AS INT) AS step, CAST(floor(15 * pow(2.0, 0.71 * i)) AS BIGINT) AS images FROM range(12) r(i)")
+@query(
+    """WITH b AS (SELECT i, CAST(floor(15 * pow(2.0, 0.71 * i)) AS BIGINT) AS images FROM range(40) r(i)),
+s AS (SELECT i, CAST(sum(images) OVER (ORDER BY i) AS BIGINT) - images AS start FROM b),
+n AS (SELECT imidx, row_number() OVER (ORDER BY imidx) - 1 AS place FROM images WHERE NOT is_pos)
+SELECT imidx, CAST(max(i) AS INT) AS step FROM n JOIN s ON start <= place GROUP BY imidx""",
+    "patches images",
+)
 def mining_schedule(spark, sf):
-    return spark.range(12).select(F.col("id").cast("int").alias("step"), F.floor(15 * F.pow(F.lit(2.0), 0.71 * F.col("id"))).alias("images"))
+    return R.growing_batches(images(spark, sf).filter("NOT is_pos"), [F.col("imidx").asc()], 15, 0.71).select("imidx", "step")
 
 
 def _models(spark: Session, sf: str) -> DataFrame:
@@ -668,30 +680,37 @@ def struct_unpack(spark, sf):
     return spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.from_json("props", "k long").alias("s")).select("event_id", "s.*")
 
 
-# -- image kernels, on rasters drawn from the image table
+# -- image kernels, on rasters drawn from the patches' vectors
+
+
+def _pictures(spark: Session, sf: str) -> DataFrame:
+    """A picture for each image, its brightness being the vector of the image's first patch."""
+    from lodemine.operators.rasters import synthetic_images
+
+    return synthetic_images(spark, patches(spark, sf).groupBy("imidx", "is_pos").agg(F.min_by("feat", "patch_id").alias("field")))
 
 
 @query()
 def feature_pyramid(spark, sf):
-    from lodemine.operators.rasters import pyramid_stats, synthetic_images
+    from lodemine.operators.rasters import pyramid_stats
 
-    return pyramid_stats(synthetic_images(spark, images(spark, sf))).withColumn("gradient", F.round("gradient", 4))
+    return pyramid_stats(_pictures(spark, sf)).withColumn("gradient", F.round("gradient", 4))
 
 
 @query()
 def weighted_patches(spark, sf):
-    from lodemine.operators.rasters import sample_patches, synthetic_images
+    from lodemine.operators.rasters import sample_patches
 
-    got = sample_patches(synthetic_images(spark, images(spark, sf)))
+    got = sample_patches(_pictures(spark, sf))
     return got.select("imidx", "level", "cy", "cx", "x1", "y1", "x2", "y2", F.round("probability", 9).alias("probability"), F.size("feat").alias("width"))
 
 
 @query()
 def detect_in_images(spark, sf):
     from lodemine.config import DetectionParams
-    from lodemine.operators.rasters import detect, sample_patches, synthetic_images
+    from lodemine.operators.rasters import detect, sample_patches
 
-    im = synthetic_images(spark, images(spark, sf))
+    im = _pictures(spark, sf)
     seeds = sample_patches(im)
     models = M.fit_clusters(seeds.select(F.col("imidx").cast("long").alias("cluster_id"), "feat"), sample_patches(im.filter("NOT is_pos")).select("feat"))
     found = detect(im, models, detection=DetectionParams(threshold=-0.9))
@@ -780,17 +799,17 @@ def canonical_sizes(spark, sf):
 
 @query()
 def nearest_windows(spark, sf):
-    from lodemine.operators.rasters import nearest_in_images, sample_patches, synthetic_images
+    from lodemine.operators.rasters import nearest_in_images, sample_patches
 
-    im = synthetic_images(spark, images(spark, sf))
+    im = _pictures(spark, sf)
     centers = sample_patches(im.filter("is_pos")).select("patch_id", "feat")
     return nearest_in_images(im, centers).select("patch_id", "imidx", F.round("dist", 9).alias("dist"), "level", "cy", "cx")
 
 
 @query()
 def patch_crops(spark, sf):
-    from lodemine.operators.rasters import crop_patches, sample_patches, synthetic_images
+    from lodemine.operators.rasters import crop_patches, sample_patches
 
-    im = synthetic_images(spark, images(spark, sf))
+    im = _pictures(spark, sf)
     boxes = sample_patches(im).select("patch_id", "imidx", "x1", "y1", "x2", "y2")
     return crop_patches(boxes, im).select("patch_id", "imidx", F.length("png").alias("bytes"), F.sha2("png", 256).alias("sha256"))

@@ -358,3 +358,27 @@ def test_pairwise_overlap_own_takes_little_room(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == n * (n - 1)
     taken = sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet"))
     assert taken < 0.25 * n * (n - 1)
+
+
+def test_values_are_carried_over_parts_of_a_key(spark):
+    from lodemine.operators.relational import invert_share
+
+    rng = np.random.default_rng(4)
+    n = 3000
+    weight = np.where(rng.random(n) < 0.3, 0, rng.random(n))
+    share = np.cumsum(weight) / weight.sum()
+    draws = np.concatenate([rng.random(500), share[rng.integers(0, n, 50)], [0.0, 1.0]])
+    shares = spark.createDataFrame([(0, None, i, float(s)) for i, s in enumerate(share)] + [(1, "a", 7, 0.5), (1, "a", 8, None)], "k int, j string, position long, share double").repartition(5)
+    rows = [(0, None, i, float(u)) for i, u in enumerate(draws)] + [(1, "a", 900, 0.4), (1, "a", 901, 0.6), (1, "a", 902, None), (2, "b", 903, 0.1)]
+    asked = spark.createDataFrame(rows, "k int, j string, id long, u double").repartition(3)
+    got = {(r.k, r.id): r.position for r in invert_share(asked, shares, ["k", "j"], "u", "share", "position").collect()}
+    want = {(0, i): int(np.flatnonzero(share >= u)[0]) for i, u in enumerate(draws)} | {(1, 900): 7}
+    assert got == want
+    assert invert_share(asked.limit(0), shares, ["k"], "u", "share", "position").count() == 0
+
+
+def test_growing_batches(spark):
+    from lodemine.operators.ranking import growing_batches
+
+    got = growing_batches(spark.range(50), [F.col("id").asc()], 3, 0.71).groupBy("step").count().orderBy("step").collect()
+    assert [r["count"] for r in got] == [3, 4, 8, 13, 21, 1]
