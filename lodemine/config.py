@@ -53,6 +53,7 @@ class MiningParams:
     top_all: int = 100
     min_votes: int = 2
     svm_c: float = 0.1
+    modeltype: str = "squared_hinge"
     cull_at: float = -1.02
     cull_near: float = -1.0
     cull_factor: int = 3

@@ -135,7 +135,7 @@ class MiningJob:
         scored = mined.join(w, "cluster_id").select("cluster_id", "det_id", "feat", decision(doubles(F.col("feat")), F.col("w"), F.col("rho")).alias("decision"))
         held = settle(M.cull_negatives(scored, "cluster_id", n.cull_at, n.cull_near, n.cull_factor).select("cluster_id", "det_id", "feat"))
         clear(mined)
-        return M.fit_clusters(seeds, negatives, held.select("cluster_id", "feat"), n.svm_c), held
+        return M.fit_clusters(seeds, negatives, held.select("cluster_id", "feat"), n.svm_c, modeltype=n.modeltype), held
 
     def detectors(self) -> DataFrame:
         """Runs the rounds: train on one third of the positives, vote on the next, re-seed. A cluster
@@ -173,7 +173,7 @@ class MiningJob:
         if not state["active"]:
             journal.commit({"step": "done"})
             return
-        models = M.fit_clusters(semi(journal.table("own"), self._active(state), "cluster_id"), journal.table("negatives"), c=self.params.svm_c)
+        models = M.fit_clusters(semi(journal.table("own"), self._active(state), "cluster_id"), journal.table("negatives"), c=self.params.svm_c, modeltype=self.params.modeltype)
         journal.commit(state | {"step": "mine", "at": 0, "batch": 0}, models=models, held=None)
 
     def _mine_step(self, journal: Journal, state: dict) -> None:

@@ -7,7 +7,7 @@ from lodemine.kernels.gradients import energy, histogram
 from lodemine.kernels.pyramid import Level, build, crop, level_count, scores, windows
 from lodemine.kernels.resize import resize, to_bytes, weights
 from lodemine.kernels.sampling import blur, clean_coverage, distribution, draw, gaussian, sample_patches
-from lodemine.operators.svm import fit_squared_hinge
+from lodemine.operators.svm import fit_hinge, fit_sgd, fit_squared_hinge
 
 
 def test_lab_of_plain_colours():
@@ -217,3 +217,24 @@ def test_scores_by_shared_cells_are_those_of_the_windows(block):
 
     big = Level(1.0, rng.random((120, 160, 33)), 20 * rng.random((120, 160)))
     assert 20 * peak(lambda: [None for _ in scores(big, 8, w, None, block)]) < peak(lambda: windows(big, 8)[0] @ w.T)
+
+
+def test_hinge_meets_the_conditions_of_an_optimum():
+    rng = np.random.default_rng(4)
+    for n, d in ((60, 5), (12, 30)):
+        x = rng.normal(size=(n, d))
+        y = np.where(x[:, 0] + 0.5 * rng.normal(size=n) > 0, 1.0, -1.0)
+        w, b = fit_hinge(x, y, 0.1)
+        of = lambda w, b: 0.5 * w @ w + 0.1 * np.maximum(0, 1 - y * (x @ w + b)).sum()
+        best = of(w, b)
+        for _ in range(300):
+            assert of(w + 0.02 * rng.normal(size=d), b + 0.02 * rng.normal()) >= best - 1e-6
+    assert fit_hinge(np.ones((3, 2)), -np.ones(3))[1] == -1
+
+
+def test_averaged_steps_come_near_the_optimum():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 6))
+    y = np.where(x[:, 0] - x[:, 1] + 0.3 > 0, 1.0, -1.0)
+    w, b = fit_sgd(x, y)
+    assert (np.sign(x @ w + b) == y).mean() > 0.97 and (fit_sgd(x, y)[0] == w).all()

@@ -382,3 +382,49 @@ def test_growing_batches(spark):
 
     got = growing_batches(spark.range(50), [F.col("id").asc()], 3, 0.71).groupBy("step").count().orderBy("step").collect()
     assert [r["count"] for r in got] == [3, 4, 8, 13, 21, 1]
+
+
+def test_clusters_of_any_size_are_fitted_as_the_local_fit(spark, sf):
+    from lodemine.operators import svm
+    from lodemine.sources.views import patches
+
+    p = patches(spark, sf)
+    rows = p.filter("is_pos").select((F.col("imidx") % 2).cast("long").alias("cluster_id"), "feat", F.lit(1).alias("y"))
+    neg, own = p.filter("NOT is_pos").select("feat"), p.filter("NOT is_pos AND patch_id % 3 = 0").select(F.lit(1).cast("long").alias("cluster_id"), "feat")
+    large = {r.cluster_id: r for r in svm.fit_large(rows.unionByName(own.withColumn("y", F.lit(-1))), neg).collect()}
+    local = {r.cluster_id: r for r in svm.fit_clusters(rows.drop("y"), neg, own).collect()}
+    x = np.array([r.feat for r in neg.collect()])
+    for k, r in local.items():
+        assert (r.n_pos, r.n_neg) == (large[k].n_pos, large[k].n_neg)
+        mine = np.array([q.feat for q in rows.collect() if q.cluster_id == k])
+        extra = [np.array([q.feat for q in own.collect()])] if k == 1 else []
+        a = np.concatenate([mine, x, *extra])
+        y = np.concatenate([np.ones(len(mine)), -np.ones(len(a) - len(mine))])
+
+        def objective(m):
+            return 0.5 * (np.dot(m.w, m.w) + m.rho**2) + 0.1 * (np.maximum(0, 1 - y * (a @ np.array(m.w) - m.rho)) ** 2).sum()
+
+        assert abs(objective(r) - objective(large[k])) < 1e-6 and np.allclose(r.w, large[k].w, atol=1e-5)
+
+
+def test_large_clusters_and_kinds_of_model(spark, monkeypatch):
+    from lodemine.operators import svm
+
+    rng = np.random.default_rng(3)
+    wide = 70_000  # so that few rows are more than a megabyte
+    x = rng.normal(size=(9, wide)) / 100
+    pos = spark.createDataFrame([(i % 2 if i < 6 else 1, x[i].tolist()) for i in range(7)], "cluster_id long, feat array<double>")
+    neg = spark.createDataFrame([(x[i].tolist(),) for i in (7, 8)], "feat array<double>")
+    called = []
+    large = svm.fit_large
+    monkeypatch.setattr(svm, "fit_large", lambda rows, *a: called.append(rows.select("cluster_id").distinct().collect()) or large(rows, *a))
+    got = {r.cluster_id: r for r in svm.fit_clusters(pos, neg, task_mb=2).collect()}
+    want = {r.cluster_id: r for r in svm.fit_clusters(pos, neg).collect()}
+    assert [[r[0] for r in c] for c in called] == [[1]] and set(got) == set(want) == {0, 1}
+    assert all(np.allclose(got[k].w, want[k].w, atol=1e-6) and got[k].n_neg == want[k].n_neg == 2 for k in want)
+    with pytest.raises(ValueError):
+        svm.fit_clusters(pos, neg, task_mb=2, modeltype="hinge")
+    small = pos.select("cluster_id", F.slice("feat", 1, 20).alias("feat"))
+    less = neg.select(F.slice("feat", 1, 20).alias("feat"))
+    for kind in svm.FITS:
+        assert {r.cluster_id for r in svm.fit_clusters(small, less, modeltype=kind).collect()} == {0, 1}
