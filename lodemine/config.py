@@ -54,6 +54,7 @@ class MiningParams:
     min_votes: int = 2
     svm_c: float = 0.1
     modeltype: str = "squared_hinge"
+    crop_seeds: bool = True
     cull_at: float = -1.02
     cull_near: float = -1.0
     cull_factor: int = 3

@@ -30,6 +30,24 @@ def overlap_of_first(a: Column, b: Column) -> Column:
     return intersection(a, b) / area(a)
 
 
+def covered_area(b: Column, boxes: Column) -> Column:
+    """The pixels of b under the union of an array of boxes: b is cut at the sides of those that meet
+    it, and each piece counts that any of them covers."""
+    inside = F.transform(F.filter(boxes, lambda k: intersection(k, b) > 0), lambda k: F.struct(F.greatest(k["x1"], b["x1"]).alias("x1"), F.greatest(k["y1"], b["y1"]).alias("y1"), (F.least(k["x2"], b["x2"]) + 1).alias("x2"), (F.least(k["y2"], b["y2"]) + 1).alias("y2")))
+    cuts = lambda c, lo, hi: F.array_sort(F.array_distinct(F.concat(F.transform(c, lambda k: k[lo]), F.transform(c, lambda k: k[hi]))))
+    pieces = lambda of: F.sequence(F.lit(0), F.size(of) - 2)
+    none = F.lit(0).cast("long")
+
+    def area_of(z: Column) -> Column:
+        c, xs, ys = z["c"], z["xs"], z["ys"]
+        covers = lambda i, j: F.exists(c, lambda k: (k["x1"] <= xs[i]) & (k["x2"] > xs[i]) & (k["y1"] <= ys[j]) & (k["y2"] > ys[j]))
+        column = lambda i: F.aggregate(pieces(ys), none, lambda acc, j: acc + F.when(covers(i, j), ys[j + 1] - ys[j]).otherwise(0))
+        return F.when(F.size(c) == 0, none).otherwise(F.aggregate(pieces(xs), none, lambda acc, i: acc + (xs[i + 1] - xs[i]) * column(i)))
+
+    named = F.transform(F.array(inside), lambda c: F.struct(c.alias("c"), cuts(c, "x1", "x2").alias("xs"), cuts(c, "y1", "y2").alias("ys")))
+    return F.transform(named, area_of)[0]
+
+
 def is_square(b: Column) -> Column:
     return (b["x2"] - b["x1"]) == (b["y2"] - b["y1"])
 

@@ -8,6 +8,7 @@ Rasters are float32 RGB from 0 to 1 with nrows and ncols beside them.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -210,19 +211,34 @@ def crop_patches(boxes: DataFrame, images: DataFrame, longer_side: int | None =
     return boxes.groupBy("imidx").cogroup(images.select("imidx", "raster", "nrows", "ncols").groupBy("imidx")).applyInPandas(cut, schema)
 
 
+def _crop_feature(x: np.ndarray, params: PyramidParams) -> np.ndarray | None:
+    """The one window of pixels scaled to a patch; None if they are too narrow for one."""
+    small = replace(params, canonical_size=params.patch_size)
+    level = P.build(x, small, [0]).levels
+    f = P.windows(level[0], small.patch_cells)[0] if level else np.zeros((0, 0))
+    return f[0] if len(f) else None
+
+
 def featurise_crops(crops: DataFrame, params: PyramidParams = PyramidParams()) -> DataFrame:
     """crops (id, raster, nrows, ncols) as one window each: the crop is scaled to a patch."""
-    from dataclasses import replace
-
-    small = replace(params, canonical_size=params.patch_size)
 
     @F.pandas_udf("array<double>")
     def feat(raster: pd.Series, nrows: pd.Series, ncols: pd.Series) -> pd.Series:
-        out = []
-        for r, h, w in zip(raster, nrows, ncols):
-            level = P.build(_image(r, h, w), small, [0]).levels
-            f = P.windows(level[0], small.patch_cells)[0] if level else np.zeros((0, 0))
-            out.append(f[0] if len(f) else None)
-        return pd.Series(out)
+        return pd.Series([_crop_feature(_image(r, h, w), params) for r, h, w in zip(raster, nrows, ncols)])
 
     return crops.withColumn("feat", feat("raster", "nrows", "ncols"))
+
+
+def features_of_boxes(boxes: DataFrame, images: DataFrame, params: PyramidParams = PyramidParams()) -> DataFrame:
+    """boxes (imidx, x1, y1, x2, y2 and more) with ``feat``: each box is cut from its image and made a
+    patch of its own, whose gradients and cells are those of the cut pixels alone."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in boxes.schema) + ", feat array<double>"
+
+    def cut(wanted: pd.DataFrame, image: pd.DataFrame) -> pd.DataFrame:
+        if not len(image) or not len(wanted):
+            return pd.DataFrame(columns=[*wanted.columns, "feat"])
+        r = image.iloc[0]
+        x = _image(r["raster"], r["nrows"], r["ncols"])
+        return wanted.assign(feat=[_crop_feature(P.crop(x, *b, None), params) for b in wanted[["x1", "y1", "x2", "y2"]].itertuples(index=False)])
+
+    return boxes.groupBy("imidx").cogroup(images.select("imidx", "raster", "nrows", "ncols").groupBy("imidx")).applyInPandas(cut, schema)

@@ -20,6 +20,7 @@ from lodemine.operators import svm as M
 from lodemine.sources import images as I
 from lodemine.sources.views import SQL as VIEW
 from lodemine.sources.views import detections, images, patches
+from lodemine.sources.workspaces import unpack
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -322,6 +323,23 @@ def clean_overlap_iou(spark, sf):
     return S.suppress_iou(detections(spark, sf), 0.1).select("detector", "imidx", "det_id")
 
 
+@query(
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY detector, imidx ORDER BY decision DESC, det_id) AS k FROM detections),
+g AS (SELECT detector, imidx, 0 AS k, CAST([] AS STRUCT(i BIGINT, x1 INT, y1 INT, x2 INT, y2 INT)[]) AS kept FROM (SELECT DISTINCT detector, imidx FROM r)
+  UNION ALL
+  SELECT detector, imidx, k, CASE WHEN 10 * coalesce(list_sum([(xs[i + 1] - xs[i]) * coalesce(list_sum([CASE WHEN len([1 for c in cut if c.x1 <= xs[i] AND c.x2 > xs[i] AND c.y1 <= ys[j] AND c.y2 > ys[j]]) > 0 THEN ys[j + 1] - ys[j] ELSE 0 END for j in range(1, len(ys))]), 0) for i in range(1, len(xs))]), 0)
+    > 6 * (b.x2 - b.x1 + 1) * (b.y2 - b.y1 + 1) THEN kept ELSE list_append(kept, b) END
+  FROM (SELECT *, list_sort(list_distinct(flatten([[c.x1, c.x2] for c in cut]))) AS xs, list_sort(list_distinct(flatten([[c.y1, c.y2] for c in cut]))) AS ys
+    FROM (SELECT g.detector, g.imidx, r.k, g.kept, {'i': r.det_id, 'x1': r.x1, 'y1': r.y1, 'x2': r.x2, 'y2': r.y2} AS b,
+        [{'x1': greatest(q.x1, r.x1), 'y1': greatest(q.y1, r.y1), 'x2': least(q.x2, r.x2) + 1, 'y2': least(q.y2, r.y2) + 1} for q in g.kept if q.x1 <= r.x2 AND q.x2 >= r.x1 AND q.y1 <= r.y2 AND q.y2 >= r.y1] AS cut
+      FROM g JOIN r ON g.detector = r.detector AND g.imidx = r.imidx AND r.k = g.k + 1)))
+SELECT detector, imidx, b.i AS det_id FROM (SELECT detector, imidx, unnest(kept) AS b FROM g JOIN (SELECT detector, imidx, max(k) AS k FROM r GROUP BY ALL) USING (detector, imidx, k))""",
+    "detections",
+)
+def clean_by_coverage(spark, sf):
+    return S.clean_coverage(detections(spark, sf), 0.6).select("detector", "imidx", "det_id")
+
+
 # -- ranking
 
 BEST = """WITH w AS (SELECT *, row_number() OVER (PARTITION BY detector, imidx ORDER BY decision DESC, det_id) AS k FROM detections),
@@ -504,7 +522,7 @@ def non_overlapping_detectors(spark, sf):
     return _accepted(spark, sf, C.overlap_counts(_top50(spark, sf)).filter("n > 5"))
 
 
-for _name in ("accept_clusters", "non_overlapping_detectors"):
+for _name in ("accept_clusters", "non_overlapping_detectors", "clean_by_coverage"):
     ORACLES[_name] = ORACLES[_name].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
@@ -677,7 +695,7 @@ def dotted_path(spark, sf):
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def struct_unpack(spark, sf):
-    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.from_json("props", "k long").alias("s")).select("event_id", "s.*")
+    return unpack(spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.from_json("props", "k long").alias("s")), "s")
 
 
 # -- image kernels, on rasters drawn from the patches' vectors

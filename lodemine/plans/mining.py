@@ -92,11 +92,16 @@ class MiningJob:
         return self._stage("clusters.accepted", make)
 
     def seeds(self) -> DataFrame:
-        """cluster_id, feat: the five nearest patches of each accepted cluster."""
+        """cluster_id, feat: the five nearest patches of each accepted cluster; with pictures, made
+        anew from the pixels of their boxes."""
 
         def make() -> DataFrame:
             best = self.neighbours().filter(F.col("nn_rank") <= self.params.top_train).withColumnRenamed("patch_id", "cluster_id")
-            return self._features(semi(best, self.accepted(), "cluster_id"), "target_id").select("cluster_id", "feat")
+            best = semi(best, self.accepted(), "cluster_id")
+            if self.rasters is not None and self.params.crop_seeds:
+                cut = P.features_of_boxes(best.select("cluster_id", "imidx", "x1", "y1", "x2", "y2"), self.rasters, self.params.pyramid)
+                return cut.select("cluster_id", "feat").dropna()
+            return self._features(best, "target_id").select("cluster_id", "feat")
 
         return self._stage("clusters.seeds", make)
 
