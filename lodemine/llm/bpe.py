@@ -39,7 +39,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemine.llm.common import Recent, give_back, read
+from lodemine.llm.common import Recent, free_name, give_back, read
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -421,7 +421,8 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, ids: bo
             model.forget()
 
     names = [name for name, _ in kinds]
-    return docs.withColumn("_bpe", encoded(F.col(text))).drop(*names).select("*", "_bpe.*").drop("_bpe")
+    made = free_name(docs, "_bpe")
+    return docs.withColumn(made, encoded(F.col(text))).drop(*names).select("*", f"{made}.*").drop(made)
 
 
 def decode(docs: DataFrame, ids: str = "token_ids", path: str | None = None, as_pieces: bool = True) -> DataFrame:

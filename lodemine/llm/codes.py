@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodemine.llm.common import drop_tables, materialize, read
+from lodemine.llm.common import drop_tables, free_name, materialize, read
 
 LARGEST = 1 << 27
 MOST_LENGTHS = 1024
@@ -180,15 +180,17 @@ def encode(table: DataFrame, books: Books) -> DataFrame:
             errors[rows], known[rows] = sum(d for _, d in both), True
         return pa.StructArray.from_arrays([pa.array(codes, pa.string()), pa.array(errors, pa.int64(), mask=~known)], ["code", "error"])
 
-    return table.withColumn("_c", coded("_whole")).withColumn("code", F.col("_c.code")).withColumn("error", F.col("_c.error")).drop("_c", "_whole")
+    c = free_name(table, "_c")
+    return table.withColumn(c, coded("_whole")).withColumn("code", F.col(f"{c}.code")).withColumn("error", F.col(f"{c}.error")).drop(c, "_whole")
 
 
 def label_errors(coded: DataFrame, label: str = "label") -> DataFrame:
     """Adds ``label_error``: the errors of all rows with the same label, null ones together. Sums are
     made before the shuffle; few labels are broadcast, many joined by a shuffle."""
-    sums = materialize(coded.groupBy(F.col(label).alias("_label")).agg(F.sum("error").alias("label_error")), "label-errors")
+    key = free_name(coded, "_label")
+    sums = materialize(coded.groupBy(F.col(label).alias(key)).agg(F.sum("error").alias("label_error")), "label-errors")
     side = F.broadcast(sums) if sums.count() <= BROADCAST_LABELS else sums
-    return coded.join(side, F.col(label).eqNullSafe(F.col("_label")), "left").drop("_label")
+    return coded.join(side, F.col(label).eqNullSafe(F.col(key)), "left").drop(key)
 
 
 def digest(books: Books) -> str:

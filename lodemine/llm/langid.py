@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemine.llm.common import fold_remainder, read, sample_by_hash
+from lodemine.llm.common import fold_remainder, free_name, read, sample_by_hash
 
 DIMS = 4096
 _letter = regex.compile(r"\p{L}")
@@ -113,10 +113,15 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
     return out[:DIMS], int(out[DIMS])
 
 
-def fit(docs: DataFrame, sample: int = 3000, **options) -> Centroids:
-    """docs: doc_id, text, lang of the rows to learn from."""
+def fit(docs: DataFrame, sample: int = 3000, most_languages: int = 1000, **options) -> Centroids:
+    """docs: doc_id, text, lang of the rows to learn from: at most ``sample`` texts, or one for each
+    language. Of more than ``most_languages`` values of lang those with the most rows are learned, as
+    the model, which goes to every task, grows with them."""
     rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    n = rows.agg(F.countDistinct("lang")).first()[0]
+    found = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most_languages + 1).collect()]
+    n = min(len(found), most_languages)
+    if len(found) > most_languages:
+        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in found[:n]], "lang string")), "lang", "left_semi")
     none = Centroids([], np.zeros(0, int), np.zeros((0, DIMS), np.float32), np.zeros(DIMS, np.float32), np.zeros(0))
     if not n:
         return none
@@ -151,8 +156,9 @@ def identify(docs: DataFrame, model: Centroids, text: str = "text") -> DataFrame
             rows = [m.predict(t.as_py()) for t in col]
             yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))], ["lang_pred", "score", "rejected"])
 
-    kept = docs.withColumn("_p", predicted(F.col(text))).drop("lang_pred", "score", "rejected")
-    return kept.select("*", "_p.*").drop("_p")
+    p = free_name(docs, "_p")
+    kept = docs.withColumn(p, predicted(F.col(text))).drop("lang_pred", "score", "rejected")
+    return kept.select("*", f"{p}.*").drop(p)
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,11 +145,11 @@ def brute_codes(rows, parts=8, entries=16, rounds=6):
 
 
 def coded_rows(spark, rows, **named):
-    df = spark.createDataFrame([(i, v, lab, "n") for i, v, lab in rows], "vec_id long, embedding array<double>, label int, n string")
+    df = spark.createDataFrame([(i, v, lab, "n", 0) for i, v, lab in rows], "vec_id long, embedding array<double>, label int, n string, _label int").withColumn("_c", F.lit("c"))
     table = materialize(codes.whole(df, "embedding"), "t")
     books = codes.train(table, **named)
     out = codes.label_errors(codes.encode(table, books))
-    assert {"n", "embedding"} <= set(out.columns)
+    assert {"n", "embedding", "_label", "_c"} <= set(out.columns)
     return sorted([tuple(r) for r in out.select("vec_id", "code", "error", "label_error", F.lit(codes.digest(books))).collect()], key=str)
 
 

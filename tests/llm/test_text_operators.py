@@ -343,6 +343,16 @@ def test_langid_edges(spark):
     assert {r.lang_pred for r in langid.identify(odd, none).collect()} == {"und"}
 
 
+def test_rare_languages_and_clashing_names(spark):
+    rows = [(i, f"wort{i % 3} ding sache", "de") for i in range(6)] + [(10 + i, "the cat and dog", "en") for i in range(4)] + [(20, "le chat", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(set(langid.fit(docs, most_languages=2).langs)) == ["de", "en"]
+    assert sorted(set(langid.fit(docs).langs)) == ["de", "en", "fr"]
+    odd = docs.withColumn("_p", F.lit("mine")).withColumn("_bpe", F.lit(7))
+    assert {r._p for r in langid.identify(odd, langid.fit(docs)).collect()} == {"mine"}
+    assert {r._bpe for r in bpe.encode(odd).collect()} == {7}
+
+
 def test_counts_do_not_depend_on_blocks():
     text = "Größe und straße, l'été 12" * 50
     assert (langid.counts(text) == langid.counts(text, block=17)).all()
