@@ -705,7 +705,8 @@ def _pictures(spark: Session, sf: str) -> DataFrame:
     """A picture for each image, its brightness being the vector of the image's first patch."""
     from lodemine.operators.rasters import synthetic_images
 
-    return synthetic_images(spark, patches(spark, sf).groupBy("imidx", "is_pos").agg(F.min_by("feat", "patch_id").alias("field")))
+    fields = patches(spark, sf).groupBy("imidx").agg(F.min_by("feat", "patch_id").alias("field"))
+    return synthetic_images(spark, images(spark, sf).select("imidx", "is_pos").join(fields, "imidx"))
 
 
 @query()
