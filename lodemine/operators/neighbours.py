@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodemine.operators.ranking import global_rank, top
+from lodemine.operators.tiles import crowded, with_parts
 from lodemine.sources.rounds import clear, settle
 
 
@@ -232,3 +233,42 @@ def purity_rank(topn: DataFrame, depth: int = 20) -> DataFrame:
     counted = topn.filter(F.col("nn_rank") <= depth).groupBy("patch_id").agg(F.sum(F.col("is_pos").cast("long")).alias("purity"))
     ranked = global_rank(counted, [F.col("purity").desc(), F.col("patch_id").asc()])
     return ranked.select("patch_id", "purity", (F.col("rank") + 1).cast("int").alias("rank"))
+
+
+def squared_distances(x: np.ndarray, y: np.ndarray, rows: int = 32) -> np.ndarray:
+    """Between all rows of x and of y; each sum runs over the elements in order, as a fold would."""
+    out, columns = np.zeros((len(x), len(y))), np.ascontiguousarray(y.T)
+    for at in range(0, len(x), rows):
+        part, total = x[at : at + rows], out[at : at + rows]
+        gap = np.empty_like(total)
+        with np.errstate(invalid="ignore", over="ignore"):
+            for k in range(x.shape[1]):
+                np.subtract(part[:, k, None], columns[k], out=gap)
+                gap *= gap
+                total += gap
+    return out
+
+
+def pair_distances(rows: DataFrame, keys: list[str], id_: str, feature: str, block: int = 1024) -> DataFrame:
+    """a, b, d: the squared distance of all pairs of a group's rows with a < b. Null where a vector is null
+    or holds a null, or where the lengths differ. Groups are dealt into blocks of about so many rows; a task
+    holds two blocks, whose distances are computed together and leave it as columns."""
+    known = rows.dropna(subset=[*keys, id_]).select(*keys, F.col(id_).cast("long").alias("_id"), F.col(feature).alias("_feat"))
+    dealt = with_parts(known, crowded(known, keys, block), keys).withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int"))
+    met = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    met = met.select(*keys, F.least("_block", "_other").alias("_one"), F.greatest("_block", "_other").alias("_two"), "_block", "_id", F.coalesce(F.size("_feat"), F.lit(0)).alias("_width"), (F.col("_feat").isNull() | F.exists("_feat", lambda v: v.isNull())).alias("_none"), "_feat")
+
+    def pairs(cell: pa.Table) -> pa.Table:
+        ids, width, none, of, first, second = (cell.column(c).to_numpy() for c in ("_id", "_width", "_none", "_block", "_one", "_two"))
+        x = np.zeros((len(ids), int(width.max())))
+        x[(np.arange(x.shape[1]) < width[:, None]) & ~none[:, None]] = cell.filter(pa.array(~none)).column("_feat").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        one, two = np.flatnonzero(of == first), np.flatnonzero(of == second)
+        # equal ids lie in one block
+        wanted = ids[one][:, None] < ids[two] if first[0] == second[0] else np.ones((len(one), len(two)), bool)
+        d = squared_distances(x[one], x[two])[wanted]
+        i, j = np.nonzero(wanted)
+        i, j = one[i], two[j]
+        out = [pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j])), pa.array(d, mask=none[i] | none[j] | (width[i] != width[j]))]
+        return pa.Table.from_arrays(out, ["a", "b", "d"])
+
+    return met.groupBy(*keys, "_one", "_two").applyInArrow(pairs, "a long, b long, d double")

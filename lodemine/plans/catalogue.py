@@ -130,9 +130,7 @@ FROM v a JOIN v b ON a.imidx = b.imidx AND a.patch_id < b.patch_id""",
     "patches",
 )
 def l2_pairs(spark, sf):
-    v = patches(spark, sf).select("patch_id", "imidx", V.doubles(F.col("feat")).alias("f"))
-    a, b = v.select("imidx", F.col("patch_id").alias("a"), F.col("f").alias("fa")), v.select("imidx", F.col("patch_id").alias("b"), F.col("f").alias("fb"))
-    return a.join(b, "imidx").filter("a < b").select("a", "b", _R(V.squared_distance(F.col("fa"), F.col("fb"))).alias("d"))
+    return N.pair_distances(patches(spark, sf), ["imidx"], "patch_id", "feat").select("a", "b", _R(F.col("d")).alias("d"))
 
 
 NN = """WITH v AS (SELECT patch_id, imidx, is_pos, [CAST(x AS DOUBLE) for x in feat] AS f FROM patches),

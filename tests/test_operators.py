@@ -360,6 +360,25 @@ def test_pairwise_overlap_own_takes_little_room(spark, tmp_path):
     assert taken < 0.25 * n * (n - 1)
 
 
+def test_pair_distances_are_those_of_the_join(spark, monkeypatch):
+    from lodemine.functions import vectors as V
+    from lodemine.operators import neighbours as N
+    from lodemine.plans import catalogue
+
+    rng = np.random.default_rng(8)
+    rows = [(i, i % 3, rng.normal(size=5).tolist()) for i in range(80)] + [(7, 1, [1.0] * 5), (90, 1, None), (91, 1, [1.0, None, 0.0, 2.0, 3.0]), (92, 1, [1.0, 2.0]), (93, 1, []), (94, 1, [float("inf")] * 5), (95, 1, [float("inf")] * 5), (96, None, [1.0] * 5), (None, 1, [1.0] * 5), (97, 4, [2.0] * 5), (98, 5, None), (99, 5, [])]
+    df = spark.createDataFrame(rows, "patch_id long, imidx int, feat array<float>")
+    side = lambda s: df.select("imidx", F.col("patch_id").alias(s), V.doubles(F.col("feat")).alias(f"f{s}"))
+    want = side("a").join(side("b"), "imidx").filter("a < b").select("a", "b", V.squared_distance(F.col("fa"), F.col("fb")).alias("d"))
+    exact = lambda got: sorted((r.a, r.b, repr(r.d)) for r in got.collect())
+    for block in (1024, 9, 1):
+        assert exact(N.pair_distances(df, ["imidx"], "patch_id", "feat", block)) == exact(want)
+    assert N.pair_distances(df.limit(0), ["imidx"], "patch_id", "feat").count() == 0
+    # the query doesn't fold vectors pair by pair
+    monkeypatch.setattr(V, "squared_distance", None)
+    catalogue.QUERIES["l2_pairs"](spark, "/root/testdata/sf0.001")
+
+
 def test_values_are_carried_over_parts_of_a_key(spark):
     from lodemine.operators.relational import invert_share
 
