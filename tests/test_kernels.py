@@ -238,3 +238,16 @@ def test_averaged_steps_come_near_the_optimum():
     y = np.where(x[:, 0] - x[:, 1] + 0.3 > 0, 1.0, -1.0)
     w, b = fit_sgd(x, y)
     assert (np.sign(x @ w + b) == y).mean() > 0.97 and (fit_sgd(x, y)[0] == w).all()
+
+
+def test_a_histogram_takes_little_memory():
+    import tracemalloc
+
+    from lodemine.kernels.gradients import histogram
+
+    image = np.random.default_rng(2).random((400, 600, 3))
+    tracemalloc.start()
+    histogram(image, 8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * image.nbytes
