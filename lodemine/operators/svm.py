@@ -30,30 +30,44 @@ from lodemine.sources.rounds import clear, settle
 MODEL = "cluster_id long, w array<double>, rho double, first_label int, n_pos long, n_neg long"
 
 
-def fit_squared_hinge(x: np.ndarray, y: np.ndarray, c: float = 0.1, steps: int = 50, tol: float = 1e-10) -> tuple[np.ndarray, float]:
+def fit_squared_hinge(x: np.ndarray | list[np.ndarray], y: np.ndarray, c: float = 0.1, steps: int = 50, tol: float = 1e-10, part_mb: int = 8) -> tuple[np.ndarray, float]:
     """Minimises |(w, b)|^2 / 2 + c * sum(max(0, 1 - y (x w + b))^2). With one class only, the zero
-    model with an intercept of that class."""
+    model with an intercept of that class. x: rows, or blocks of them, which are read in parts of
+    ``part_mb`` as doubles and never copied whole."""
+    blocks = [b for b in (x if isinstance(x, list) else [x]) if len(b)]
+    width = blocks[0].shape[1] if blocks else x[0].shape[-1] if isinstance(x, list) and x else x.shape[1]
     if len(set(y.tolist())) < 2:
-        return np.zeros(x.shape[1]), float(y[0]) if len(y) else 0.0
-    a = np.column_stack([x, np.ones(len(x))])
-    v = np.zeros(a.shape[1])
+        return np.zeros(width), float(y[0]) if len(y) else 0.0
+    starts = np.cumsum([0, *map(len, blocks)])
+    most = max(1, (part_mb << 20) // (8 * (width + 1)))
+    parts = [(b, i, min(i + most, len(b)), at + i) for b, at in zip(blocks, starts) for i in range(0, len(b), most)]
+    v = np.zeros(width + 1)
 
     def loss(v: np.ndarray) -> tuple[float, np.ndarray]:
-        slack = np.maximum(0, 1 - y * (a @ v))
+        slack = np.empty(len(y))
+        for block, i, j, at in parts:
+            slack[at : at + j - i] = np.asarray(block[i:j], float) @ v[:-1] + v[-1]
+        slack = np.maximum(0, 1 - y * slack)
         return 0.5 * v @ v + c * (slack @ slack), slack
 
+    def live(slack: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The rows with slack, with a column of ones, and y times their slack."""
+        for block, i, j, at in parts:
+            own = slack[at : at + j - i] > 0
+            rows = np.asarray(block[i:j][own], float)
+            yield np.column_stack([rows, np.ones(len(rows))]), (y[at : at + j - i] * slack[at : at + j - i])[own]
+
     value, slack = loss(v)
     for _ in range(steps):
-        live = slack > 0
-        grad = v - 2 * c * (a[live].T @ (y[live] * slack[live]))
+        grad = v - 2 * c * sum(b.T @ s for b, s in live(slack))
         if np.abs(grad).max() < tol:
             break
-        b = a[live]
-        if len(b) < a.shape[1]:  # (I + 2c B'B)^-1 g by the smaller system
+        if (slack > 0).sum() < width + 1:  # (I + 2c B'B)^-1 g by the smaller system
+            b = np.concatenate([b for b, _ in live(slack)])
             small = np.eye(len(b)) + 2 * c * (b @ b.T)
             step = grad - 2 * c * (b.T @ np.linalg.solve(small, b @ grad))
         else:
-            step = np.linalg.solve(np.eye(a.shape[1]) + 2 * c * (b.T @ b), grad)
+            step = np.linalg.solve(np.eye(width + 1) + 2 * c * sum(b.T @ b for b, _ in live(slack)), grad)
         t = 1.0
         while True:
             new, fresh = loss(v - t * step)
@@ -224,20 +238,34 @@ def fit_clusters(positives: DataFrame, negatives: DataFrame, own_negatives: Data
         models = settle(_fit(rows.unionByName(own), sent, c, n, own))
 
 
+def _blocks(feat: pa.ChunkedArray) -> list[np.ndarray]:
+    """The vectors of each Arrow batch as rows, without a copy."""
+    out = []
+    for chunk in feat.chunks:
+        if len(chunk):
+            flat = chunk.flatten().to_numpy(zero_copy_only=False)
+            width = len(chunk[0])
+            if len(flat) != len(chunk) * width or chunk.null_count:
+                raise ValueError("vectors have to be of one length")
+            out.append(flat.reshape(len(chunk), width))
+    return out
+
+
 def _fit(rows: DataFrame, negatives: DataFrame, c: float, of: int, counted: DataFrame | None = None, modeltype: str = "squared_hinge") -> DataFrame:
     """rows: cluster_id, feat, y. negatives are sent to all tasks. of: the number of shared negatives, if
     those that are sent (and joined to rows, as counted) are a part of them."""
     got = negatives.select("feat").toPandas()["feat"]
-    shared = rows.sparkSession.sparkContext.broadcast(np.stack([np.asarray(f, float) for f in got])) if len(got) else None
+    shared = rows.sparkSession.sparkContext.broadcast(np.stack([np.asarray(f) if getattr(f, "dtype", None) == np.float32 else np.asarray(f, float) for f in got])) if len(got) else None
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = np.stack([np.asarray(f, float) for f in pdf["feat"]]), pdf["y"].to_numpy(float)
+    def fit(table: pa.Table) -> pa.Table:
+        x, y = _blocks(table.column("feat")), table.column("y").to_numpy().astype(float)
         if shared is not None:
-            x, y = np.concatenate([x, shared.value]), np.concatenate([y, -np.ones(len(shared.value))])
-        w, b = FITS[modeltype](x, y, c)
-        return pd.DataFrame([(pdf["cluster_id"].iloc[0], w, -b, 1, int((y > 0).sum()), int((y < 0).sum()))], columns=["cluster_id", "w", "rho", "first_label", "n_pos", "n_neg"])
+            x, y = [*x, shared.value], np.concatenate([y, -np.ones(len(shared.value))])
+        w, b = FITS[modeltype](x if modeltype == "squared_hinge" else np.concatenate(x).astype(float), y, c)
+        model = {"cluster_id": table.column("cluster_id")[0].as_py(), "w": w.tolist(), "rho": -b, "first_label": 1, "n_pos": int((y > 0).sum()), "n_neg": int((y < 0).sum())}
+        return pa.table({k: pa.array([v], t) for (k, v), t in zip(model.items(), (pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.int32(), pa.int64(), pa.int64()))})
 
-    models = rows.groupBy("cluster_id").applyInPandas(fit, MODEL)
+    models = rows.groupBy("cluster_id").applyInArrow(fit, MODEL)
     if not of:
         return models
     joined = F.lit(0)

@@ -251,3 +251,20 @@ def test_a_histogram_takes_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 10 * image.nbytes
+
+
+def test_a_fit_in_parts_is_the_fit_of_all_and_copies_no_block():
+    import tracemalloc
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(60_000, 32)).astype(np.float32)
+    y = np.where(rng.random(len(x)) < 0.1, 1.0, -1.0)
+    w, b = fit_squared_hinge(x[:900].astype(float), y[:900])
+    for blocks, mb in (([x[:500], x[500:900]], 8), ([x[:0], x[:7], x[7:900].astype(float)], 0)):
+        got = fit_squared_hinge(blocks, y[:900], part_mb=mb)
+        assert np.allclose(got[0], w, atol=1e-9) and abs(got[1] - b) < 1e-9
+    tracemalloc.start()
+    fit_squared_hinge(x, y, part_mb=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * x.nbytes
