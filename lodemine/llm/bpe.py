@@ -126,7 +126,7 @@ class BpeModel:
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
         self.merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.rank = {self.vocab[u] << 32 | self.vocab[v]: r for r, (u, v) in enumerate(self.merges)}
+        self.rank = {(self.vocab[u], self.vocab[v]): r for r, (u, v) in enumerate(self.merges)}
         self.joined = [self.vocab[u + v] for u, v in self.merges]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.piece = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
@@ -169,9 +169,7 @@ class BpeModel:
 
     def normalize(self, text: str) -> str:
         """NFC, one space for white space, lower case code point by code point."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).translate(LOWER)
-        return self.spaces.sub(" ", text).lower()
+        return self.spaces.sub(" ", lowered(text))
 
     def pieces(self, text: str, start: int, end: int, lump: int) -> Iterator[str]:
         """text[start:end] normalised, in pieces of about a lump that normalise on their own."""
@@ -208,19 +206,16 @@ class BpeModel:
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Applies the merges in place, lowest rank first and leftmost first within a rank."""
-        get, none = self.rank.get, len(self.joined)
-        ranks = [get(u << 32 | v, none) for u, v in zip(symbols, symbols[1:])]
-        while ranks:
-            best = min(ranks)
-            if best == none:
-                break
+        get, joined, none = self.rank.get, self.joined, len(self.joined)
+        ranks = [get(pair, none) for pair in zip(symbols, symbols[1:])]
+        while ranks and (best := min(ranks)) != none:
             i = ranks.index(best)
-            new = symbols[i] = self.joined[best]
+            new = symbols[i] = joined[best]
             del symbols[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = get(symbols[i - 1] << 32 | new, none)
+                ranks[i - 1] = get((symbols[i - 1], new), none)
             if i < len(ranks):
-                ranks[i] = get(new << 32 | symbols[i + 1], none)
+                ranks[i] = get((new, symbols[i + 1]), none)
         return symbols
 
     def symbols(self, part: str) -> list[int]:
@@ -229,8 +224,12 @@ class BpeModel:
 
     def word(self, word: str) -> tuple[str, tuple[int, ...]]:
         """Of a whole word: decimal ids joined by spaces, and the ids."""
-        t = Transducer(self)
-        ids = tuple(t.push(self.symbols(word)) + t.end())
+        t, symbols = Transducer(self), self.symbols(word)
+        if len(symbols) < t.size:  # nothing is stable before the end
+            t.buffer = symbols
+            ids = tuple(t.end())
+        else:
+            ids = tuple(t.push(symbols) + t.end())
         return " ".join(map(str, ids)), ids
 
     def stream(self, pieces: Iterable[str]) -> Iterator[Iterable[int]]:
@@ -260,7 +259,7 @@ class BpeModel:
         if run.isascii():
             got = list(map(self.by_word.__getitem__, self.ascii_words.findall(run.lower())))
         else:
-            got = list(map(self.by_word.__getitem__, self.words.findall(self.normalize(run))))
+            got = list(map(self.by_word.__getitem__, self.words.findall(lowered(run))))
         if len(got) == 1:
             return got[0]
         return " ".join([g[0] for g in got]), tuple(chain.from_iterable([g[1] for g in got]))
@@ -297,6 +296,18 @@ class BpeModel:
         return [i for got in self.encode(text) for _, ids in got for i in ids]
 
 
+_LOWERED = frozenset(map(chr, LOWER))
+
+
+def lowered(text: str) -> str:
+    """NFC, and lower case code point by code point."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text)
+        if not _LOWERED.isdisjoint(text):
+            text = text.translate(LOWER)
+    return text.lower()
+
+
 @lru_cache(maxsize=1)
 def _joins_the_previous() -> frozenset[str]:
     """The starters that normalisation can compose with what stands before: second parts of canonical

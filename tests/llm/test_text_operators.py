@@ -516,3 +516,17 @@ def test_digest_is_of_the_decoded_ids():
     assert bpe._encoded(model, text, None, True)[2] == hashlib.sha256(want.encode()).hexdigest()
     model.piece[ids[0]] = "wrong"
     assert bpe._encoded(model, text, None, True)[2] != hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_bpe_short_words_are_merged_without_a_buffer(monkeypatch):
+    from lodemine.llm import bpe
+
+    model = bpe.BpeModel(bpe.tokenizer_path())
+    words = ["a", "strange", "thntednt", "éèleê", "x" * 700, "ab" * 300]
+    pushed, push = [], bpe.Transducer.push
+    monkeypatch.setattr(bpe.Transducer, "push", lambda self, symbols: pushed.append(len(symbols)) or push(self, symbols))
+    for w in words:
+        symbols = model.symbols(w)
+        want = model.merge(symbols[:-1] + [model.last_of[symbols[-1]]])
+        assert list(model.word(w)[1]) == want
+    assert pushed == [700, 600]
