@@ -348,6 +348,21 @@ def test_pairs_of_groups_match_all_pairs(spark):
     assert S.pairs_of_groups(df.limit(0), ["g"], share).count() == 0
 
 
+def test_pairs_of_groups_by_short_runs(spark, tmp_path):
+    rows = [(i % 2, i if i % 11 else 22, 20 * (i % 2), 0, 39, 39) for i in range(60)] + [(0, None, 0, 0, 39, 39), (1, None, 7, 0, 39, 39)]
+    df = spark.createDataFrame(rows, "g int, det_id long, x1 int, y1 int, x2 int, y2 int")
+    share = lambda a, b: F.round(G.overlap_of_first(a, b), 6).alias("share")
+    side = lambda s: df.select("g", F.col("det_id").alias(s), G.box().alias(f"box_{s}"))
+    want = sorted(map(tuple, side("a").join(side("b"), "g").filter("a <> b").select("a", "b", share(F.col("box_a"), F.col("box_b"))).collect()))
+    for block, run in ((1024, 7), (9, 4), (9, 1)):
+        assert sorted(map(tuple, S.pairs_of_groups(df, ["g"], share, block=block, run=run).collect())) == want
+    # runs of a block's length take five times the room, and hold block x block rows of a task at once
+    n = 3000
+    equal = spark.range(n).select(F.lit(0).alias("g"), (F.col("id") * 100).alias("det_id"), *[F.lit(v).alias(c) for c, v in (("x1", 0), ("y1", 0), ("x2", 39), ("y2", 39))])
+    S.pairs_of_groups(equal, ["g"], share).write.parquet(str(tmp_path / "out"))
+    taken = sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == n * (n - 1) and taken < 0.3 * n * (n - 1)
+
 def test_pairwise_overlap_own_takes_little_room(spark, tmp_path):
     from lodemine.plans import catalogue
 
