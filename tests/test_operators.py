@@ -363,6 +363,27 @@ def test_pairs_of_groups_by_short_runs(spark, tmp_path):
     taken = sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == n * (n - 1) and taken < 0.3 * n * (n - 1)
 
+def test_pairs_of_groups_once(spark):
+    rows = [(i % 2, i if i % 11 else 22, 20 * (i % 3), 0, 39 + 20 * (i % 3), 39) for i in range(60)] + [(0, None, 0, 0, 39, 39), (None, 7, 0, 0, 39, 39)] + [(1, 5, 0, 0, 39, 39)] * 5
+    df = spark.createDataFrame(rows, "g int, det_id long, x1 int, y1 int, x2 int, y2 int")
+    iou = lambda a, b: F.round(G.iou(a, b), 6).alias("iou")
+    side = lambda s: df.select("g", F.col("det_id").alias(s), G.box().alias(f"box_{s}"))
+    want = sorted(map(tuple, side("a").join(side("b"), "g").filter("a < b").select("a", "b", iou(F.col("box_a"), F.col("box_b"))).collect()))
+    for block, blocks, run in ((1024, 8, 128), (9, 1, 4), (4, 2, 1), (1024, 8, 2)):
+        got = S.pairs_of_groups(df, ["g"], iou, block=block, blocks=blocks, run=run, ids=20, ordered=False)
+        assert got.columns == ["a", "b", "iou"] and sorted(map(tuple, got.collect())) == want
+
+    compared = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(a, b):
+        compared.add(1)
+        return 0.5
+
+    equal = spark.range(40).select(F.lit(0).alias("g"), F.col("id").alias("det_id"), *[F.lit(v).alias(c) for c, v in (("x1", 0), ("y1", 0), ("x2", 39), ("y2", 39))])
+    assert len(S.pairs_of_groups(equal, ["g"], counted, run=4, ordered=False).collect()) == 40 * 39 // 2
+    assert 0 < compared.value <= 10 * 11 // 2
+
 def test_pairwise_overlap_own_takes_little_room(spark, tmp_path):
     from lodemine.plans import catalogue
 
