@@ -384,6 +384,22 @@ def test_pairs_of_groups_once(spark):
     assert len(S.pairs_of_groups(equal, ["g"], counted, run=4, ordered=False).collect()) == 40 * 39 // 2
     assert 0 < compared.value <= 10 * 11 // 2
 
+
+def test_pairs_of_groups_are_dealt_by_their_number(spark):
+    equal = lambda n, g: spark.range(n).select(F.lit(g).alias("g"), (F.col("id") * 2 + g).alias("det_id"), (F.col("id") % 5).cast("int").alias("x1"), *[F.lit(v).alias(c) for c, v in (("y1", 0), ("x2", 39), ("y2", 39))])
+    share = lambda a, b: F.round(G.overlap_of_first(a, b), 6).alias("share")
+    # 12,000 rows are few ids, but 144,000,000 pairs
+    assert S.pairs_of_groups(equal(12_000, 0), ["g"], share).rdd.getNumPartitions() >= 144_000_000 / (1 << 25) > 4
+    df = equal(600, 0).unionByName(equal(30, 1))
+    side = lambda s: df.select("g", F.col("det_id").alias(s), G.box().alias(f"box_{s}"))
+    want = sorted(map(tuple, side("a").join(side("b"), "g").filter("a <> b").select("a", "b", share(F.col("box_a"), F.col("box_b"))).collect()))
+    got = S.pairs_of_groups(df, ["g"], share, block=32, blocks=32, run=16, pairs=20_000)
+    tasks = got.rdd.mapPartitions(lambda rows: [[tuple(r) for r in rows]]).collect()
+    assert sorted(r for t in tasks for r in t) == want
+    # ids alone leave the 359,400 pairs of the first group in one task
+    assert len(tasks) >= 18 and max(map(len, tasks)) < 120_000
+
+
 def test_pairwise_overlap_own_takes_little_room(spark, tmp_path):
     from lodemine.plans import catalogue
 
