@@ -400,6 +400,16 @@ def test_pairs_of_groups_are_dealt_by_their_number(spark):
     assert len(tasks) >= 18 and max(map(len, tasks)) < 120_000
 
 
+def test_pairs_once_are_dealt_by_their_number(spark):
+    df = spark.range(600).select(F.lit(0).alias("g"), F.col("id").alias("det_id"), (F.col("id") % 5).cast("int").alias("x1"), *[F.lit(v).alias(c) for c, v in (("y1", 0), ("x2", 39), ("y2", 39))])
+    iou = lambda a, b: F.round(G.iou(a, b), 6).alias("iou")
+    got = S.pairs_of_groups(df, ["g"], iou, block=32, blocks=32, run=16, pairs=20_000, ordered=False)
+    tasks = got.rdd.mapPartitions(lambda rows: [[(r.a, r.b) for r in rows]]).collect()
+    assert sorted(r for t in tasks for r in t) == [(a, b) for a in range(600) for b in range(a + 1, 600)]
+    # ids alone leave all 179,700 in one task
+    assert max(map(len, tasks)) < 60_000
+
+
 def test_pairwise_overlap_own_takes_little_room(spark, tmp_path):
     from lodemine.plans import catalogue
 
